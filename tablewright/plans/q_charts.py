@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chartdata as D
-from .fixtures import table
+from .fixtures import DIRTY_SQL, dirty_orders, table
 from .registry import query
 
 
@@ -184,11 +184,10 @@ def d14(spark, sf):
 
 
 @query("d09_box_outliers_dirty", """
-with """ + __import__("tablewright.plans.fixtures", fromlist=["DIRTY_SQL"]).DIRTY_SQL.strip() + """,
+with """ + DIRTY_SQL.strip() + """,
 q as (select priority, quantile_cont(price, 0.25) q1, quantile_cont(price, 0.75) q3
       from dirty where price is not null and priority is not null group by priority)
 select d.priority, d.o_orderkey, d.price from dirty d join q using (priority)
 where d.price < q1 - 1.5 * (q3 - q1) or d.price > q3 + 1.5 * (q3 - q1)""", ("D9",))
 def d09d(spark, sf):
-    from .fixtures import dirty_orders
     return D.box_outliers(dirty_orders(spark, sf), "price", "priority", keep=["o_orderkey"])
