@@ -220,10 +220,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     skew-safe running rank (a class may hold most of the rows)."""
     h = df.withColumn("_h", F.md5(F.col(key).cast("string")))
     r = running_rank(h, ["_h", key], [label])
-    sizes = r.blocks.groupBy(label).agg(F.sum(BLOCK_TOTAL).alias("_n"))
-    n_classes = sizes.count()
-    sizes = F.broadcast(sizes) if n_classes <= BROADCAST_LABELS else sizes
-    j = r.rows.join(sizes, r.rows[label].eqNullSafe(sizes[label]), "inner").drop(sizes[label])
+    sizes = r.blocks.groupBy(label).agg(F.sum(BLOCK_TOTAL).alias("_n")).withColumnRenamed(label, "_lbl")
+    sizes = F.broadcast(sizes) if r.small_blocks else sizes
+    j = r.rows.join(sizes, r.rows[label].eqNullSafe(sizes["_lbl"]), "inner").drop("_lbl")
     return j.withColumn("is_test", F.col(CUM) <= F.ceil(F.lit(test_size) * F.col("_n"))) \
         .drop("_h", "_n", CUM, "_w", "_pid")
 

@@ -10,10 +10,15 @@ codes), so they share one skew-safe plan:
 2. sort within partitions and keep a running sum of the weight in a
    vectorised ``mapInPandas`` pass that carries its state across Arrow
    batches (memory is one batch, not one group);
-3. write that result to the checkpoint directory (the range bounds come
-   from a random sample, so both later passes must read the same rows);
+3. persist that result: the range bounds come from a random sample, so
+   both later passes must read the same partitioning.  A persisted plan is
+   built once; a lost block is recomputed through the same shuffle
+   dependency (same bounds).  ``reliable=True`` writes it to the
+   checkpoint directory instead and cuts the lineage;
 4. aggregate one row per (group, partition) -- at most partitions + groups
    rows -- and turn it into per-partition offsets with a small window;
+   when that table is small (checked) it is brought to the driver once and
+   broadcast, otherwise it stays distributed and joins with a shuffle;
 5. the global rank of a row is offset + local running sum.
 """
 
@@ -22,6 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,10 +91,17 @@ class Ranked:
     rows: DataFrame      # input columns + _w, _pid, _cum (running weight, inclusive)
     blocks: DataFrame    # group cols, _pid, _off (weight before the block), _t (block weight)
     group_cols: list
+    small_blocks: bool   # blocks were collected (size checked) and can be broadcast
+    persisted: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.persisted is not None:
+            self.persisted.unpersist()
 
 
 def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | tuple = (),
-                 weight: str | Column | None = None, num_partitions: int | None = None) -> Ranked:
+                 weight: str | Column | None = None, num_partitions: int | None = None,
+                 reliable: bool = False) -> Ranked:
     """Attach ``_cum``: running sum of ``weight`` (default 1) in
     ``order_cols`` order within each group, inclusive of the row.
 
@@ -96,7 +109,6 @@ def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | t
     arbitrary order, so callers pass a total order or pre-aggregate ties.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     group_cols = list(group_cols)
     n_parts = num_partitions or shuffle_partitions(spark)
     w = F.lit(1) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
@@ -107,14 +119,24 @@ def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | t
               .withColumn(PID, F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField(LOCAL_CUM, T.LongType(), False)])
     local = ranged.mapInPandas(_running_sum_fn(group_cols), schema)
-    # Reliable checkpoint: both passes below must see the same partitioning.
-    local = local.checkpoint(eager=True)
+    if reliable:
+        ensure_checkpoint_dir(spark)
+        local = local.checkpoint(eager=True)
+        persisted = None
+    else:
+        local = local.persist(StorageLevel.MEMORY_AND_DISK)
+        persisted = local
     part = local.groupBy(*group_cols, PID).agg(F.sum(WEIGHT).alias(BLOCK_TOTAL))
     win = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     blocks = part.withColumn(OFFSET, F.coalesce(F.sum(BLOCK_TOTAL).over(win), F.lit(0)))
-    blocks = blocks.checkpoint(eager=True)
+    got = blocks.limit(BROADCAST_ROW_LIMIT + 1).collect()
+    small = len(got) <= BROADCAST_ROW_LIMIT
+    if small:
+        blocks = spark.createDataFrame(got, blocks.schema)
+    else:
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     right = blocks.select(*group_cols, PID, OFFSET)
-    if blocks.count() <= BROADCAST_ROW_LIMIT:
+    if small:
         right = F.broadcast(right)
     r = right.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(group_cols)],
                      F.col(PID).alias("_rpid"), F.col(OFFSET))
@@ -124,20 +146,22 @@ def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | t
     rows = (local.join(r, cond, "inner")
             .withColumn(CUM, F.col(OFFSET) + F.col(LOCAL_CUM))
             .drop("_rpid", OFFSET, LOCAL_CUM, *[f"_r{i}" for i in range(len(group_cols))]))
-    return Ranked(rows=rows, blocks=blocks, group_cols=group_cols)
+    return Ranked(rows=rows, blocks=blocks, group_cols=group_cols, small_blocks=small, persisted=persisted)
 
 
 def select_ranks(ranked: Ranked, targets: DataFrame, rank_col: str = "_r") -> DataFrame:
     """Rows holding given 0-based ranks.
 
     ``targets`` has the group columns and ``rank_col``; each target finds its
-    block in the small offsets table first, so the final join is on
+    block in the offsets table first, so the final join is on
     (group, partition id) and a hot group's blocks spread over many tasks.
     Output: target columns + the matching row's columns.
     """
     g = ranked.group_cols
     b = ranked.blocks.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(g)],
                              F.col(PID).alias("_bpid"), OFFSET, BLOCK_TOTAL)
+    if ranked.small_blocks:
+        b = F.broadcast(b)
     cond = (targets[rank_col] >= b[OFFSET]) & (targets[rank_col] < b[OFFSET] + b[BLOCK_TOTAL])
     for i, c in enumerate(g):
         cond = cond & targets[c].eqNullSafe(b[f"_b{i}"])
@@ -145,8 +169,8 @@ def select_ranks(ranked: Ranked, targets: DataFrame, rank_col: str = "_r") -> Da
     rows = ranked.rows
     rcols = [c for c in rows.columns if c not in targets.columns or c in g]
     rr = rows.select(*[F.col(c).alias(f"_x_{c}") for c in rcols])
-    n_targets = located.count()
-    if n_targets <= BROADCAST_ROW_LIMIT:
+    if ranked.small_blocks:
+        # targets derive from the small blocks table: a handful per group
         located = F.broadcast(located)
     cond = (rr[f"_x_{PID}"] == located["_bpid"]) \
         & (located[rank_col] >= rr[f"_x_{CUM}"] - rr[f"_x_{WEIGHT}"]) \

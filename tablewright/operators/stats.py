@@ -51,7 +51,7 @@ def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", accuracy: int = 10000) -> DataFrame:
+              method: str = "exact", accuracy: int = 10000, _held: list | None = None) -> DataFrame:
     """Linear-interpolated quantiles ``(by..., column, prob, value)``.
 
     ``exact`` matches numpy/pandas ``quantile`` and SQL ``percentile_cont``;
@@ -71,6 +71,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
         raise ValueError(f"unknown quantile method {method!r}")
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_rank(counts, ["v"], keys, weight="_n")
+    if _held is not None:
+        _held.append(ranked)
     sizes = ranked.blocks.groupBy(*keys).agg(F.sum(BLOCK_TOTAL).alias("_N"))
     pos = F.col("prob") * (F.col("_N") - 1)
     base = sizes.select(*keys, F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"), "_N") \
@@ -102,7 +104,10 @@ def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not cols:
         return {}
     probs = [float(p) for p in probs]
-    rows = quantiles(df, cols, probs, method=method).collect()
+    held: list = []
+    rows = quantiles(df, cols, probs, method=method, _held=held).collect()
+    for r in held:
+        r.release()
     out = {c: [None] * len(probs) for c in cols}
     for r in rows:
         out[r["column_name"]][probs.index(r["prob"])] = r["value"]
