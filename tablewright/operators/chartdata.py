@@ -211,7 +211,8 @@ def pie(df: DataFrame, x: str, max_slices: int = 10) -> DataFrame:
 
 def correlation(df: DataFrame, cols: list[str] | None = None, x: str | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns (pairwise
-    complete), long form (col_x, col_y, corr) from one aggregate."""
+    complete), long form (col_x, col_y, corr).  One aggregate per chunk of
+    pairs keeps each one inside whole-stage code generation."""
     if x is not None:
         check_plot_columns(df, x)
     cols = list(cols if cols is not None else C.numeric_columns(df))
@@ -219,15 +220,15 @@ def correlation(df: DataFrame, cols: list[str] | None = None, x: str | None = No
         raise ValueError("correlation needs at least two numeric columns")
     vals = df.select(*[_value(c, df).cast("double").alias(c) for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row_aggs = [F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    # the diagonal is 1 where a column has at least two values and is not constant
-    row_aggs += [F.corr(c, c).alias(f"d{i}") for i, c in enumerate(cols)]
-    wide = vals.agg(*row_aggs)
-    entries = []
+    exprs = [F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    # the diagonal is 1 where a column has at least two distinct values
+    exprs += [F.when(F.stddev_samp(c) > 0, F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(cols)]
+    got = stats.wide_agg(vals, exprs, [6] * len(pairs) + [3] * len(cols))
+    rows = []
     for i, (a, b) in enumerate(pairs):
-        entries += [f"'{a}', '{b}', c{i}", f"'{b}', '{a}', c{i}"]
-    entries += [f"'{c}', '{c}', d{i}" for i, c in enumerate(cols)]
-    return wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) as (col_x, col_y, corr)")
+        rows += [(a, b, got[f"c{i}"]), (b, a, got[f"c{i}"])]
+    rows += [(c, c, got[f"d{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_x string, col_y string, corr double")
 
 
 def density_heatmap(df: DataFrame, x: str, y: str, nbins_x: int = 10, nbins_y: int = 10) -> DataFrame:

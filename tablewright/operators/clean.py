@@ -141,8 +141,8 @@ def numeric_fill_values(df: DataFrame, cols: list[str], method: str, constant=0,
     if not cols:
         return {}
     if method == "mean":
-        row = df.agg(*[F.avg(F.when(~missing(F.col(c), C.dtype_of(df, c)), F.col(c))).alias(c)
-                       for c in cols]).collect()[0]
+        row = stats.wide_agg(df, [F.avg(F.when(~missing(F.col(c), C.dtype_of(df, c)), F.col(c))).alias(c)
+                                  for c in cols], [2] * len(cols))
         return {c: row[c] for c in cols}
     if method == "median":
         q = stats.scalar_quantiles(df, cols, [0.5], quantile_method)
@@ -198,8 +198,11 @@ def detect_types(df: DataFrame, cols: list[str] | None = None, formats=DATE_FORM
         aggs += [F.count(F.col(c)).alias(f"nn{i}"), F.count(num).alias(f"p{i}"),
                  F.coalesce(F.bool_and(is_whole(num) & (F.abs(num) < 9.2e18)), F.lit(True)).alias(f"w{i}"),
                  F.coalesce(F.bool_or(looks_like_date(F.col(c))), F.lit(False)).alias(f"d{i}")]
-        aggs += [F.count(parse_date_with(F.col(c), fmt)).alias(f"t{i}_{j}") for j, fmt in enumerate(formats)]
-    row = df.agg(*aggs).collect()[0]
+        # every format only accepts text matching the date pattern, so the
+        # (costly) parse runs only on such values
+        dated = F.when(looks_like_date(F.col(c)), F.col(c))
+        aggs += [F.count(parse_date_with(dated, fmt)).alias(f"t{i}_{j}") for j, fmt in enumerate(formats)]
+    row = stats.wide_agg(df, aggs)
     n = row["n"]
     out = []
     for i, c in enumerate(cols):
@@ -259,9 +262,10 @@ def outlier_bounds(df: DataFrame, cols: list[str], method: str = "iqr", multipli
                 out[c] = (q1 - multiplier * iqr, q3 + multiplier * iqr)
         return out
     if method == "zscore":
-        row = df.agg(*[e for c in cols for e in (
+        row = stats.wide_agg(df, [e for c in cols for e in (
             F.avg(F.when(~missing(F.col(c), C.dtype_of(df, c)), F.col(c))).alias(f"m_{c}"),
-            F.stddev_samp(F.when(~missing(F.col(c), C.dtype_of(df, c)), F.col(c))).alias(f"s_{c}"))]).collect()[0]
+            F.stddev_samp(F.when(~missing(F.col(c), C.dtype_of(df, c)), F.col(c))).alias(f"s_{c}"))],
+            [2, 3] * len(cols))
         out = {}
         for c in cols:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
@@ -281,7 +285,7 @@ def count_outliers(df: DataFrame, bounds: dict) -> dict:
     """One aggregate counting every column's outliers."""
     if not bounds:
         return {}
-    row = df.agg(*[F.count_if(outside(c, lo, hi)).alias(c) for c, (lo, hi) in bounds.items()]).collect()[0]
+    row = stats.wide_agg(df, [F.count_if(outside(c, lo, hi)).alias(c) for c, (lo, hi) in bounds.items()])
     return {c: int(row[c]) for c in bounds}
 
 

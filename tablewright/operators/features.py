@@ -145,7 +145,8 @@ def median_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = Non
 
 def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     """(x - mean) / population std, 0 where std is 0; one aggregate."""
-    row = df.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).collect()[0]
+    row = stats.wide_agg(df, [e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))],
+                         [2, 3] * len(cols))
     params = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
     out = []
     for c in df.columns:

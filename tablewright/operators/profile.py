@@ -53,11 +53,13 @@ def column_bytes(name: str, dt: T.DataType):
 
 def overview(df: DataFrame) -> DataFrame:
     """B1 + B7: (n_rows, n_columns, logical_bytes) from one aggregate."""
-    size = F.lit(0).cast("long")
-    for f in df.schema.fields:
-        size = size + F.coalesce(F.sum(column_bytes(f.name, f.dataType)), F.lit(0)).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), size.alias("logical_bytes")) \
-        .select("n_rows", F.lit(len(df.columns)).alias("n_columns"), "logical_bytes")
+    exprs = [F.count(F.lit(1)).alias("n_rows")]
+    exprs += [F.coalesce(F.sum(column_bytes(f.name, f.dataType)), F.lit(0)).cast("long").alias(f"b{i}")
+              for i, f in enumerate(df.schema.fields)]
+    got = stats.wide_agg(df, exprs, [1] + [2] * len(df.schema.fields))
+    size = sum(int(got[f"b{i}"]) for i in range(len(df.schema.fields)))
+    return df.sparkSession.createDataFrame([(int(got["n_rows"]), len(df.columns), size)],
+                                           "n_rows long, n_columns int, logical_bytes long")
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -137,20 +139,29 @@ class Profile:
     top_values: DataFrame
 
     def to_json(self) -> DataFrame:
-        """The whole profile as one JSON document (one row, one column)."""
-        def nested(d: DataFrame, name: str):
-            return d.agg(F.collect_list(F.struct(*d.columns)).alias(name))
-        parts = [self.overview.join(self.duplicates), nested(self.column_types, "column_types"),
-                 nested(self.missing, "missing"), nested(self.numeric, "numeric_summary"),
-                 nested(self.categorical, "categorical_summary"), nested(self.top_values, "top_values")]
-        doc = parts[0]
+        """The whole profile as one JSON document (one row, one column).
+
+        Each part becomes one (order, name, json) row; the parts are unioned
+        and folded by one small aggregate (a handful of rows, no joins)."""
+        def part(i: int, name: str, d: DataFrame, as_list: bool = True) -> DataFrame:
+            body = F.to_json(F.collect_list(F.struct(*d.columns))) if as_list \
+                else F.to_json(F.first(F.struct(*d.columns)))
+            return d.agg(body.alias("j")).select(F.lit(i).alias("i"), F.lit(name).alias("k"), "j")
+        parts = [part(0, "overview", self.overview, False), part(1, "duplicates", self.duplicates, False),
+                 part(2, "column_types", self.column_types), part(3, "missing", self.missing),
+                 part(4, "numeric_summary", self.numeric), part(5, "categorical_summary", self.categorical),
+                 part(6, "top_values", self.top_values)]
+        u = parts[0]
         for p in parts[1:]:
-            doc = doc.join(p)
-        return doc.select(F.to_json(F.struct(*doc.columns)).alias("profile_json"))
+            u = u.unionByName(p)
+        items = F.sort_array(F.collect_list(F.struct("i", F.concat(F.lit('"'), F.col("k"), F.lit('":'),
+                                                                   F.coalesce(F.col("j"), F.lit("null"))).alias("t"))))
+        return u.agg(F.concat(F.lit("{"), F.array_join(F.transform(items, lambda x: x["t"]), ","), F.lit("}"))
+                     .alias("profile_json"))
 
 
 def profile(df: DataFrame, top_k: int = 5, decimals: int = 2, method: str = "exact") -> Profile:
-    """All profile parts; a failing part is reported, not fatal."""
+    """All profile parts as small DataFrames."""
     num = C.numeric_columns(df)
     cat = C.categorical_columns(df)
     spark = df.sparkSession

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,37 @@ from ..functions.columns import missing
 from .ranking import BLOCK_TOTAL, running_rank, select_ranks
 
 
+# Whole-stage code generation is switched off for an aggregate with more
+# than ``spark.sql.codegen.maxFields`` (default 100) buffer fields, which makes
+# it several times slower; wide aggregates are split into chunks below that.
+AGG_FIELD_BUDGET = 96
+# Exact quantiles through Spark's in-memory ``percentile`` when the number of
+# distinct (group, value) pairs is at most this (a checked, bounded buffer);
+# above it the range-partitioned running rank is used.
+IN_MEMORY_DISTINCT_LIMIT = 500_000
+
+
+def wide_agg(df: DataFrame, exprs: list, weights: list[int] | None = None) -> dict:
+    """Run many single-row aggregate expressions; returns {alias: value}.
+
+    Expressions are grouped into aggregates of at most ``AGG_FIELD_BUDGET``
+    buffer fields (``weights`` estimates the fields per expression)."""
+    weights = weights or [1] * len(exprs)
+    chunks, cur, used = [], [], 0
+    for e, w in zip(exprs, weights):
+        if cur and used + w > AGG_FIELD_BUDGET:
+            chunks.append(cur)
+            cur, used = [], 0
+        cur.append(e)
+        used += w
+    if cur:
+        chunks.append(cur)
+    out = {}
+    for chunk in chunks:
+        out.update(df.agg(*chunk).collect()[0].asDict())
+    return out
+
+
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), keep_missing: bool = False,
                 value_type: str = "double") -> DataFrame:
     """Unpivot ``cols`` into ``(by..., column, v)``, missing values removed."""
@@ -36,10 +68,9 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or df.columns)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.count_if(missing(F.col(c), dtype_of(df, c))).alias(f"_m{i}") for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{_q(c)}', _m{i}" for i, c in enumerate(cols))
-    return wide.selectExpr("_rows as n_rows", f"stack({len(cols)}, {stack}) as (column_name, n_missing)") \
-        .select("column_name", "n_rows", "n_missing")
+    got = wide_agg(df, aggs)
+    rows = [(c, int(got["_rows"]), int(got[f"_m{i}"])) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_rows long, n_missing long")
 
 
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +82,8 @@ def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", accuracy: int = 10000, _held: list | None = None) -> DataFrame:
+              method: str = "exact", accuracy: int = 10000, _held: list | None = None,
+              in_memory_limit: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles ``(by..., column, prob, value)``.
 
     ``exact`` matches numpy/pandas ``quantile`` and SQL ``percentile_cont``;
@@ -70,6 +102,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    if _held is not None:
+        _held.append(counts)
+    limit = IN_MEMORY_DISTINCT_LIMIT if in_memory_limit is None else in_memory_limit
+    if counts.count() <= limit:
+        q = counts.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("_q"))
+        return q.select(*keys, F.posexplode("_q").alias("_i", "value")) \
+            .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
+            .select(*keys, "prob", "value")
     ranked = running_rank(counts, ["v"], keys, weight="_n")
     if _held is not None:
         _held.append(ranked)
@@ -90,24 +131,25 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   method: str = "exact", names: Sequence[str] | None = None) -> DataFrame:
+                   method: str = "exact", names: Sequence[str] | None = None,
+                   in_memory_limit: int | None = None) -> DataFrame:
     """Quantiles pivoted to one column per probability: (by..., column, q...)."""
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    q = quantiles(df, cols, probs, by, method)
+    q = quantiles(df, cols, probs, by, method, in_memory_limit=in_memory_limit)
     aggs = [F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for p, n in zip(probs, names)]
     return q.groupBy(*by, "column_name").agg(*aggs)
 
 
 def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     method: str = "exact") -> dict[str, list]:
+                     method: str = "exact", in_memory_limit: int | None = None) -> dict[str, list]:
     """Driver-side {column: [value per prob]} (one small row per column)."""
     if not cols:
         return {}
     probs = [float(p) for p in probs]
     held: list = []
-    rows = quantiles(df, cols, probs, method=method, _held=held).collect()
+    rows = quantiles(df, cols, probs, method=method, _held=held, in_memory_limit=in_memory_limit).collect()
     for r in held:
-        r.release()
+        r.release() if hasattr(r, "release") else r.unpersist()
     out = {c: [None] * len(probs) for c in cols}
     for r in rows:
         out[r["column_name"]][probs.index(r["prob"])] = r["value"]
@@ -141,5 +183,3 @@ def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
     return out
 
 
-def _q(name: str) -> str:
-    return name.replace("'", "\\'")

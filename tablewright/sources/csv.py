@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import NULL_TOKENS, NUMBER_PATTERN
+from ..operators.stats import wide_agg
 
 INTEGER_PATTERN = r"^[+-]?\d{1,18}$"
 BOOLEAN_VALUES = ("true", "false")
@@ -45,7 +46,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
                  F.count_if(nn & F.lower(t).isin(*BOOLEAN_VALUES)).alias(f"b{i}")]
     if not aggs:
         return {}
-    row = df.agg(*aggs).collect()[0]
+    row = wide_agg(df, aggs)
     out = {}
     for i, c in enumerate(df.columns):
         n = row[f"n{i}"]

@@ -38,5 +38,5 @@ def test_profile_json_is_one_document(spark):
     import json
     df = spark.createDataFrame([(1, "a"), (None, "b")], "x int, s string")
     doc = json.loads(P.profile(df).to_json().collect()[0][0])
-    assert doc["n_rows"] == 2 and doc["duplicate_rows"] == 0
+    assert doc["overview"]["n_rows"] == 2 and doc["duplicates"]["duplicate_rows"] == 0
     assert {m["column_name"] for m in doc["missing"]} == {"x", "s"}

@@ -14,10 +14,12 @@ def _skewed_frame(spark, n=3000, seed=1):
     return pdf, spark.createDataFrame(pdf)
 
 
+@pytest.mark.parametrize("limit", [0, None])
 @pytest.mark.parametrize("probs", [[0.25, 0.5, 0.75], [0.0, 0.1, 1.0]])
-def test_exact_quantiles_match_numpy_grouped(spark, probs):
+def test_exact_quantiles_match_numpy_grouped(spark, probs, limit):
+    # limit 0 forces the range-partitioned path, None allows the bounded in-memory one
     pdf, df = _skewed_frame(spark)
-    q = stats.quantiles(df, ["v"], probs, by=["g"]).collect()
+    q = stats.quantiles(df, ["v"], probs, by=["g"], in_memory_limit=limit).collect()
     got = {(r.g, r.prob): r.value for r in q}
     for g, part in pdf.groupby("g"):
         for p in probs:
@@ -26,7 +28,7 @@ def test_exact_quantiles_match_numpy_grouped(spark, probs):
 
 def test_exact_quantiles_global_many_partitions(spark):
     pdf, df = _skewed_frame(spark, 5000, 2)
-    got = stats.scalar_quantiles(df.repartition(7), ["v", "id"], [0.5, 0.9])
+    got = stats.scalar_quantiles(df.repartition(7), ["v", "id"], [0.5, 0.9], in_memory_limit=0)
     assert got["v"][0] == pytest.approx(np.quantile(pdf.v, 0.5))
     assert got["id"][1] == pytest.approx(np.quantile(pdf.id, 0.9))
 
