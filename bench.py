@@ -2,7 +2,7 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Each query is fully executed with the no-op sink (no rows reach the
-driver); the time of the best of $BENCH_RUNS runs is reported, after one
+driver); the median of $BENCH_RUNS runs (default 3) is reported, after one
 warm-up query that starts the JVM and reads the tables once.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -42,7 +43,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     catalogue = load_all()
@@ -50,13 +51,12 @@ def main() -> None:
     catalogue["b06_duplicate_rows"].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
-        best = None
+        runs_s = []
         for _ in range(runs):
             t0 = time.perf_counter()
             catalogue[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+            runs_s.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(runs_s), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus), "runs": runs,

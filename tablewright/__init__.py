@@ -1,0 +1,3 @@
+"""tablewright: profile, clean, chart, model and cluster tables on Spark."""
+
+__version__ = "0.1.0"

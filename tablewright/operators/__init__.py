@@ -1,0 +1 @@
+"""tablewright.operators"""

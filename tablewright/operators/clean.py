@@ -338,11 +338,14 @@ def clean(df: DataFrame, options: CleanOptions | dict | str | None = None,
     qm = opts.quantile_method
 
     if opts.drop_duplicates:
-        dups = duplicate_count(cur)
-        cur = drop_duplicates(cur)
+        # one shuffle: the de-duplicated table is persisted and counted; the
+        # input count is a plain scan
+        n_before = cur.count()
+        cur = drop_duplicates(cur).persist(StorageLevel.MEMORY_AND_DISK)
+        dups = n_before - cur.count()
         if dups > 0:
             log.add("drop_duplicates", None, dups)
-    if persist:
+    elif persist:
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
 
     method = opts.handle_missing

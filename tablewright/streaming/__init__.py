@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference application reads one uploaded file per session and has no
+stream, window, watermark or state operator, so this package defines no
+streaming operators.  The batch operators take any DataFrame; inside a
+``foreachBatch`` sink they apply to each micro-batch as they are.
+"""
