@@ -9,6 +9,7 @@ pairing of rows is needed.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -140,7 +141,7 @@ class ClusterResult:
 
 
 def kmeans(df: DataFrame, key: str, k: int = 3, features=None, n_init: int = 10, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4, exclude=()) -> ClusterResult:
+           max_iter: int = 300, tol: float = 1e-4, exclude=(), parallelism: int = 4) -> ClusterResult:
     """K-means on standardised features, best of ``n_init`` seeds."""
     feats = cluster_features(df, features, exclude=(key, *exclude))
     scaled, params, med = scaled_frame(df, feats, [key])
@@ -148,12 +149,18 @@ def kmeans(df: DataFrame, key: str, k: int = 3, features=None, n_init: int = 10,
     check_k(k, scaled.count())
     va = VectorAssembler(inputCols=[SCALED + c for c in feats], outputCol="_vec")
     vec = va.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, featuresCol="_vec", initMode="k-means||", seed=seed + i, maxIter=max_iter, tol=tol).fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    centres = [list(map(float, c)) for c in best[1].clusterCenters()]
+
+    def fit(i: int):
+        model = KMeans(k=k, featuresCol="_vec", initMode="k-means||", seed=seed + i, maxIter=max_iter,
+                       tol=tol).fit(vec)
+        return model.summary.trainingCost, i, model
+
+    # the restarts are independent Spark jobs: submit them from a few driver
+    # threads so small fits overlap; the choice is deterministic (cost, seed)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
+    vec.unpersist()
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
     assigned = assign(scaled, feats, centres)
-    return ClusterResult(feats, params, med, centres, assigned, float(best[0]), k)
+    return ClusterResult(feats, params, med, centres, assigned, float(cost), k)

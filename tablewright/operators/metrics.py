@@ -34,14 +34,17 @@ def confusion_matrix(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(actual, predicted, n) for every pair of labels seen as actual or
     predicted (Q13), zeros included."""
     counts = confusion_counts(pred, y, p)
-    labels = sorted({r[0] for r in counts.select("actual").union(counts.select("predicted")).distinct().collect()},
-                    key=lambda v: (v is None, v))
-    if len(labels) > MAX_LABELS:
+    distinct = counts.select("actual").union(counts.select("predicted")).distinct()
+    got = distinct.limit(MAX_LABELS + 1).collect()
+    if len(got) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels; use confusion_counts for the sparse form")
+    labels = sorted({r[0] for r in got}, key=lambda v: (v is None, v))
     spark = pred.sparkSession
     dtype = counts.schema["actual"].dataType.simpleString()
     grid = spark.createDataFrame([(a, b) for a in labels for b in labels], f"actual {dtype}, predicted {dtype}")
-    return F.broadcast(grid).join(counts, ["actual", "predicted"], "left") \
+    if len(labels) ** 2 <= 100_000:
+        grid = F.broadcast(grid)
+    return grid.join(counts, ["actual", "predicted"], "left") \
         .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
