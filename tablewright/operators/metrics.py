@@ -75,23 +75,25 @@ def classification_metrics(pred: DataFrame, y: str = "y", p: str = "p", average:
     rec = _safe_div(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
     f1 = _safe_div(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r"))
     pc = pc.withColumn("_p", prec).withColumn("_r", rec).withColumn("_f", f1)
-    acc = counts.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
-                      / F.sum("n")).alias("accuracy"))
+    acc = (F.sum("tp") / F.sum("support")).alias("accuracy")
     if average == "binary":
         if positive is None:
-            pos_row = pc.agg(F.max("label").alias("m"))
-            sel = pc.join(pos_row, pc["label"] == pos_row["m"]).drop("m")
+            # positive = the larger label
+            s = pc.agg(acc, F.max_by("_p", "label").alias("precision"), F.max_by("_r", "label").alias("recall"),
+                       F.max_by("_f", "label").alias("f1"))
         else:
-            sel = pc.where(F.col("label") == F.lit(positive))
-        s = sel.select(F.col("_p").alias("precision"), F.col("_r").alias("recall"), F.col("_f").alias("f1"))
+            is_pos = F.col("label") == F.lit(positive)
+            s = pc.agg(acc, F.coalesce(F.max(F.when(is_pos, F.col("_p"))), F.lit(0.0)).alias("precision"),
+                       F.coalesce(F.max(F.when(is_pos, F.col("_r"))), F.lit(0.0)).alias("recall"),
+                       F.coalesce(F.max(F.when(is_pos, F.col("_f"))), F.lit(0.0)).alias("f1"))
     elif average == "weighted":
         tot = F.sum("support")
-        s = pc.agg((F.sum(F.col("_p") * F.col("support")) / tot).alias("precision"),
+        s = pc.agg(acc, (F.sum(F.col("_p") * F.col("support")) / tot).alias("precision"),
                    (F.sum(F.col("_r") * F.col("support")) / tot).alias("recall"),
                    (F.sum(F.col("_f") * F.col("support")) / tot).alias("f1"))
     else:
         raise ValueError(f"unknown average {average!r}")
-    return acc.join(s)
+    return s
 
 
 def best_model(metrics: DataFrame, metric: str, higher_is_better: bool) -> DataFrame:
