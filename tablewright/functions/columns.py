@@ -110,9 +110,14 @@ def date_parts(c, prefix: str) -> list[Column]:
 
 
 def round_half_even(c, scale: int = 2) -> Column:
-    """Rounding as numpy does it (half to even)."""
-    return F.bround(_col(c), scale)
+    """Rounding as numpy does it: scale the binary value by 10^scale,
+    round half to even, scale back (pandas ``round`` and ``describe().round``)."""
+    f = float(10 ** scale)
+    return F.bround(_col(c) * F.lit(f), 0) / F.lit(f)
 
 
 def round_half_up(c, scale: int = 2) -> Column:
-    return F.round(_col(c), scale)
+    """Half away from zero on the scaled binary value, as SQL engines round
+    doubles (``round(x, scale)`` in DuckDB, C ``round``)."""
+    f = float(10 ** scale)
+    return F.round(_col(c) * F.lit(f), 0) / F.lit(f)

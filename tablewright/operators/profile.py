@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import columns as X
 from ..functions import classes as C
 from ..functions.columns import missing
 from . import stats
@@ -74,7 +75,7 @@ def missing_table(df: DataFrame, decimals: int = 2) -> DataFrame:
     Order for display: ``orderBy(desc('missing_pct'), 'column_name')``."""
     nc = stats.null_counts(df)
     pct = F.when(F.col("n_rows") > 0, F.col("n_missing") / F.col("n_rows") * 100)
-    return nc.select("column_name", "n_missing", F.bround(pct, decimals).alias("missing_pct"))
+    return nc.select("column_name", "n_missing", X.round_half_even(pct, decimals).alias("missing_pct"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, decimals: int
     out = F.broadcast(m).join(F.broadcast(q), "column_name", "left") if len(cols) < 10_000 else m.join(q, "column_name", "left")
     names = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     if decimals is not None:
-        return out.select("column_name", "count", *[F.bround(F.col(n), decimals).alias(n) for n in names])
+        return out.select("column_name", "count", *[X.round_half_even(F.col(n), decimals).alias(n) for n in names])
     return out.select("column_name", "count", *names)
 
 

@@ -107,10 +107,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
         _held.append(counts)
     limit = IN_MEMORY_DISTINCT_LIMIT if in_memory_limit is None else in_memory_limit
     if counts.count() <= limit:
-        q = counts.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("_q"))
-        return q.select(*keys, F.posexplode("_q").alias("_i", "value")) \
-            .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
-            .select(*keys, "prob", "value")
+        return _quantiles_in_memory(counts, keys, probs)
     ranked = running_rank(counts, ["v"], keys, weight="_n")
     if _held is not None:
         _held.append(ranked)
@@ -130,6 +127,29 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
                       (F.col("_lo") + F.col("_frac") * (F.col("_up") - F.col("_lo"))).alias("value"))
 
 
+def _value_at_rank(arr: str, r):
+    """Value holding 0-based rank ``r`` in a sorted array of (v, _n) structs."""
+    init = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("x"))
+    return F.aggregate(arr, init, lambda acc, e: F.struct(
+        (acc["c"] + e["_n"]).alias("c"),
+        F.when((acc["c"] <= r) & (r < acc["c"] + e["_n"]), e["v"]).otherwise(acc["x"]).alias("x")))["x"]
+
+
+def _quantiles_in_memory(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles when the (group, value) count table is small (checked
+    by the caller): per group a sorted array of (value, count) and a JVM scan
+    for the two order statistics around each position, interpolated as
+    lo + frac * (hi - lo)."""
+    g = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "_n"))).alias("_a"),
+                                  F.sum("_n").alias("_N"))
+    g = g.select(*keys, "_a", "_N", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
+    pos = F.col("prob") * (F.col("_N") - 1)
+    g = g.withColumn("_lo_r", F.floor(pos).cast("long")).withColumn("_hi_r", F.ceil(pos).cast("long")) \
+        .withColumn("_frac", pos - F.floor(pos))
+    g = g.withColumn("_lo", _value_at_rank("_a", F.col("_lo_r"))).withColumn("_up", _value_at_rank("_a", F.col("_hi_r")))
+    return g.select(*keys, "prob", (F.col("_lo") + F.col("_frac") * (F.col("_up") - F.col("_lo"))).alias("value"))
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
                    method: str = "exact", names: Sequence[str] | None = None,
                    in_memory_limit: int | None = None) -> DataFrame:

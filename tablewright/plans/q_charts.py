@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as X
 from ..operators import chartdata as D
 from .fixtures import DIRTY_SQL, dirty_orders, table
 from .registry import query
 
 
 def _round(df, scale=6, skip=()):
-    return df.select(*[F.round(F.col(f.name), scale).alias(f.name)
+    return df.select(*[X.round_half_up(F.col(f.name), scale).alias(f.name)
                        if f.dataType.typeName() == "double" and f.name not in skip else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -179,8 +180,8 @@ select grid.l_returnflag, k, round(grid_value, 6) as grid_value,
 from grid join c using (l_returnflag) group by grid.l_returnflag, k, grid_value, n, bw""", ("D14",))
 def d14(spark, sf):
     out = D.violin_density(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", 16)
-    return out.select("l_returnflag", "k", F.round("grid_value", 6).alias("grid_value"),
-                      F.round("density", 10).alias("density"))
+    return out.select("l_returnflag", "k", X.round_half_up("grid_value", 6).alias("grid_value"),
+                      X.round_half_up("density", 10).alias("density"))
 
 
 @query("d09_box_outliers_dirty", """

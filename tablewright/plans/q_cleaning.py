@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as X
 from ..functions.columns import NUMBER_PATTERN, parse_date_with
 from ..operators import clean as CL
 from ..operators import stats
@@ -16,7 +17,7 @@ NUM_GUARD = NUMBER_PATTERN  # DuckDB regexp_matches takes the same pattern text
 
 
 def _round(df, cols, scale=4):
-    return df.select(*[F.round(F.col(c), scale).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[X.round_half_up(F.col(c), scale).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def _num(c):
@@ -53,7 +54,7 @@ def c02(spark, sf):
 def c03_report(spark, sf):
     nc = stats.null_counts(dirty_orders(spark, sf))
     share = F.col("n_missing") / F.col("n_rows")
-    return nc.select("column_name", "n_missing", F.round(share, 6).alias("missing_share"), (share > 0.5).alias("dropped"))
+    return nc.select("column_name", "n_missing", X.round_half_up(share, 6).alias("missing_share"), (share > 0.5).alias("dropped"))
 
 
 @query("c03_drop_sparse_columns", with_dirty(
@@ -210,7 +211,7 @@ def c16(spark, sf):
     t, _ = CL.fix_types(dirty_orders(spark, sf))
     b = CL.outlier_bounds(t, ["o_orderkey", "price", "cust_txt"], "iqr")
     return spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in b.items()], "column_name string, lower double, upper double") \
-        .select("column_name", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+        .select("column_name", X.round_half_up("lower", 4).alias("lower"), X.round_half_up("upper", 4).alias("upper"))
 
 
 @query("c17_zscore_bounds", with_dirty(
@@ -222,7 +223,7 @@ def c17(spark, sf):
     t, _ = CL.fix_types(dirty_orders(spark, sf))
     b = CL.outlier_bounds(t, ["o_orderkey", "price", "cust_txt"], "zscore", threshold=3)
     return spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in b.items()], "column_name string, lower double, upper double") \
-        .select("column_name", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+        .select("column_name", X.round_half_up("lower", 4).alias("lower"), X.round_half_up("upper", 4).alias("upper"))
 
 
 @query("c18_outlier_counts", with_dirty(
@@ -305,4 +306,4 @@ def c22(spark, sf):
 def c23(spark, sf):
     _, log = CL.clean(dirty_orders(spark, sf))
     return log.select("step_no", "step", "column_name", "n_affected",
-                      F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+                      X.round_half_up("lower", 4).alias("lower"), X.round_half_up("upper", 4).alias("upper"))

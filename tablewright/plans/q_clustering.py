@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as X
 from ..operators import cluster as CU
 from .fixtures import dirty_orders, table, with_dirty
 from .registry import query
@@ -18,7 +19,7 @@ CENTRES = [[-1.0, -1.0], [0.0, 0.0], [1.0, 1.0]]
 
 
 def _round(df, scale=6):
-    return df.select(*[F.round(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"
+    return df.select(*[X.round_half_up(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -49,8 +50,8 @@ asg as (select o_orderkey, o_totalprice, o_custkey, cast(cluster as int) as clus
     ("F2", "F3"))
 def f02(spark, sf):
     scaled, _, _ = CU.scaled_frame(dirty_orders(spark, sf), ["price"], ["o_orderkey"])
-    return scaled.select("o_orderkey", F.round("price", 4).alias("price"),
-                         F.round(CU.SCALED + "price", 6).alias("price_scaled"))
+    return scaled.select("o_orderkey", X.round_half_up("price", 4).alias("price"),
+                         X.round_half_up(CU.SCALED + "price", 6).alias("price_scaled"))
 
 
 @query("f03_standard_scaling", """
@@ -68,7 +69,7 @@ def f03(spark, sf):
 @query("f07_nearest_centre", ASSIGN_SQL + "select o_orderkey, cluster, round(dist2, 6) as dist2 from asg", ("F7",))
 def f07(spark, sf):
     a, _ = _assigned(spark, sf)
-    return a.select("o_orderkey", "cluster", F.round("dist2", 6).alias("dist2"))
+    return a.select("o_orderkey", "cluster", X.round_half_up("dist2", 6).alias("dist2"))
 
 
 @query("f08_centres_original", """
@@ -79,7 +80,7 @@ union all select cast(cluster as int), 'o_custkey', round(cb * sc + mc, 4) from
 def f08(spark, sf):
     _, params = _assigned(spark, sf)
     out = CU.centres_original(CENTRES, ORDER_FEATS, params, spark)
-    return out.select("cluster", "feature", F.round("value", 4).alias("value"))
+    return out.select("cluster", "feature", X.round_half_up("value", 4).alias("value"))
 
 
 @query("f09_cluster_sizes", ASSIGN_SQL + """,
@@ -106,7 +107,7 @@ def f10(spark, sf):
 @query("f11_inertia", ASSIGN_SQL + "select round(sum(dist2), 4) as inertia from asg", ("F11",))
 def f11(spark, sf):
     a, _ = _assigned(spark, sf)
-    return CU.inertia(a).select(F.round("inertia", 4).alias("inertia"))
+    return CU.inertia(a).select(X.round_half_up("inertia", 4).alias("inertia"))
 
 
 @query("f12_join_labels", ASSIGN_SQL + "select o.*, asg.cluster from orders o join asg using (o_orderkey)", ("F12",))

@@ -70,7 +70,7 @@ select c_custkey, round(coalesce((c_acctbal - a) / nullif(s, 0), 0), 6) as value
 def h08(spark, sf):
     c = table(spark, sf, "customer")
     r = c.agg(F.avg("c_acctbal").alias("a"), F.stddev_pop("c_acctbal").alias("s")).collect()[0]
-    return c.select("c_custkey", F.round(X.standard_score("c_acctbal", r["a"], r["s"]), 6).alias("value"))
+    return c.select("c_custkey", X.round_half_up(X.standard_score("c_acctbal", r["a"], r["s"]), 6).alias("value"))
 
 
 @query("h09_date_parts", "select event_id, cast(year(ts) as int) as ts_year, cast(month(ts) as int) as ts_month, "

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as X
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -22,7 +23,7 @@ STATUSES = ["O", "P"]
 
 
 def _round(df, scale=6):
-    return df.select(*[F.round(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"
+    return df.select(*[X.round_half_up(F.col(f.name), scale).alias(f.name) if f.dataType.typeName() == "double"
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -48,7 +49,7 @@ def e03(spark, sf):
 def e05(spark, sf):
     d = dirty_orders(spark, sf).select("o_orderkey", "price")
     out, _ = FE.median_impute(d, ["price"])
-    return out.select("o_orderkey", F.round("price", 4).alias("price"))
+    return out.select("o_orderkey", X.round_half_up("price", 4).alias("price"))
 
 
 TASK_TARGETS = [("l_extendedprice", True), ("l_quantity", True), ("l_linenumber", True),
@@ -132,7 +133,7 @@ def _reg_metrics_sql(src):
 def e15(spark, sf):
     ols, _ = _ols_predictions(spark, sf)
     m = M.regression_metrics(ols)
-    return m.select(*[F.round(c, 4).alias(c) for c in ("mse", "rmse", "mae")], F.round("r2", 6).alias("r2"))
+    return m.select(*[X.round_half_up(c, 4).alias(c) for c in ("mse", "rmse", "mae")], X.round_half_up("r2", 6).alias("r2"))
 
 
 @query("e20_best_model", OLS_SQL + """,

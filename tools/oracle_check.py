@@ -25,13 +25,16 @@ from tablewright.plans.registry import load_all  # noqa: E402
 from tablewright.session import get_spark  # noqa: E402
 
 
+STRICT = False
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if isinstance(v, bool):
         return v
     if isinstance(v, int):
@@ -54,8 +57,11 @@ def rows_of(cols, rows):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--strict", action="store_true", help="compare floats exactly")
     ap.add_argument("prefix", nargs="*")
     a = ap.parse_args()
+    global STRICT
+    STRICT = a.strict
     spark = get_spark()
     con = duckdb.connect()
     con.execute("set TimeZone='UTC'")
