@@ -54,6 +54,7 @@ class CleanOptions:
     iqr_multiplier: float = 1.5
     zscore_threshold: float = 3.0
     fix_datatypes: bool = False
+    outlier_exclude: tuple = ()           # numeric columns left out of outlier handling (ids, Q9)
     quantile_method: str = "exact"        # "exact" or "approx"
     extra: dict = field(default_factory=dict)
 
@@ -396,7 +397,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | str | None = None,
 
     how = opts.handle_outliers
     if how:
-        cols = C.numeric_columns(cur)
+        cols = [c for c in C.numeric_columns(cur) if c not in set(opts.outlier_exclude or ())]
         if how == "clip":
             bounds = outlier_bounds(cur, cols, opts.outlier_method, opts.iqr_multiplier,
                                     opts.zscore_threshold, qm)

@@ -110,8 +110,13 @@ def numeric_gate(df: DataFrame, cols: list[str]) -> None:
 
 
 def encode_features(df: DataFrame, target: str, features=None, key: str | None = None) -> tuple[DataFrame, list[str]]:
-    """(frame with key?, target and numeric features, feature names)."""
+    """(frame with key?, target and numeric features, feature names).
+
+    Without a feature list every column but the target and the row key is a
+    feature (the key is the row identity used for splitting)."""
     feats = select_features(df, target, features)
+    if features is None and key:
+        feats = [c for c in feats if c != key]
     keep = ([key] if key and key not in feats and key != target else [])
     x = df.select(*keep, target, *feats)
     cats = [c for c in feats if C.is_string(C.dtype_of(x, c))]

@@ -70,16 +70,18 @@ def classification_models(seed: int, num_trees: int, max_depth: int, n_train: in
 
 
 def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str = "auto",
-            test_size: float = 0.2, fit_impute_on: str = "all"):
+            test_size: float = 0.2, impute_on: str = "all"):
     """(frame with key, label, features vector, is_test), feature
-    names, task, classification type, label codes, steps."""
+    names, task, classification type, label codes, steps.
+
+    ``impute_on="all"`` takes the medians over the whole table as the
+    reference does; ``"train"`` takes them over the training rows only."""
+    if impute_on not in ("all", "train"):
+        raise ValueError("impute_on must be 'all' or 'train'")
     steps = []
     x, names = FE.encode_features(df, target, features, key)
     if x.where(F.col(target).isNull()).limit(1).count() > 0:
         raise ValueError(f"target {target!r} has missing values; drop or fill them first")
-    x, med = FE.median_impute(x, names)
-    if med:
-        steps.append(f"median imputation: {', '.join(med)}")
     task, ctype, _ = FE.detect_task(x, target, model_type)
     codes = None
     if task == "classification" and not C.is_numeric(C.dtype_of(x, target)):
@@ -91,15 +93,19 @@ def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str
         x = FE.stratified_split(x, "label", key, test_size)
     else:
         x = FE.random_split(x, key, test_size)
+    x, med = FE.median_impute(x, names, fit_on=x.where(~F.col("is_test")) if impute_on == "train" else None)
+    if med:
+        steps.append(f"median imputation ({impute_on} rows): {', '.join(med)}")
     va = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     x = va.transform(x).select(key, "label", "features", "is_test")
     return x, names, task, ctype, codes, steps
 
 
 def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto", features=None,
-                test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 5) -> TrainResult:
+                test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 5,
+                impute_on: str = "all") -> TrainResult:
     """Fit and score two models; best by RMSE or accuracy."""
-    data, names, task, ctype, codes, steps = prepare(df, target, key, features, model_type, test_size)
+    data, names, task, ctype, codes, steps = prepare(df, target, key, features, model_type, test_size, impute_on)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))

@@ -109,3 +109,10 @@ def test_default_pipeline_on_dirty_view(spark):
     assert steps[0] == "drop_duplicates" and "clip_outliers" in steps
     assert out.where(F.col("price").isNull()).count() == 0
     assert dict(out.dtypes)["date_txt"] == "timestamp_ntz"
+
+
+def test_outlier_exclude_keeps_id_column(spark):
+    rows = [(i, float(i % 7)) for i in range(50)] + [(10_000, 3.0)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    out, log = CL.clean(df, {"handle_outliers": "clip", "outlier_exclude": ["id"]})
+    assert dict(out.dtypes)["id"] == "bigint" and out.agg(F.max("id")).collect()[0][0] == 10_000

@@ -119,3 +119,12 @@ def test_constant_column_scales_to_zero(spark):
     df = spark.createDataFrame([(2.0,), (2.0,), (2.0,)], "x double")
     out, _ = FE.standard_scale(df, ["x"])
     assert [r.x for r in out.collect()] == [0.0, 0.0, 0.0]
+
+
+def test_impute_on_train_uses_train_medians(spark):
+    rows = [(i, None if i % 10 == 0 else float(i), float(2 * i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    data, names, task, *_ = ML.prepare(df, "y", "id", impute_on="train")
+    assert task == "regression" and names == ["x"]
+    with pytest.raises(ValueError):
+        ML.prepare(df, "y", "id", impute_on="test")
