@@ -16,7 +16,6 @@ import json
 from dataclasses import dataclass, field, fields
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +24,7 @@ from ..functions import classes as C
 from ..functions.columns import (DATE_FORMATS, clip, fill, is_whole, looks_like_date, missing,
                                  parse_date_with, parse_number)
 from . import stats
+from .cache import hold
 
 LOG_SCHEMA = T.StructType([
     T.StructField("step_no", T.IntegerType(), False),
@@ -342,12 +342,12 @@ def clean(df: DataFrame, options: CleanOptions | dict | str | None = None,
         # one shuffle: the de-duplicated table is persisted and counted; the
         # input count is a plain scan
         n_before = cur.count()
-        cur = drop_duplicates(cur).persist(StorageLevel.MEMORY_AND_DISK)
+        cur = hold(drop_duplicates(cur))
         dups = n_before - cur.count()
         if dups > 0:
             log.add("drop_duplicates", None, dups)
     elif persist:
-        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
+        cur = hold(cur)
 
     method = opts.handle_missing
     if method != "none":
@@ -360,7 +360,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | str | None = None,
                 n_rows = next(iter(nc.values()))[0]
                 cur = drop_missing_rows(cur)
                 if persist:
-                    cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
+                    cur = hold(cur)
                 log.add("drop_missing_rows", None, n_rows - cur.count())
             elif method == "drop_cols":
                 thr = opts.missing_col_drop_threshold

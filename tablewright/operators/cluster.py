@@ -12,7 +12,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -22,6 +21,7 @@ from ..functions import columns as X
 from ..functions import classes as C
 from . import features as FE
 from . import stats
+from .cache import hold, release
 
 SCALED = "_s_"
 
@@ -146,10 +146,10 @@ def kmeans(df: DataFrame, key: str, k: int = 3, features=None, n_init: int = 10,
     """K-means on standardised features, best of ``n_init`` seeds."""
     feats = cluster_features(df, features, exclude=(key, *exclude))
     scaled, params, med = scaled_frame(df, feats, [key])
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = hold(scaled)
     check_k(k, scaled.count())
     va = VectorAssembler(inputCols=[SCALED + c for c in feats], outputCol="_vec")
-    vec = va.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = hold(va.transform(scaled))
 
     def fit(i: int):
         model = KMeans(k=k, featuresCol="_vec", initMode="k-means||", seed=seed + i, maxIter=max_iter,
@@ -161,7 +161,7 @@ def kmeans(df: DataFrame, key: str, k: int = 3, features=None, n_init: int = 10,
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
         fits = list(pool.map(fit, range(n_init)))
     cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-    vec.unpersist()
+    release(vec)
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     assigned = assign(scaled, feats, centres)
     return ClusterResult(feats, params, med, centres, assigned, float(cost), k)

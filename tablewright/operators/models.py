@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import classes as C
 from . import features as FE
 from . import metrics as M
+from .cache import hold
 
 REGRESSION_METRICS = ("mse", "rmse", "mae", "r2")
 CLASSIFICATION_METRICS = ("accuracy", "precision", "recall", "f1")
@@ -106,7 +106,7 @@ def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto",
                 impute_on: str = "all") -> TrainResult:
     """Fit and score two models; best by RMSE or accuracy."""
     data, names, task, ctype, codes, steps = prepare(df, target, key, features, model_type, test_size, impute_on)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = hold(data)
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     spark = df.sparkSession

@@ -27,12 +27,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
+from .cache import hold, release
 
 PID = "_pid"
 WEIGHT = "_w"
@@ -96,7 +96,7 @@ class Ranked:
 
     def release(self) -> None:
         if self.persisted is not None:
-            self.persisted.unpersist()
+            release(self.persisted)
 
 
 def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | tuple = (),
@@ -124,7 +124,7 @@ def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | t
         local = local.checkpoint(eager=True)
         persisted = None
     else:
-        local = local.persist(StorageLevel.MEMORY_AND_DISK)
+        local = hold(local)
         persisted = local
     part = local.groupBy(*group_cols, PID).agg(F.sum(WEIGHT).alias(BLOCK_TOTAL))
     win = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +134,7 @@ def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | t
     if small:
         blocks = spark.createDataFrame(got, blocks.schema)
     else:
-        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = hold(blocks)
     right = blocks.select(*group_cols, PID, OFFSET)
     if small:
         right = F.broadcast(right)

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classes import dtype_of, is_numeric
 from ..functions.columns import missing
+from .cache import hold, release
 from .ranking import BLOCK_TOTAL, running_rank, select_ranks
 
 
@@ -102,7 +102,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = hold(counts)
     if _held is not None:
         _held.append(counts)
     limit = IN_MEMORY_DISTINCT_LIMIT if in_memory_limit is None else in_memory_limit
@@ -169,7 +169,7 @@ def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     held: list = []
     rows = quantiles(df, cols, probs, method=method, _held=held, in_memory_limit=in_memory_limit).collect()
     for r in held:
-        r.release() if hasattr(r, "release") else r.unpersist()
+        r.release() if hasattr(r, "release") else release(r)
     out = {c: [None] * len(probs) for c in cols}
     for r in rows:
         out[r["column_name"]][probs.index(r["prob"])] = r["value"]

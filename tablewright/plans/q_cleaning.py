@@ -8,6 +8,7 @@ from ..functions import columns as X
 from ..functions.columns import NUMBER_PATTERN, parse_date_with
 from ..operators import clean as CL
 from ..operators import stats
+from ..operators.cache import hold
 from .fixtures import dirty_orders, with_dirty
 from .registry import query
 
@@ -237,7 +238,7 @@ def c17(spark, sf):
     "then 1 else 0 end) as bigint) as n_outliers from b, t group by b.column_name, b.method"), ("C18",))
 def c18(spark, sf):
     t, _ = CL.fix_types(dirty_orders(spark, sf))
-    t = t.persist()
+    t = hold(t)
     cols = ["o_orderkey", "price", "cust_txt"]
     rows = []
     for method in ("iqr", "zscore"):
@@ -271,7 +272,7 @@ def c19(spark, sf):
 def c20(spark, sf):
     d = CL.drop_duplicates(dirty_orders(spark, sf))
     t, _ = CL.fix_types(d.select("o_orderkey", "price", "cust_txt"))
-    return CL.remove_outliers(t.persist(), ["o_orderkey", "price", "cust_txt"], "iqr")
+    return CL.remove_outliers(hold(t), ["o_orderkey", "price", "cust_txt"], "iqr")
 
 
 def _default_sql(select: str) -> str:
