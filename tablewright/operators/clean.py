@@ -338,20 +338,27 @@ def clean(df: DataFrame, options: CleanOptions | dict | str | None = None,
     cur = df
     qm = opts.quantile_method
 
+    method = opts.handle_missing
+    nc = None
     if opts.drop_duplicates:
-        # one shuffle: the de-duplicated table is persisted and counted; the
-        # input count is a plain scan
+        # one shuffle: the de-duplicated table is persisted; its row count
+        # comes with the null counts when those are needed anyway
         n_before = cur.count()
         cur = hold(drop_duplicates(cur))
-        dups = n_before - cur.count()
+        if method != "none":
+            nc = {r["column_name"]: (r["n_rows"], r["n_missing"]) for r in stats.null_counts(cur).collect()}
+            n_after = next(iter(nc.values()))[0] if nc else cur.count()
+        else:
+            n_after = cur.count()
+        dups = n_before - n_after
         if dups > 0:
             log.add("drop_duplicates", None, dups)
     elif persist:
         cur = hold(cur)
 
-    method = opts.handle_missing
     if method != "none":
-        nc = {r["column_name"]: (r["n_rows"], r["n_missing"]) for r in stats.null_counts(cur).collect()}
+        if nc is None:
+            nc = {r["column_name"]: (r["n_rows"], r["n_missing"]) for r in stats.null_counts(cur).collect()}
         total_before = sum(m for _, m in nc.values())
         if total_before > 0:
             numeric = C.numeric_columns(cur)
