@@ -120,7 +120,7 @@ _MEMO: dict = {}
 
 
 def _kmeans(spark, sf):
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
         c = table(spark, sf, "customer")
         _MEMO[key] = CU.kmeans(c, "c_custkey", k=3, features=["c_acctbal", "c_nationkey"])

@@ -251,7 +251,7 @@ _MEMO: dict = {}
 
 
 def _fit(spark, sf, which):
-    key = (id(spark), sf, which)
+    key = (spark.sparkContext.applicationId, sf, which)
     if key not in _MEMO:
         if which == "regression":
             _MEMO[key] = ML.train_model(table(spark, sf, "part").drop("p_name"), "p_retailprice", key="p_partkey")

@@ -26,7 +26,8 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str, sql: str | None = None, ids: tuple = ()):
     def deco(fn):
-        if name in QUERIES:
+        old = QUERIES.get(name)
+        if old is not None and (old.fn.__module__, old.fn.__qualname__) != (fn.__module__, fn.__qualname__):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = Query(name, fn, sql.strip() if sql else None, ids)
         return fn
