@@ -24,6 +24,22 @@ DATE_FORMATS = (
     "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "yyyy/M/d",
     "M/d/yyyy", "M-d-yyyy", "M/d/yy", "d/M/yyyy", "d-M-yyyy", "d/M/yy",
 )
+# Shape of the text each format can parse (trimmed), so a parse is attempted
+# only where it can succeed; month-first and day-first formats share shapes
+# and are told apart by the parser's range checks.
+_YMD = r"\d{4}-\d{1,2}-\d{1,2}"
+DATE_FORMAT_SHAPES = {
+    "yyyy-M-d H:m:s": rf"^{_YMD} \d{{1,2}}:\d{{1,2}}:\d{{1,2}}$",
+    "yyyy-M-d'T'H:m:s": rf"^{_YMD}T\d{{1,2}}:\d{{1,2}}:\d{{1,2}}$",
+    "yyyy-M-d": rf"^{_YMD}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+}
 # Text read as missing by the CSV source.
 NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "-NaN", "-nan")
 
@@ -57,15 +73,21 @@ def parse_number(c) -> Column:
     return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
+def _try_format(t: Column, fmt: str) -> Column:
+    shape = DATE_FORMAT_SHAPES.get(fmt)
+    parsed = F.try_to_timestamp(t, F.lit(fmt))
+    return F.when(t.rlike(shape), parsed) if shape else parsed
+
+
 def parse_date(c, formats=DATE_FORMATS) -> Column:
     """H2: coercing date parse with the first format that fits."""
     t = F.trim(_col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    return F.coalesce(*[_try_format(t, f) for f in formats]).cast("timestamp_ntz")
 
 
 def parse_date_with(c, fmt: str) -> Column:
     t = F.trim(_col(c).cast("string"))
-    return F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
+    return _try_format(t, fmt).cast("timestamp_ntz")
 
 
 def looks_like_date(c) -> Column:
