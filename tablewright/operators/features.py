@@ -7,14 +7,12 @@ stratified split come from the skew-safe ``running_rank``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..functions.columns import date_parts, fill, missing
+from ..functions.columns import date_parts, fill
 from . import stats
 from .ranking import BLOCK_TOTAL, CUM, running_rank
 
@@ -231,14 +229,3 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     j = r.rows.join(sizes, r.rows[label].eqNullSafe(sizes["_lbl"]), "inner").drop("_lbl")
     return j.withColumn("is_test", F.col(CUM) <= F.ceil(F.lit(test_size) * F.col("_n"))) \
         .drop("_h", "_n", CUM, "_w", "_pid")
-
-
-def missing_any(df: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(False)
-    for c in cols:
-        cond = cond | missing(F.col(c), C.dtype_of(df, c))
-    return cond
-
-
-def ceil_share(share: float, n: int) -> int:
-    return int(math.ceil(share * n))

@@ -176,7 +176,3 @@ def profile(df: DataFrame, top_k: int = 5, decimals: int = 2, method: str = "exa
         numeric=numeric_summary(df, num, decimals, method) if num else empty_num,
         categorical=categorical_summary(df, cat) if cat else empty_cat,
         top_values=top_values(df, cat, top_k) if cat else empty_top)
-
-
-def missing_mask(df: DataFrame) -> list:
-    return [missing(F.col(f.name), f.dataType) for f in df.schema.fields]

@@ -46,13 +46,6 @@ CUM = "_cum"
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def null_safe_join_cond(left: DataFrame, right: DataFrame, cols) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def _running_sum_fn(group_cols: list[str]):
     def run(batches):
         carry_key = None

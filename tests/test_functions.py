@@ -1,8 +1,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
-
 from tablewright.functions import columns as X
 
 
