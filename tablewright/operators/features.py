@@ -7,7 +7,7 @@ stratified split come from the skew-safe ``running_rank``.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +83,22 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True,
 
 
 def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
-    """E2 for wide columns: indices in descending alphabetical order and
-    ``dropLast`` drop exactly the alphabetically first level."""
+    """E2 for wide columns (no level limit): one sparse vector column.
+
+    Level codes come from the distributed ``label_codes`` (no label list on
+    the driver), reversed so that ``dropLast`` drops exactly the
+    alphabetically first level; a missing value gets that level's code too,
+    which makes it all zeros as in the reference."""
     out_col = out_col or f"{col}_vec"
-    idx = StringIndexer(inputCol=col, outputCol=f"{col}__idx", stringOrderType="alphabetDesc",
-                        handleInvalid="keep").fit(df)
-    enc = OneHotEncoder(inputCols=[f"{col}__idx"], outputCols=[out_col], dropLast=True,
-                        handleInvalid="keep").fit(idx.transform(df))
-    return enc.transform(idx.transform(df)).drop(f"{col}__idx")
+    idx_col = f"{col}__idx"
+    codes = label_codes(df, col)
+    n = codes.count()
+    rev = codes.select(F.col("label").alias("_lvl"), (F.lit(n - 1) - F.col("code")).cast("double").alias(idx_col))
+    right = F.broadcast(rev) if n <= BROADCAST_LABELS else rev   # else a shuffle join; AQE splits a hot level
+    j = df.join(right, df[col] == right["_lvl"], "left").drop("_lvl") \
+        .withColumn(idx_col, F.coalesce(F.col(idx_col), F.lit(float(n - 1))))
+    enc = OneHotEncoder(inputCols=[idx_col], outputCols=[out_col], dropLast=True).fit(j)
+    return enc.transform(j).drop(idx_col)
 
 
 def expand_dates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -128,3 +128,10 @@ def test_impute_on_train_uses_train_medians(spark):
     assert task == "regression" and names == ["x"]
     with pytest.raises(ValueError):
         ML.prepare(df, "y", "id", impute_on="test")
+
+
+def test_one_hot_vector_matches_explicit_columns(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c")], "id int, k string")
+    vec = {r.id: r.k_vec.toArray().tolist() for r in FE.one_hot_vector(df, "k").collect()}
+    assert vec[2] == [0.0, 0.0] and vec[3] == [0.0, 0.0]        # first level and missing: zeros
+    assert sorted(map(tuple, [vec[1], vec[4]])) == [(0.0, 1.0), (1.0, 0.0)]
