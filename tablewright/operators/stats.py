@@ -33,12 +33,18 @@ IN_MEMORY_DISTINCT_LIMIT = 500_000
 def wide_agg(df: DataFrame, exprs: list, weights: list[int] | None = None) -> dict:
     """Run many single-row aggregate expressions; returns {alias: value}.
 
-    Expressions are grouped into aggregates of at most ``AGG_FIELD_BUDGET``
-    buffer fields (``weights`` estimates the fields per expression)."""
+    Expressions are grouped into aggregates that stay below the session's
+    ``spark.sql.codegen.maxFields`` (``weights`` estimates the buffer fields
+    per expression)."""
     weights = weights or [1] * len(exprs)
+    try:
+        budget = int(df.sparkSession.conf.get("spark.sql.codegen.maxFields", "100")) - 4
+    except (TypeError, ValueError):
+        budget = AGG_FIELD_BUDGET
+    budget = max(budget, 8)
     chunks, cur, used = [], [], 0
     for e, w in zip(exprs, weights):
-        if cur and used + w > AGG_FIELD_BUDGET:
+        if cur and used + w > budget:
             chunks.append(cur)
             cur, used = [], 0
         cur.append(e)
