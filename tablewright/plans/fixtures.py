@@ -56,5 +56,8 @@ dirty as (select * from dirty_base union all select * from dirty_base where o_or
 
 
 def with_dirty(sql: str) -> str:
-    """Prefix a DuckDB query (that starts with ``with``'s body) with the dirty view."""
-    return "with " + DIRTY_SQL.strip() + ",\n" + sql.strip()
+    """Prefix a DuckDB query with the dirty view: ``sql`` is either a plain
+    ``select`` or further CTEs (``name as (...), ... select ...``)."""
+    body = sql.strip()
+    sep = "\n" if body.lower().startswith("select") else ",\n"
+    return "with " + DIRTY_SQL.strip() + sep + body

@@ -26,13 +26,13 @@ def _num(c):
             f"then try_cast(trim({c}) as double) end")
 
 
-@query("c01_drop_duplicates", with_dirty("d as (select 1) select distinct * from dirty"), ("C1",))
+@query("c01_drop_duplicates", with_dirty("select distinct * from dirty"), ("C1",))
 def c01(spark, sf):
     return CL.drop_duplicates(dirty_orders(spark, sf))
 
 
 @query("c01_duplicate_count", with_dirty(
-    "d as (select 1) select cast((select count(*) from dirty) - (select count(*) from (select distinct * from dirty))"
+    "select cast((select count(*) from dirty) - (select count(*) from (select distinct * from dirty))"
     " as bigint) as n_duplicates"), ("C1", "B6"))
 def c01_count(spark, sf):
     d = dirty_orders(spark, sf)
@@ -40,7 +40,7 @@ def c01_count(spark, sf):
 
 
 @query("c02_drop_missing_rows", with_dirty(
-    "d as (select 1) select * from dirty where " + " and ".join(f"{c} is not null" for c in DIRTY_COLS)
+    "select * from dirty where " + " and ".join(f"{c} is not null" for c in DIRTY_COLS)
     + " and not isnan(price)"), ("C2",))
 def c02(spark, sf):
     return CL.drop_missing_rows(dirty_orders(spark, sf))
@@ -59,7 +59,7 @@ def c03_report(spark, sf):
 
 
 @query("c03_drop_sparse_columns", with_dirty(
-    "d as (select 1) select o_orderkey, price, priority, cust_txt, date_txt from dirty"), ("C3",))
+    "select o_orderkey, price, priority, cust_txt, date_txt from dirty"), ("C3",))
 def c03(spark, sf):
     return CL.drop_sparse_columns(dirty_orders(spark, sf), 0.5)
 
@@ -179,7 +179,7 @@ def c13(spark, sf):
 
 
 @query("c14_date_conversion", with_dirty(
-    "d as (select 1) select o_orderkey, date_txt as raw, try_strptime(trim(date_txt), '%Y-%m-%d') as parsed from dirty"),
+    "select o_orderkey, date_txt as raw, try_strptime(trim(date_txt), '%Y-%m-%d') as parsed from dirty"),
     ("C14", "H2"))
 def c14(spark, sf):
     d = dirty_orders(spark, sf)
@@ -191,7 +191,7 @@ def c14(spark, sf):
 
 
 @query("c15_fix_types", with_dirty(
-    f"d as (select 1) select o_orderkey, price, priority, cast({_num('cust_txt')} as bigint) as cust_txt, "
+    f"select o_orderkey, price, priority, cast({_num('cust_txt')} as bigint) as cust_txt, "
     "try_strptime(trim(date_txt), '%Y-%m-%d') as date_txt, sparse_status from dirty"), ("C15",))
 def c15(spark, sf):
     out, _ = CL.fix_types(dirty_orders(spark, sf))

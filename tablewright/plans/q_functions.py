@@ -16,21 +16,21 @@ DUCK_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d"
 
 
 @query("h01_parse_number", with_dirty(
-    f"d as (select 1) select o_orderkey, case when regexp_matches(trim(cust_txt), '{NUM}') "
+    f"select o_orderkey, case when regexp_matches(trim(cust_txt), '{NUM}') "
     "then try_cast(trim(cust_txt) as double) end as value from dirty"), ("H1",))
 def h01(spark, sf):
     return dirty_orders(spark, sf).select("o_orderkey", X.parse_number("cust_txt").alias("value"))
 
 
 @query("h02_parse_date", with_dirty(
-    "d as (select 1) select o_orderkey, coalesce(" + ", ".join(
+    "select o_orderkey, coalesce(" + ", ".join(
         f"try_strptime(trim(date_txt), '{f}')" for f in DUCK_FORMATS) + ") as value from dirty"), ("H2",))
 def h02(spark, sf):
     return dirty_orders(spark, sf).select("o_orderkey", X.parse_date("date_txt").alias("value"))
 
 
 @query("h03_date_pattern", with_dirty(
-    f"d as (select 1) select o_orderkey, coalesce(regexp_matches(date_txt, '{DATE_RE}'), false) as value from dirty"),
+    f"select o_orderkey, coalesce(regexp_matches(date_txt, '{DATE_RE}'), false) as value from dirty"),
     ("H3",))
 def h03(spark, sf):
     return dirty_orders(spark, sf).select("o_orderkey", F.coalesce(X.looks_like_date("date_txt"), F.lit(False)).alias("value"))
@@ -42,7 +42,7 @@ def h04(spark, sf):
 
 
 @query("h05_missing", with_dirty(
-    "d as (select 1) select o_orderkey, price is null or isnan(price) as price_missing, "
+    "select o_orderkey, price is null or isnan(price) as price_missing, "
     "priority is null as priority_missing from dirty"), ("H5",))
 def h05(spark, sf):
     d = dirty_orders(spark, sf)
@@ -51,7 +51,7 @@ def h05(spark, sf):
 
 
 @query("h06_fill", with_dirty(
-    "d as (select 1) select o_orderkey, coalesce(price, -1.0) as price, coalesce(priority, 'Unknown') as priority "
+    "select o_orderkey, coalesce(price, -1.0) as price, coalesce(priority, 'Unknown') as priority "
     "from dirty"), ("H6",))
 def h06(spark, sf):
     d = dirty_orders(spark, sf)

@@ -65,7 +65,7 @@ def b05(spark, sf):
 
 
 @query("b06_duplicate_rows", with_dirty(
-    "d as (select 1) select cast((select count(*) from dirty) - (select count(*) from (select distinct * from dirty)) "
+    "select cast((select count(*) from dirty) - (select count(*) from (select distinct * from dirty)) "
     "as bigint) as duplicate_rows"), ("B6",))
 def b06(spark, sf):
     return P.duplicate_rows(dirty_orders(spark, sf))
