@@ -308,3 +308,25 @@ def c23(spark, sf):
     _, log = CL.clean(dirty_orders(spark, sf))
     return log.select("step_no", "step", "column_name", "n_affected",
                       X.round_half_up("lower", 4).alias("lower"), X.round_half_up("upper", 4).alias("upper"))
+
+
+@query("c19_clip_outliers_zscore", with_dirty(
+    "s as (select avg(price) m, stddev_samp(price) sd from dirty)\n"
+    "select o_orderkey, case when price is not null then "
+    "round(greatest(least(price, m + 3 * sd), m - 3 * sd), 4) end as price, priority, cust_txt, date_txt, sparse_status "
+    "from dirty, s"), ("C17", "C19"))
+def c19z(spark, sf):
+    out, _ = CL.clean(dirty_orders(spark, sf), {"handle_outliers": "clip", "outlier_method": "zscore",
+                                                "outlier_exclude": ["o_orderkey"]})
+    return _round(out, ["price"])
+
+
+@query("c20_remove_outliers_zscore", with_dirty(
+    "b1 as (select avg(price) m, stddev_samp(price) sd from dirty),\n"
+    "r1 as (select dirty.* from dirty, b1 where not coalesce(price < m - 3 * sd or price > m + 3 * sd, false)),\n"
+    "b2 as (select avg(o_orderkey) m, stddev_samp(o_orderkey) sd from r1)\n"
+    "select r1.* from r1, b2 where not coalesce(o_orderkey < m - 3 * sd or o_orderkey > m + 3 * sd, false)"),
+    ("C17", "C20"))
+def c20z(spark, sf):
+    # price first, then o_orderkey with bounds from the surviving rows
+    return CL.remove_outliers(hold(dirty_orders(spark, sf)), ["price", "o_orderkey"], "zscore", threshold=3)

@@ -116,3 +116,11 @@ def test_outlier_exclude_keeps_id_column(spark):
     df = spark.createDataFrame(rows, "id bigint, v double")
     out, log = CL.clean(df, {"handle_outliers": "clip", "outlier_exclude": ["id"]})
     assert dict(out.dtypes)["id"] == "bigint" and out.agg(F.max("id")).collect()[0][0] == 10_000
+
+
+def test_drop_cols_strategy_through_pipeline(spark):
+    rows = [(i, None if i % 4 else "x", float(i)) for i in range(20)]   # s is 75 % missing
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    out, log = CL.clean(df, {"handle_missing": "drop_cols"})
+    assert out.columns == ["k", "v"]
+    assert [(r.step, r.column_name) for r in log.collect()] == [("drop_sparse_column", "s")]
