@@ -82,7 +82,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """A1: read a CSV file or folder into a typed DataFrame."""
     text = read_csv_text(spark, path, sep, null_tokens)
     if schema is not None:
-        st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         return text.select(*[F.trim(F.col(f.name)).cast(f.dataType).alias(f.name) for f in st.fields])
     if not infer:
         return text

@@ -63,3 +63,10 @@ def test_map_batches_and_sql(spark):
     assert TR.sql(spark, "select sum(v) s from {d}", d=df).collect()[0].s == 5.0
     res, status, _ = TR.run_user_code(df, lambda d: d.where(F.col("k") > 1))
     assert status == "changed" and res.count() == 1
+
+
+def test_csv_user_schema(spark, tmp_path):
+    p = tmp_path / "s.csv"
+    p.write_text("a,b\n 1 ,x\n2,y\n")
+    df = CSV.read_csv(spark, str(p), schema="a int, b string")
+    assert dict(df.dtypes) == {"a": "int", "b": "string"} and [r.a for r in df.collect()] == [1, 2]
