@@ -36,7 +36,12 @@ def b07e(spark, sf):
     return P.overview(table(spark, sf, "embeddings"))
 
 
-@query("b02_column_types", None, ("B2",))
+@query("b02_column_types", """
+select cast(ordinal_position - 1 as int) as position, column_name,
+       case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double'
+                      when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' else lower(data_type) end
+         as data_type
+from information_schema.columns where table_name = 'orders'""", ("B2",))
 def b02(spark, sf):
     return P.column_types(table(spark, sf, "orders"))
 
