@@ -60,7 +60,7 @@ def b03(spark, sf):
 
 
 @query("b05_missing_sorted", _missing_sql(
-    "select column_name, missing_pct, row_number() over (order by missing_pct desc, column_name) as sort_rank from m"),
+    "select column_name, missing_pct, cast(row_number() over (order by missing_pct desc, column_name) as int) as sort_rank from m"),
     ("B5",))
 def b05(spark, sf):
     m = P.missing_table(dirty_orders(spark, sf))
@@ -124,14 +124,14 @@ def b10d(spark, sf):
 
 
 @query("b11_top_values", _cat_sql("part", ["p_name", "p_brand", "p_type"]) +
-       ", r as (select *, row_number() over (partition by column_name order by n desc, value) as rank from vc)\n"
+       ", r as (select *, cast(row_number() over (partition by column_name order by n desc, value) as int) as rank from vc)\n"
        "select column_name, rank, value, n from r where rank <= 5", ("B11",))
 def b11(spark, sf):
     return P.top_values(table(spark, sf, "part"), k=5)
 
 
 @query("b11_top_values_orders", _cat_sql("orders", ["o_orderstatus", "o_orderpriority"]) +
-       ", r as (select *, row_number() over (partition by column_name order by n desc, value) as rank from vc)\n"
+       ", r as (select *, cast(row_number() over (partition by column_name order by n desc, value) as int) as rank from vc)\n"
        "select column_name, rank, value, n from r where rank <= 5", ("B11",))
 def b11o(spark, sf):
     return P.top_values(table(spark, sf, "orders"), k=5)
