@@ -1,7 +1,7 @@
 """Run catalogue queries in Spark and their DuckDB twins; compare results.
 
 Usage: python tools/oracle_check.py [--sf DIR] [name-prefix ...]
-Comparison: same column names, same row count, and equal multisets of rows
+Comparison: same column names and types, same row count, and equal multisets of rows
 (columns sorted by name, floats compared after rounding to 6 significant
 decimals of their own magnitude).
 """
@@ -48,6 +48,10 @@ def norm(v):
     return str(v)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -97,6 +101,12 @@ def main():
             print(f"FAIL {name}: columns spark={scols} duckdb={dcols}")
             bad += 1
             continue
+        dtypes = {d[0]: str(d[1]) for d in res.description}
+        wrong = [(c, t, dtypes[c]) for c, t in sdf.dtypes if SPARK_TO_DUCK.get(t, t) != dtypes[c]]
+        if wrong:
+            print(f"FAIL {name}: types differ {wrong}")
+            bad += 1
+            continue
         a_rows, b_rows = rows_of(scols, srows), rows_of(dcols, drows)
         if len(a_rows) != len(b_rows):
             print(f"FAIL {name}: rows spark={len(a_rows)} duckdb={len(b_rows)}")
