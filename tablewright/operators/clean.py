@@ -24,7 +24,7 @@ from ..functions import classes as C
 from ..functions.columns import (DATE_FORMATS, clip, fill, is_whole, looks_like_date, missing,
                                  parse_date_with, parse_number)
 from . import stats
-from .cache import hold
+from .cache import hold, release
 
 LOG_SCHEMA = T.StructType([
     T.StructField("step_no", T.IntegerType(), False),
@@ -252,16 +252,7 @@ def outlier_bounds(df: DataFrame, cols: list[str], method: str = "iqr", multipli
     if not cols:
         return {}
     if method == "iqr":
-        q = stats.scalar_quantiles(df, cols, [0.25, 0.75], quantile_method)
-        out = {}
-        for c in cols:
-            q1, q3 = q[c]
-            if q1 is None or q3 is None:
-                out[c] = (None, None)
-            else:
-                iqr = q3 - q1
-                out[c] = (q1 - multiplier * iqr, q3 + multiplier * iqr)
-        return out
+        return _iqr_bounds(stats.scalar_quantiles(df, cols, [0.25, 0.75], quantile_method), cols, multiplier)
     if method == "zscore":
         row = stats.wide_agg(df, [e for c in cols for e in (
             F.avg(F.when(~missing(F.col(c), C.dtype_of(df, c)), F.col(c))).alias(f"m_{c}"),
@@ -275,6 +266,39 @@ def outlier_bounds(df: DataFrame, cols: list[str], method: str = "iqr", multipli
     raise ValueError(f"unknown outlier method {method!r}")
 
 
+def _iqr_bounds(q: dict, cols: list[str], multiplier: float) -> dict:
+    out = {}
+    for c in cols:
+        q1, q3 = q[c]
+        out[c] = (None, None) if q1 is None or q3 is None else \
+            (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
+    return out
+
+
+def iqr_bounds_and_counts(df: DataFrame, cols: list[str], multiplier: float = 1.5) -> tuple[dict, dict]:
+    """C16 + C18 for the exact IQR method from one value-count table: the
+    quartiles and the outlier counts both read the persisted (column, value,
+    count) table, so the rows are scanned once."""
+    if not cols:
+        return {}, {}
+    counts = stats.value_counts(df, cols)
+    probs = [0.25, 0.75]
+    held: list = [counts]
+    got = {c: [None, None] for c in cols}
+    for r in stats.quantiles_from_counts(counts, ["column_name"], probs, held).collect():
+        got[r["column_name"]][probs.index(r["prob"])] = r["value"]
+    bounds = _iqr_bounds(got, cols, multiplier)
+    flag = F.lit(False)
+    for c, (lo, hi) in bounds.items():
+        if lo is not None:
+            flag = F.when(F.col("column_name") == c, (F.col("v") < F.lit(lo)) | (F.col("v") > F.lit(hi))).otherwise(flag)
+    n = {r["column_name"]: int(r["n"]) for r in
+         counts.where(flag).groupBy("column_name").agg(F.sum("_n").alias("n")).collect()}
+    for h in held:
+        h.release() if hasattr(h, "release") else release(h)
+    return bounds, {c: n.get(c, 0) for c in cols}
+
+
 def outside(c: str, lower, upper):
     """Outlier mask; NULL (and unknown bounds) count as inside."""
     if lower is None or upper is None:
@@ -313,8 +337,12 @@ def remove_outliers(df: DataFrame, cols: list[str], method: str = "iqr", multipl
     """
     cur = df
     for c in cols:
-        (lo, hi), = outlier_bounds(cur, [c], method, multiplier, threshold, quantile_method).values()
-        n = count_outliers(cur, {c: (lo, hi)})[c]
+        if method == "iqr" and quantile_method == "exact":
+            b, k = iqr_bounds_and_counts(cur, [c], multiplier)
+            (lo, hi), n = b[c], k[c]
+        else:
+            (lo, hi), = outlier_bounds(cur, [c], method, multiplier, threshold, quantile_method).values()
+            n = count_outliers(cur, {c: (lo, hi)})[c]
         if n > 0:
             cur = cur.where(~outside(c, lo, hi))
             if log is not None:
@@ -406,9 +434,12 @@ def clean(df: DataFrame, options: CleanOptions | dict | str | None = None,
     if how:
         cols = [c for c in C.numeric_columns(cur) if c not in set(opts.outlier_exclude or ())]
         if how == "clip":
-            bounds = outlier_bounds(cur, cols, opts.outlier_method, opts.iqr_multiplier,
-                                    opts.zscore_threshold, qm)
-            counts = count_outliers(cur, bounds)
+            if opts.outlier_method == "iqr" and qm == "exact":
+                bounds, counts = iqr_bounds_and_counts(cur, cols, opts.iqr_multiplier)
+            else:
+                bounds = outlier_bounds(cur, cols, opts.outlier_method, opts.iqr_multiplier,
+                                        opts.zscore_threshold, qm)
+                counts = count_outliers(cur, bounds)
             cur = clip_outliers(cur, bounds, counts)
             for c in cols:
                 if counts.get(c, 0) > 0:

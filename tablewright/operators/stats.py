@@ -107,10 +107,25 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
             .select(*keys, "prob", "value")
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
-    counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
-    counts = hold(counts)
+    counts = value_counts(df, cols, by)
     if _held is not None:
         _held.append(counts)
+    return quantiles_from_counts(counts, keys, probs, _held, in_memory_limit)
+
+
+def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Persisted ``(by..., column_name, v, _n)``: count of every non-missing
+    value per column (map-side combined).  Exact quantiles, and anything else
+    that only needs the value distribution, read this instead of the rows."""
+    by = list(by)
+    long = long_values(df, cols, by)
+    return hold(long.groupBy(*by, "column_name", "v").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def quantiles_from_counts(counts: DataFrame, keys: list[str], probs: Sequence[float], _held: list | None = None,
+                          in_memory_limit: int | None = None) -> DataFrame:
+    """Exact quantiles ``(keys..., prob, value)`` from a ``value_counts`` table."""
+    probs = [float(p) for p in probs]
     limit = IN_MEMORY_DISTINCT_LIMIT if in_memory_limit is None else in_memory_limit
     if counts.count() <= limit:
         return _quantiles_in_memory(counts, keys, probs)

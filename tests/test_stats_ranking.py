@@ -53,9 +53,10 @@ def test_running_rank_hot_group(spark):
     assert len(m) == len(pdf)
     assert (m[ranking.CUM] == m["rk"]).all()
     # the hot group (a third of the rows) is spread over several range
-    # partitions: no single block holds most of it
+    # partitions, none much larger than an average partition (the range
+    # bounds come from a sample, hence the tolerance)
     hot = [b[ranking.BLOCK_TOTAL] for b in r.blocks.where(F.col("g") == "hot").collect()]
-    assert len(hot) > 1 and max(hot) <= 0.5 * sum(hot)
+    assert len(hot) > 1 and max(hot) <= 1.5 * len(pdf) / 6
 
 
 def test_running_rank_weighted_no_groups(spark):
