@@ -40,3 +40,9 @@ def test_profile_json_is_one_document(spark):
     doc = json.loads(P.profile(df).to_json().collect()[0][0])
     assert doc["overview"]["n_rows"] == 2 and doc["duplicates"]["duplicate_rows"] == 0
     assert {m["column_name"] for m in doc["missing"]} == {"x", "s"}
+
+
+def test_categorical_summary_approx(spark):
+    df = spark.createDataFrame([(str(i % 50),) for i in range(1000)], "k string")
+    r = P.categorical_summary(df, approx=True).collect()[0]
+    assert abs(r.unique_values - 50) <= 3

@@ -70,3 +70,11 @@ def test_csv_user_schema(spark, tmp_path):
     p.write_text("a,b\n 1 ,x\n2,y\n")
     df = CSV.read_csv(spark, str(p), schema="a int, b string")
     assert dict(df.dtypes) == {"a": "int", "b": "string"} and [r.a for r in df.collect()] == [1, 2]
+
+
+def test_dataset_register_views(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    ds = Dataset(a, name="tw_reg").with_cleaned(a.dropDuplicates())
+    ds.register()
+    assert spark.sql("select count(*) c from tw_reg").collect()[0].c == 2
+    assert spark.sql("select count(*) c from tw_reg_original").collect()[0].c == 3
