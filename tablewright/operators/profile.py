@@ -139,6 +139,22 @@ class Profile:
     categorical: DataFrame
     top_values: DataFrame
 
+    def parts(self) -> dict[str, DataFrame]:
+        return {"overview": self.overview, "column_types": self.column_types, "missing": self.missing,
+                "duplicates": self.duplicates, "numeric_summary": self.numeric,
+                "categorical_summary": self.categorical, "top_values": self.top_values}
+
+    def collect(self) -> dict:
+        """B12 on the driver: every (small) part as a list of dicts; a part
+        that fails is recorded as ``{"error": message}`` instead of raising."""
+        out = {}
+        for name, d in self.parts().items():
+            try:
+                out[name] = [r.asDict() for r in d.collect()]
+            except Exception as e:  # noqa: BLE001 - recorded, as the reference does per column
+                out[name] = {"error": f"{type(e).__name__}: {e}"[:500]}
+        return out
+
     def to_json(self) -> DataFrame:
         """The whole profile as one JSON document (one row, one column).
 

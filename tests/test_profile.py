@@ -46,3 +46,14 @@ def test_categorical_summary_approx(spark):
     df = spark.createDataFrame([(str(i % 50),) for i in range(1000)], "k string")
     r = P.categorical_summary(df, approx=True).collect()[0]
     assert abs(r.unique_values - 50) <= 3
+
+
+def test_profile_collect_records_failing_part(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, s string")
+    prof = P.profile(df)
+    got = prof.collect()
+    assert got["overview"][0]["n_rows"] == 2 and "error" not in got["top_values"]
+    # a part that cannot be computed is recorded, the others are still returned
+    prof.top_values = df.selectExpr("assert_true(x > 5) as boom")
+    got = prof.collect()
+    assert "error" in got["top_values"] and got["missing"]
