@@ -74,7 +74,9 @@ def scatter(df: DataFrame, x: str, y: str, color: str | None = None, sample_frac
     if sample_fraction is not None:
         if key is None:
             raise ValueError("a sample needs a key column")
-        out = out.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(sample_fraction * 1_000_000))
+        # the same key hash as the train/test split: first 32 bits of md5, modulo 10000
+        h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 10000
+        out = out.where(h < int(round(sample_fraction * 10000)))
     return out
 
 

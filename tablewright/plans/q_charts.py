@@ -192,3 +192,11 @@ select d.priority, d.o_orderkey, d.price from dirty d join q using (priority)
 where d.price < q1 - 1.5 * (q3 - q1) or d.price > q3 + 1.5 * (q3 - q1)""", ("D9",))
 def d09d(spark, sf):
     return D.box_outliers(dirty_orders(spark, sf), "price", "priority", keep=["o_orderkey"])
+
+
+@query("d02_scatter_sample", "select * from orders where "
+       "(('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 8))::bigint % 10000) < 1000", ("D2",))
+def d02s(spark, sf):
+    # a deterministic 10 % key-hash sample is the feature here (a chart of a huge table)
+    return D.scatter(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", color="o_orderstatus",
+                     sample_fraction=0.1, key="o_orderkey")
