@@ -124,3 +124,13 @@ def test_drop_cols_strategy_through_pipeline(spark):
     out, log = CL.clean(df, {"handle_missing": "drop_cols"})
     assert out.columns == ["k", "v"]
     assert [(r.step, r.column_name) for r in log.collect()] == [("drop_sparse_column", "s")]
+
+
+def test_approx_quantile_option_close_to_exact(spark):
+    rows = [(float(i % 97) + (500.0 if i % 50 == 0 else 0.0),) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double")
+    exact = CL.outlier_bounds(df, ["x"], "iqr")["x"]
+    approx = CL.outlier_bounds(df, ["x"], "iqr", quantile_method="approx")["x"]
+    assert abs(exact[0] - approx[0]) < 5 and abs(exact[1] - approx[1]) < 5
+    out, log = CL.clean(df, {"handle_outliers": "clip", "quantile_method": "approx"})
+    assert out.agg(F.max("x")).collect()[0][0] <= approx[1] + 1e-9
