@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, quality_rules, sharding, token_counts
+from . import bpe_trie, quality_rules, sharding, substring_dedup, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(documents(spark, sf_dir), 13)
+
+
+SQL["op3_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+runs as (select doc_id, i, list(word) over (partition by doc_id order by i rows between current row and 12 following) as r
+         from words),
+windows as (select doc_id, i, md5(array_to_string(r, ' ')) as h from runs where len(r) = 13),
+late as (select doc_id, i, min(doc_id) over (partition by h) < doc_id as is_late from windows),
+gone as (select distinct doc_id, i + j as i from late, (select unnest(range(13)) as j) where is_late),
+kept as (select words.doc_id, count(g.i) as n_removed, string_agg(word, ' ' order by words.i) filter (g.i is null) as t
+         from words left join gone g on words.doc_id = g.doc_id and words.i = g.i group by words.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
