@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, quality_rules, sharding, substring_dedup, token_counts
+from . import bpe_trie, line_dedup, quality_rules, sharding, substring_dedup, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,32 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0)
        sha256(coalesce(t, '')) as kept_sha256
 from w left join kept using (doc_id)
 """
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op9_line_dedup"] = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as no from d),
+w as (select doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l),
+places as (select doc_id, no, array_to_string(ws, ' ') as k, len(ws) as n, ws,
+                  row_number() over (partition by array_to_string(ws, ' ') order by doc_id, no) as copy,
+                  row_number() over (order by doc_id, no) as place
+           from w where len(ws) > 0),
+firsts as (select * from places where copy = 1 and n >= 8),
+parts as (select place, ws, n, unnest(range(1, n + 2)) as i from firsts),
+variants as (select place, i, md5(array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ')) as h from parts where i <= n
+             union all select place, i, md5(array_to_string(ws, ' ')) from parts),
+late as (select distinct place from (select place, min(place) over (partition by i, h) as e from variants) where e < place),
+gone as (select doc_id, no from places where copy > 1
+         union select doc_id, no from places where place in (select place from late)),
+kept as (select l.doc_id, string_agg(line, chr(10) order by l.no) filter (g.no is null) as t, count(g.no) as n_removed
+         from l left join gone g on l.doc_id = g.doc_id and l.no = g.no group by l.doc_id),
+counted as (select doc_id, count(*) as n_lines from places group by doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id) left join counted using (doc_id)
+"""
