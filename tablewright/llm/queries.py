@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, line_dedup, quality_rules, sharding, substring_dedup, token_counts
+from . import bpe_trie, jaccard_join, line_dedup, quality_rules, sharding, substring_dedup, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ counted as (select doc_id, count(*) as n_lines from places group by doc_id)
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id) left join counted using (doc_id)
 """
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(documents(spark, sf_dir))

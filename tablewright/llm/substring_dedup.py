@@ -47,13 +47,13 @@ PART_WORDS = 3_000_000
 PIECES = "id bigint, row_key bigint, start int, n int, src_id bigint, src_start int"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(29))
 
 
-def _runs(words: np.ndarray, length: int, seed: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, length: int, seed: int) -> np.ndarray:
     """Hash of each run of ``length`` words: a sum with one random odd factor for each place."""
     factors = np.random.default_rng(seed).integers(0, 2**63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     n = len(words) - length + 1
@@ -61,7 +61,7 @@ def _runs(words: np.ndarray, length: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for j, f in enumerate(factors if n > 0 else ()):
             total += words[j:j + n] * f
-    return _mix(total)
+    return mix(total)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -100,12 +100,12 @@ class _Part:
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         flat = np.concatenate(self.words)
         self.words = []
-        edge = _runs(flat, k, 1)
-        least = _least(_runs(flat, min(MINIMIZER_WORDS, k), 2), k - min(MINIMIZER_WORDS, k) + 1)
+        edge = run_hashes(flat, k, 1)
+        least = _least(run_hashes(flat, min(MINIMIZER_WORDS, k), 2), k - min(MINIMIZER_WORDS, k) + 1)
         doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         place = np.flatnonzero(doc[:len(edge)] == doc[k - 1:])  # windows inside one document
         edge, least, doc = edge[place], least[place], doc[place]
-        bucket = (_mix(least) % np.uint64(self.buckets)).astype(np.int32)
+        bucket = (mix(least) % np.uint64(self.buckets)).astype(np.int32)
         ids, keys = np.array(self.ids, np.int64), np.array(self.keys, np.int64)
         # equal edges side by side, the earliest document (and place in it) first
         order = np.lexsort((place, ids[doc], edge))
