@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, jaccard_join, line_dedup, quality_rules, sharding, substring_dedup, token_counts
-from .common import documents
+from . import bpe_trie, decontaminate, jaccard_join, line_dedup, quality_rules, sharding, substring_dedup, token_counts
+from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,8 @@ from d left join kept using (doc_id) left join counted using (doc_id)
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(documents(spark, sf_dir))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
