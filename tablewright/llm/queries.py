@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, decontaminate, jaccard_join, line_dedup, quality_rules, sharding, substring_dedup, token_counts
+from . import (bpe_trie, decontaminate, jaccard_join, line_dedup, quality_cnn, quality_rules, sharding, substring_dedup,
+               token_counts, toxicity)
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
