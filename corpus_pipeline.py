@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import bpe_trie, quality_rules
+from tablewright.llm import bpe_trie, decontaminate, jaccard_join, line_dedup, quality_rules
 from tablewright.llm.common import ensure_checkpoint_dir, table
 
 
@@ -16,12 +17,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat an earlier one, or differ from it by one word; ``n_chars`` follows the text.
+
+    A document that loses all its lines stays with an empty text; a null text stays null.
+    """
+    kept = line_dedup.deduplicate(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or similar (five-word shingles, Jaccard 0.8) texts."""
+    return jaccard_join.keep_first(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the token ids and of the decoded text of each document."""
     return bpe_trie.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality), ("bpe", tokens)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("jaccard_join", near_copies),
+          ("decontamination", benchmark_free), ("bpe", tokens)]
 
 #: Graph steps, retrieval and token merges are not expressible in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
