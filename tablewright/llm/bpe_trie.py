@@ -68,7 +68,7 @@ class Trie:
                 # of equal pairs the leftmost merges first: a pair inside ``left`` wins, one inside ``right`` loses
                 if r is not None and r < x_until and r <= y_until:
                     known = False
-        if len(self.fits) >= 1_000_000:
+        if len(self.fits) >= 500_000:
             self.fits.clear()
         self.fits[left, right] = known
         return known
@@ -125,7 +125,7 @@ class Trie:
 class Encoder:
     """Encodes texts as the vocabulary file says; remembers up to ``remember`` distinct chunks."""
 
-    def __init__(self, spec: str, remember: int = 400_000):
+    def __init__(self, spec: str, remember: int = 250_000):
         data = json.loads(spec)
         model = data["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
