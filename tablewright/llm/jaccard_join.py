@@ -43,7 +43,7 @@ from .common import WORD_HASHES, ids_and_texts, order_id, reliable
 from .substring_dedup import mix, run_hashes
 
 BRANCH = 1.5
-BUCKET = 192
+BUCKET = 384
 LEVELS = 4  # below a bucket that is too large at the first level: three more
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,7 +123,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(packed, pa.binary())],
                                              [*batch.schema.names[:at], "tokens"])
 
-    return rows.mapInArrow(run, "set_id bigint, small array<bigint>, large array<bigint>, tokens binary")
+    return rows.mapInArrow(run, "set_id bigint, id bigint, small array<bigint>, large array<bigint>, tokens binary")
 
 
 def _deeper(sets: DataFrame, threshold: float, branch: float, levels: int) -> DataFrame:
@@ -155,16 +155,32 @@ def _sized(nodes: DataFrame) -> DataFrame:
             .where("n > 1"))
 
 
-def _frontier(deep: DataFrame, bucket: int, levels: int) -> DataFrame:
-    """The nodes to compare: set_id, node, n.  Those above must all be too large, themselves small or at the last level."""
-    sizes = _sized(deep).select("node", "n")
-    sized = deep.join(sizes, "node")
-    # a node's parent is large exactly when the node was reached; level 2 hangs below first-level nodes known to be large
-    above = sizes.where(F.col("n") > bucket).select(F.col("node").alias("parent"))
-    open_ = (sized.where("level = 2").select("set_id", "node", "n", "level")
-             .unionByName(sized.where("level > 2").join(above, "parent")
-                          .select("set_id", "node", "n", "level")))
-    return open_.where((F.col("n") <= bucket) | (F.col("level") == levels)).select("set_id", "node", "n")
+def _chosen(large: DataFrame, deep: DataFrame, bucket: int, levels: int) -> DataFrame:
+    """Where each large bucket is compared: node, n.
+
+    Comparing a node costs its rows times its blocks.  A node is opened only
+    where its children cost less, so a bucket of mutually similar sets, which
+    no shingle splits, is compared at once instead of again in every child.
+    """
+    cost = F.col("n") * F.ceil(F.col("n") / bucket)
+    nodes = reliable(deep.groupBy("level", "parent", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                     .withColumn("cost", cost))
+    by_level = {k: nodes.where(F.col("level") == k).drop("level") for k in range(2, levels + 1)}
+    by_level[1] = large.select(F.lit(None).cast("bigint").alias("parent"), "node", "n", cost.alias("cost"))
+    best = {levels: by_level[levels].withColumns({"best": F.col("cost"), "opened": F.lit(False)})}
+    for k in range(levels - 1, 0, -1):
+        below = best[k + 1].groupBy("parent").agg(F.sum("best").alias("below")).withColumnRenamed("parent", "node")
+        below_cost = F.coalesce("below", F.lit(0))  # only nodes of one set below: nothing to compare
+        best[k] = reliable(by_level[k].join(below, "node", "left")
+                           .withColumns({"best": F.least("cost", below_cost), "opened": (below_cost < F.col("cost")) & (F.col("n") > bucket)})
+                           .select("parent", "node", "n", "best", "opened"))
+    reached, chosen = best[1], None
+    for k in range(1, levels + 1):
+        here = reached.where("not opened").select("node", "n")
+        chosen = here if chosen is None else chosen.unionByName(here)
+        if k < levels:
+            reached = best[k + 1].join(reached.where("opened").select(F.col("node").alias("parent")), "parent")
+    return chosen
 
 
 def _compare(threshold: float):
@@ -196,19 +212,33 @@ def _compare(threshold: float):
             wanted = np.triu(np.ones(common.shape, bool), 1)
         else:
             wanted = (block == cell_a)[:, None] & (block == cell_b)[None, :]
-        out = ([], [], [])
-        leaves = rows["leaves"]
-        for i, j in np.argwhere(wanted & (similar >= threshold - 1e-9)):
-            if min(set(leaves[i]) & set(leaves[j])) == node:
-                for c, v in zip(out, (rows["set_id"][i], rows["set_id"][j], float(similar[i, j]))):
-                    c.append(v)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                        ["set_a", "set_b", "similarity"])
+        out, leaves, set_id, ids = [], [set(x) for x in rows["leaves"]], rows["set_id"], rows["id"]
+        head = list(range(len(set_id)))
+
+        def find(i: int) -> int:
+            while head[i] != i:
+                head[i] = i = head[head[i]]
+            return i
+
+        for i, j in np.argwhere(wanted & (similar >= threshold - 1e-9)).tolist():
+            if min(leaves[i] & leaves[j]) == node:
+                a, b = find(i), find(j)
+                head[a] = b
+                out.append((set_id[i], set_id[j], ids[i], ids[j], float(similar[i, j]), a != b))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(types), types)],
+                        [f.split(" ")[0] for f in LINKS.split(", ")])
     return run
 
 
+LINKS = "set_a bigint, set_b bigint, id_a bigint, id_b bigint, similarity double, tree boolean"
+
+
 class Joined:
-    """``classes``: id, row_key, set_id, rep (id, set_id of the first of the class); ``links``: set_a, set_b, similarity."""
+    """``classes``: id, row_key, set_id, rep (id, set_id of the first of the class).
+
+    ``links``: set_a, set_b, the ids of their first documents, similarity, and ``tree`` (links with it connect all that links connect).
+    """
 
     def __init__(self, classes: DataFrame, links: DataFrame):
         self.classes, self.links = classes, links
@@ -233,10 +263,12 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
               .agg(F.first("rep").alias("rep"), F.collect_list(F.when(~large, F.col("node"))).alias("small"),
                    F.collect_list(F.when(large, F.col("node"))).alias("large"))  # of one set
               .select("set_id", "rep.id", "rep.row_key", "small", "large"))
-    texts = rows.join(wanted, ["id", "row_key"]).select("set_id", "small", "large", "text")
+    texts = rows.join(wanted, ["id", "row_key"]).select("set_id", "id", "small", "large", "text")
     sets = reliable(_with_sets(texts, n))
     deep = reliable(_deeper(sets, threshold, branch, levels))
-    leaf = _frontier(deep, bucket, levels)
+    chosen = _chosen(sized.where(F.col("n") > bucket).select("node", "n"), deep, bucket, levels)
+    tops = sets.select("set_id", F.explode("large").alias("node")).distinct()
+    leaf = reliable(deep.select("set_id", "node").unionByName(tops).join(chosen, "node"))
     # buckets of the same sets are compared once
     same = leaf.groupBy("node").agg(F.bit_xor(F.xxhash64("set_id")).alias("members"), F.first("n").alias("n"))
     keep = same.groupBy("members", "n").agg(F.min("node").alias("node")).select("node")
@@ -245,24 +277,24 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     none = F.array().cast("array<struct<node:bigint,n:bigint>>")
     leaves = F.concat(F.transform("small", lambda x: F.struct(x.alias("node"), F.lit(1).cast("bigint").alias("n"))),
                       F.coalesce("below", none))
-    shipped = (sets.join(below, "set_id", "left").select("set_id", "tokens", leaves.alias("all"))
+    shipped = (sets.join(below, "set_id", "left").select("set_id", "id", "tokens", leaves.alias("all"))
                .where(F.size("all") > 0)
-               .select("set_id", "tokens", F.col("all.node").alias("leaves"), F.explode("all").alias("leaf")))
+               .select("set_id", "id", "tokens", F.col("all.node").alias("leaves"), F.explode("all").alias("leaf")))
     blocks = F.ceil(F.col("leaf.n") / bucket).cast("int")
     block = F.pmod(F.xxhash64("set_id", "leaf.node"), blocks).cast("int")
     cells = (shipped.withColumn("blocks", blocks).withColumn("block", block)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.col("leaf.node").alias("node"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
-                     "block", "set_id", "tokens", "leaves"))
-    links = reliable(cells.groupBy("node", "a", "b").applyInArrow(_compare(threshold), "set_a bigint, set_b bigint, similarity double"))
+                     "block", "set_id", "id", "tokens", "leaves"))
+    links = reliable(cells.groupBy("node", "a", "b").applyInArrow(_compare(threshold), LINKS))
     classes = (first.select("id", "row_key", "set_id")
                .join(reps.select("set_id", F.struct(F.col("rep.id").alias("id"), "set_id").alias("rep")), "set_id", "left"))
     return Joined(classes, links)
 
 
 def both_ways(links: DataFrame) -> DataFrame:
-    return links.select(F.col("set_a").alias("set_id"), F.col("set_b").alias("other")).unionByName(
-        links.select(F.col("set_b").alias("set_id"), F.col("set_a").alias("other")))
+    return links.select(F.col("set_a").alias("set_id"), F.col("set_b").alias("other"), F.col("id_b").alias("other_id")).unionByName(
+        links.select(F.col("set_b").alias("set_id"), F.col("set_a").alias("other"), F.col("id_a").alias("other_id")))
 
 
 def groups(joined: Joined) -> DataFrame:
@@ -272,7 +304,7 @@ def groups(joined: Joined) -> DataFrame:
     own head, so paths shorten twofold and more; a round costs two joins over
     the links.
     """
-    edges = reliable(both_ways(joined.links))
+    edges = reliable(both_ways(joined.links.where("tree")).drop("other_id"))
     reps = joined.classes.where("rep is not null").select("set_id", "rep").distinct()
     heads = reliable(edges.select("set_id").distinct().join(reps, "set_id").withColumnRenamed("rep", "head"))
     while True:
@@ -291,9 +323,7 @@ def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """One row per row of ``docs``: doc_id, class_id (first document with the same shingles), n_links and ``links``
     (first documents of the other classes linked with this one), group_id (first document of its group of linked classes)."""
     joined = join(docs, n, threshold, recall)
-    reps = joined.classes.where("rep is not null").select("set_id", "rep").distinct()
-    linked = (both_ways(joined.links).join(reps.select(F.col("set_id").alias("other"), F.col("rep.id").alias("other_id")), "other")
-              .groupBy("set_id").agg(F.sort_array(F.collect_list("other_id")).alias("links")))
+    linked = (both_ways(joined.links).groupBy("set_id").agg(F.sort_array(F.collect_list("other_id")).alias("links")))
     out = joined.classes.join(linked, "set_id", "left").join(groups(joined), "set_id", "left")
     mine = lambda c: F.when(c != 2**63 - 1, c)  # noqa: E731  rows without an id
     return out.select(mine(F.col("id")).alias("doc_id"), mine(F.coalesce("rep.id", "id")).alias("class_id"),
