@@ -1,12 +1,12 @@
 """Line dedup by a deletion-neighbourhood join; DataFrame operations only.
 
-A line is its sequence of words (``[^\\x20\\x09-\\x0D]+``); lines without a word
-are layout and stay.  A line goes if an earlier line, by (document, line
-number), has the same words, or lies within one word edit (a word replaced,
-inserted or deleted) and both have at least ``near_words`` words.  Lines are
+Lines without a word (``[^\\x20\\x09-\\x0D]+``) are layout and stay.  A line goes if
+an earlier line, by (document, line number), has the same text, or lies within
+one word edit (no word, or one word replaced, inserted or deleted) and both have
+at least ``near_words`` words.  Lines are
 judged on the input, so a line also goes when the earlier one goes itself.
 
-1. Lines with equal words: the first place of each distinct line.
+1. Lines with equal texts: the first place of each distinct line.
 2. Which distinct lines can have a neighbour at all: lines within one edit
    share their first or their last half word for word, so lines that share
    neither (with a line of a fitting length) are settled.
@@ -40,7 +40,9 @@ PLACE = ["id", "row_key", "line_no"]
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # a split at one plain character is several times faster than one at a pattern
+    split = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.filter(split, lambda w: w != "")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -51,33 +53,29 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     return (rows.select("id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .withColumn("words", _words(F.col("line"))).where(F.size("words") > 0))
+            .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+            .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")}))
 
 
 def _half_keys(near_words: int) -> Column:
-    """Keys of which lines within one edit share at least one: (side, words of the shorter line, that half)."""
+    """Keys of which lines within one edit share at least one: a side, and that half of the shorter line's length."""
     n, words = F.size("words"), F.col("words")
     keys = []
     for shorter in (n - 1, n):
         half = F.floor(shorter / 2).cast("int")
-        keys += [F.xxhash64(F.lit(0), shorter, F.slice(words, F.lit(1), half)),
-                 F.xxhash64(F.lit(1), shorter, F.slice(words, n - half + 1, half))]
-    return F.when(n >= near_words, F.array(*keys))
+        keys += [F.xxhash64(F.lit(0), F.slice(words, F.lit(1), half)), F.xxhash64(F.lit(1), F.slice(words, n - half + 1, half))]
+    return F.when(n >= near_words, F.array_distinct(F.array(*keys)))
 
 
-def _first_places(lines: DataFrame, near_words: int) -> DataFrame:
-    """Each distinct line (two 64-bit hashes of its words) with its first place and half keys."""
-    return (lines.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"),
-                         _half_keys(near_words).alias("halves"))
-            .groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("halves").alias("halves")))
+def _first_places(lines: DataFrame, *more: Column) -> DataFrame:
+    """Each distinct line (two 64-bit hashes of its text) with its first place, and the first of ``more``."""
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), *more)
 
 
 def _with_neighbours(firsts: DataFrame) -> DataFrame:
     """Places of the distinct lines that share a half with another one."""
     keyed = firsts.where(F.col("halves").isNotNull()).select("first", F.explode("halves").alias("key"))
-    # a line may give one key twice, so lines are told apart by their places
-    shared = (keyed.groupBy("key").agg(F.min(F.xxhash64("first")).alias("a"), F.max(F.xxhash64("first")).alias("b"))
-              .where("a <> b").select("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(shared, "key").select("first.*").distinct()
 
 
@@ -107,10 +105,11 @@ def _residue(words: Column, at: Column, gap: Column) -> Column:
 
 def _near(candidates: DataFrame) -> DataFrame:
     """Places of the candidate lines that have an earlier one within one edit."""
-    variants = _variants(candidates)
+    every = _variants(candidates)
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    variants = reliable(every.join(shared, "key"))  # few: keys of neighbours
     place = F.struct(*PLACE)
-    earliest = (variants.groupBy("key").agg(F.min(F.struct(*PLACE, "at", "gap")).alias("e"), F.count(F.lit(1)).alias("n"))
-                .where("n > 1").select("key", "e"))
+    earliest = variants.groupBy("key").agg(F.min(F.struct(*PLACE, "at", "gap")).alias("e"))
     pairs = (variants.join(earliest, "key").where(F.struct(*(F.col(f"e.{c}") for c in PLACE)) < place)
              .groupBy(*PLACE).agg(F.min(F.struct("e", "at", "gap")).alias("p"))
              .select(*PLACE, "p.e", "p.at", "p.gap"))
@@ -125,11 +124,11 @@ def _near(candidates: DataFrame) -> DataFrame:
 def removed_lines(rows: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """id, row_key and the array ``gone`` of line numbers, for documents that lose lines."""
     lines = _lines(rows)
-    firsts = reliable(_first_places(lines, near_words))
-    hashed = lines.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"))
     place = F.struct(*(F.col(f"l.{c}") for c in PLACE))
-    copies = (hashed.alias("l").join(firsts.select("h1", "h2", "first").alias("f"), ["h1", "h2"])
+    copies = (lines.select(*PLACE, "h1", "h2").alias("l").join(_first_places(lines).alias("f"), ["h1", "h2"])
               .where(place != F.col("first")).select(*(F.col(f"l.{c}") for c in PLACE)))
+    firsts = _first_places(lines.withColumn("words", _words(F.col("line"))).withColumn("keys", _half_keys(near_words)),
+                           F.first("keys").alias("halves"))
     wanted = (_with_neighbours(firsts).groupBy("id", "row_key")
               .agg(F.collect_set("line_no").alias("wanted")))  # of one document
     candidates = reliable(rows.join(wanted, ["id", "row_key"]).dropDuplicates(["id", "row_key"])

@@ -105,8 +105,8 @@ SQL["op9_line_dedup"] = r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as no from d),
 w as (select doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l),
-places as (select doc_id, no, array_to_string(ws, ' ') as k, len(ws) as n, ws,
-                  row_number() over (partition by array_to_string(ws, ' ') order by doc_id, no) as copy,
+places as (select doc_id, no, len(ws) as n, ws,
+                  row_number() over (partition by line order by doc_id, no) as copy,
                   row_number() over (order by doc_id, no) as place
            from w where len(ws) > 0),
 firsts as (select * from places where copy = 1 and n >= 8),
