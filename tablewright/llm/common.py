@@ -33,6 +33,11 @@ def order_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(LAST_ID))
 
 
+def whole_row(docs: DataFrame, names: list[str] | None = None) -> Column:
+    """All (or the named) columns as one struct ``__tw_row``: names with dots or clashes stay out of the way."""
+    return F.struct(*(docs["`" + c.replace("`", "``") + "`"] for c in names or docs.columns)).alias("__tw_row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, ids_and_texts, order_id, reliable
+from .common import WORD_HASHES, ids_and_texts, order_id, reliable, whole_row
 from .substring_dedup import mix, run_hashes
 
 BRANCH = 1.5
@@ -337,9 +337,8 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
 
     Rows without shingles stay.  Rows with one id and equal texts are the same document.
     """
-    names = docs.columns
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*(docs[c] for c in names)).alias("__tw_row"), order_id(docs["doc_id"]).alias("id"),
+    keyed = docs.select(whole_row(docs), order_id(docs["doc_id"]).alias("id"),
                         F.xxhash64(text).alias("row_key"))
     joined = join(docs, n, threshold, recall)
     firsts = (joined.classes.where("rep is not null").groupBy("set_id").agg(F.min(F.struct("id", "row_key")).alias("first"))

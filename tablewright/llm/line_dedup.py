@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import order_id, reliable
+from .common import order_id, reliable, whole_row
 
 NEAR_WORDS = 8
 PLACE = ["id", "row_key", "line_no"]
@@ -150,7 +150,7 @@ def deduplicate(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """``docs`` with all its columns; ``text`` keeps the lines that stay, and null texts stay null."""
     names = docs.columns
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*(docs[c] for c in names)).alias("__tw_row"), order_id(docs["doc_id"]).alias("id"),
+    keyed = docs.select(whole_row(docs), order_id(docs["doc_id"]).alias("id"),
                         F.xxhash64(text).alias("row_key"))
     kept = keyed.join(removed_lines(_rows(docs), near_words), ["id", "row_key"], "left")
     return kept.select(*((_kept_text(F.col("__tw_row.text"), F.col("gone")) if c == "text" else F.col(f"__tw_row.`{c}`")).alias(c)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids_and_texts
+from .common import ids_and_texts, whole_row
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower",
             "n_marks")
@@ -103,7 +103,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The measurements beside a struct ``__tw_row`` of the named columns, so that no names clash."""
-    rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("__tw_row"),
+    rows = docs.select(whole_row(docs, columns),
                        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__tw_text"))
     schema = T.StructType([rows.schema["__tw_row"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
     return rows.mapInArrow(_measure_batches, schema)
