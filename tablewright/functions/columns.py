@@ -41,7 +41,8 @@ DATE_FORMAT_SHAPES = {
     "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
 }
 # Text read as missing by the CSV source.
-NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "-NaN", "-nan")
+NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "-NaN", "-nan",
+               "<NA>", "#NA", "#N/A N/A", "-1.#IND", "-1.#QNAN", "1.#IND", "1.#QNAN")
 
 
 def _col(c) -> Column:

@@ -92,7 +92,7 @@ def bar(df: DataFrame, x: str, y: str | None = None, agg: str = "mean", color: s
     The colour column never survives the aggregation (D16).
     """
     check_plot_columns(df, x, y, color)
-    base = df.where(F.col(x).isNotNull())
+    base = df.where(_present(x, df))
     if y is None:
         return value_counts(df, x)
     agg = agg.lower()
@@ -116,7 +116,8 @@ def bar(df: DataFrame, x: str, y: str | None = None, agg: str = "mean", color: s
         f = F.min_by if agg == "first" else F.max_by
         return base.where(_present(y, df)).groupBy(x).agg(f(F.col(y), F.col(order_by)).alias(y))
     fn = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp}[agg]
-    return base.groupBy(x).agg(fn(yv).alias(y))
+    out = fn(yv)
+    return base.groupBy(x).agg((F.coalesce(out, F.lit(0.0)) if agg == "sum" else out).alias(y))
 
 
 def value_counts(df: DataFrame, x: str) -> DataFrame:

@@ -150,7 +150,8 @@ def numeric_fill_values(df: DataFrame, cols: list[str], method: str, constant=0,
         return {c: q[c][0] for c in cols}
     if method == "mode":
         m = {r["column_name"]: r["mode"] for r in stats.modes(df, cols).collect()}
-        return {c: (float(m[c]) if m.get(c) is not None else 0) for c in cols}
+        whole = {c for c in cols if isinstance(df.schema[c].dataType, T.IntegralType)}
+        return {c: 0 if m.get(c) is None else int(m[c]) if c in whole else float(m[c]) for c in cols}
     if method == "fill":
         return {c: (0 if constant is None else constant) for c in cols}
     raise ValueError(method)
@@ -167,12 +168,18 @@ def categorical_fill_values(df: DataFrame, cols: list[str], method: str, constan
 
 
 def apply_fills(df: DataFrame, values: dict) -> DataFrame:
-    """Lazy projection replacing missing values; the column type is kept."""
+    """Lazy projection replacing missing values.
+
+    The column type is kept, except that an integer column becomes double
+    when its fill value has a fraction.
+    """
     out = []
     for f in df.schema.fields:
         v = values.get(f.name)
         if f.name in values and v is not None:
-            out.append(fill(F.col(f.name), F.lit(v).cast(f.dataType), f.dataType).alias(f.name))
+            widen = isinstance(f.dataType, T.IntegralType) and not float(v).is_integer()
+            dtype = T.DoubleType() if widen else f.dataType
+            out.append(fill(F.col(f.name).cast(dtype), F.lit(v).cast(dtype), dtype).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -226,7 +233,9 @@ def apply_types(df: DataFrame, decisions: dict[str, tuple[str, str | None]]) ->
         if c in decisions:
             target, fmt = decisions[c]
             if target == "integer":
-                out.append(parse_number(F.col(c)).cast("long").alias(c))
+                text = F.trim(F.col(c))  # integer text directly: a double holds only 53 bits
+                exact = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+                out.append(F.coalesce(exact, parse_number(F.col(c)).cast("long")).alias(c))
             elif target == "double":
                 out.append(parse_number(F.col(c)).alias(c))
             elif target == "timestamp":

@@ -14,11 +14,12 @@ MAX_LABELS = 1000
 
 
 def regression_metrics(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """One row (mse, rmse, mae, r2) from one aggregate."""
+    """One row (mse, rmse, mae, r2) from one aggregate; r2 of a constant target is 1 (no error) or 0."""
     e = F.col(p) - F.col(y)
     m = pred.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(y).alias("_vy"))
     return m.select("mse", F.sqrt("mse").alias("rmse"), "mae",
-                    (1 - F.col("mse") / F.nullif(F.col("_vy"), F.lit(0.0))).alias("r2"))
+                    F.when(F.col("_vy") != 0, 1 - F.col("mse") / F.col("_vy"))
+                    .when(F.col("_vy") == 0, (F.col("mse") == 0).cast("double")).alias("r2"))
 
 
 def accuracy(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

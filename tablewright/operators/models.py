@@ -52,7 +52,7 @@ class TrainResult:
 def regression_models(seed: int, num_trees: int, max_depth: int):
     return [
         ("Linear Regression", LinearRegression(featuresCol="features", labelCol="label", regParam=0.0,
-                                               elasticNetParam=0.0, solver="normal")),
+                                               elasticNetParam=0.0, solver="auto")),
         ("Random Forest Regressor", RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
                                                           maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)),
     ]

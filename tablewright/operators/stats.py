@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classes import dtype_of, is_numeric
 from ..functions.columns import missing
@@ -203,13 +204,15 @@ def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
     Two-level aggregation: counts per (column, value) with map-side combine,
     then ``min_by`` over (count desc, value) which also combines map-side, so
     no group's value set is ever held by one task.  Numeric columns are
-    compared as doubles and returned as text to share one output column.
+    compared as doubles (integers as integers) and returned as text to share one output column.
     """
     by = list(by)
     num = [c for c in cols if is_numeric(dtype_of(df, c))]
     txt = [c for c in cols if c not in num]
+    whole = [c for c in num if isinstance(dtype_of(df, c), T.IntegralType)]
+    num = [c for c in num if c not in whole]
     parts = []
-    for group, vtype in ((num, "double"), (txt, "string")):
+    for group, vtype in ((whole, "bigint"), (num, "double"), (txt, "string")):
         if not group:
             continue
         long = long_values(df, group, by, value_type=vtype)

@@ -28,9 +28,11 @@ def _nullify(c: Column, tokens) -> Column:
 
 
 def read_csv_text(spark: SparkSession, path: str, sep: str = ",", null_tokens=NULL_TOKENS,
-                  encoding: str = "UTF-8") -> DataFrame:
+                  encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """All columns as text.  Quotes are doubled inside quoted fields; ``multi_line`` reads line breaks inside
+    quotes, at the price that a file is not split between tasks."""
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-           .option("inferSchema", False).option("multiLine", False).csv(path))
+           .option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
     return raw.select(*[_nullify(F.col(c), null_tokens).alias(c) for c in raw.columns])
 
 
