@@ -212,7 +212,8 @@ def _compare(threshold: float):
             wanted = np.triu(np.ones(common.shape, bool), 1)
         else:
             wanted = (block == cell_a)[:, None] & (block == cell_b)[None, :]
-        out, leaves, set_id, ids = [], [set(x) for x in rows["leaves"]], rows["set_id"], rows["id"]
+        leaves, set_id, ids = [set(x) for x in rows["leaves"]], rows["set_id"], rows["id"]
+        linked, tree = [[] for _ in set_id], [[] for _ in set_id]
         head = list(range(len(set_id)))
 
         def find(i: int) -> int:
@@ -222,26 +223,41 @@ def _compare(threshold: float):
 
         for i, j in np.argwhere(wanted & (similar >= threshold - 1e-9)).tolist():
             if min(leaves[i] & leaves[j]) == node:
+                for a, b in ((i, j), (j, i)):
+                    linked[a].append((set_id[b], ids[b], float(similar[i, j])))
                 a, b = find(i), find(j)
-                head[a] = b
-                out.append((set_id[i], set_id[j], ids[i], ids[j], float(similar[i, j]), a != b))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(types), types)],
-                        [f.split(" ")[0] for f in LINKS.split(", ")])
+                if a != b:
+                    head[a] = b
+                    tree[i].append(set_id[j])
+                    tree[j].append(set_id[i])
+        some = [i for i, x in enumerate(linked) if x]
+        others = [list(zip(*linked[i])) for i in some]
+        many = pa.list_(pa.int64())
+        return pa.table([pa.array([set_id[i] for i in some], pa.int64()), pa.array([ids[i] for i in some], pa.int64()),
+                         pa.array([o[0] for o in others], many), pa.array([o[1] for o in others], many),
+                         pa.array([o[2] for o in others], pa.list_(pa.float64())), pa.array([tree[i] for i in some], many)],
+                        [f.split(" ")[0] for f in LINKED.split(", ")])
     return run
 
 
-LINKS = "set_a bigint, set_b bigint, id_a bigint, id_b bigint, similarity double, tree boolean"
+#: A set with the sets that one cell links it to, so that a group of n similar sets makes rows by sets, not by pairs.
+LINKED = "set_id bigint, id bigint, others array<bigint>, other_ids array<bigint>, similarities array<double>, tree array<bigint>"
 
 
 class Joined:
     """``classes``: id, row_key, set_id, rep (id, set_id of the first of the class).
 
-    ``links``: set_a, set_b, the ids of their first documents, similarity, and ``tree`` (links with it connect all that links connect).
+    ``linked``: set_id, id of its first document, the sets and first documents linked with it (each link once in
+    either direction, over all rows of a set), similarities, and ``tree``: enough of the links to connect all that links connect.
     """
 
-    def __init__(self, classes: DataFrame, links: DataFrame):
-        self.classes, self.links = classes, links
+    def __init__(self, classes: DataFrame, linked: DataFrame):
+        self.classes, self.linked = classes, linked
+
+    def links(self) -> DataFrame:
+        """One row per link: id_a, id_b (the first documents) and similarity."""
+        pairs = self.linked.select("set_id", F.col("id").alias("id_a"), F.explode(F.arrays_zip("others", "other_ids", "similarities")).alias("o"))
+        return pairs.where("set_id < o.others").select("id_a", F.col("o.other_ids").alias("id_b"), F.col("o.similarities").alias("similarity"))
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, branch: float = BRANCH,
@@ -286,15 +302,10 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.col("leaf.node").alias("node"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
                      "block", "set_id", "id", "tokens", "leaves"))
-    links = reliable(cells.groupBy("node", "a", "b").applyInArrow(_compare(threshold), LINKS))
+    linked = reliable(cells.groupBy("node", "a", "b").applyInArrow(_compare(threshold), LINKED))
     classes = (first.select("id", "row_key", "set_id")
                .join(reps.select("set_id", F.struct(F.col("rep.id").alias("id"), "set_id").alias("rep")), "set_id", "left"))
-    return Joined(classes, links)
-
-
-def both_ways(links: DataFrame) -> DataFrame:
-    return links.select(F.col("set_a").alias("set_id"), F.col("set_b").alias("other"), F.col("id_b").alias("other_id")).unionByName(
-        links.select(F.col("set_b").alias("set_id"), F.col("set_a").alias("other"), F.col("id_a").alias("other_id")))
+    return Joined(classes, linked)
 
 
 def groups(joined: Joined) -> DataFrame:
@@ -304,7 +315,7 @@ def groups(joined: Joined) -> DataFrame:
     own head, so paths shorten twofold and more; a round costs two joins over
     the links.
     """
-    edges = reliable(both_ways(joined.links.where("tree")).drop("other_id"))
+    edges = reliable(joined.linked.select("set_id", F.explode("tree").alias("other")))
     reps = joined.classes.where("rep is not null").select("set_id", "rep").distinct()
     heads = reliable(edges.select("set_id").distinct().join(reps, "set_id").withColumnRenamed("rep", "head"))
     while True:
@@ -323,7 +334,7 @@ def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """One row per row of ``docs``: doc_id, class_id (first document with the same shingles), n_links and ``links``
     (first documents of the other classes linked with this one), group_id (first document of its group of linked classes)."""
     joined = join(docs, n, threshold, recall)
-    linked = (both_ways(joined.links).groupBy("set_id").agg(F.sort_array(F.collect_list("other_id")).alias("links")))
+    linked = joined.linked.groupBy("set_id").agg(F.sort_array(F.flatten(F.collect_list("other_ids"))).alias("links"))
     out = joined.classes.join(linked, "set_id", "left").join(groups(joined), "set_id", "left")
     mine = lambda c: F.when(c != 2**63 - 1, c)  # noqa: E731  rows without an id
     return out.select(mine(F.col("id")).alias("doc_id"), mine(F.coalesce("rep.id", "id")).alias("class_id"),

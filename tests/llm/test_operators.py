@@ -237,7 +237,7 @@ def test_large_buckets_lose_no_link(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
     sets = [frozenset(zip(*(w[i:] for i in range(5)))) for w in texts]
     want = {(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    links = jaccard_join.join(docs, bucket=8).links.collect()
+    links = jaccard_join.join(docs, bucket=8).links().collect()
     got = {(max(x["id_a"], x["id_b"]), min(x["id_a"], x["id_b"])) for x in links}
     assert len(got) == len(links) and got <= want and len(got) >= 0.99 * len(want) > 500
 
