@@ -125,10 +125,10 @@ def removed_lines(rows: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """id, row_key and the array ``gone`` of line numbers, for documents that lose lines."""
     lines = _lines(rows)
     place = F.struct(*(F.col(f"l.{c}") for c in PLACE))
-    copies = (lines.select(*PLACE, "h1", "h2").alias("l").join(_first_places(lines).alias("f"), ["h1", "h2"])
+    firsts = reliable(_first_places(lines.withColumn("words", _words(F.col("line"))).withColumn("keys", _half_keys(near_words)),
+                                    F.first("keys").alias("halves")))
+    copies = (lines.select(*PLACE, "h1", "h2").alias("l").join(firsts.select("h1", "h2", "first").alias("f"), ["h1", "h2"])
               .where(place != F.col("first")).select(*(F.col(f"l.{c}") for c in PLACE)))
-    firsts = _first_places(lines.withColumn("words", _words(F.col("line"))).withColumn("keys", _half_keys(near_words)),
-                           F.first("keys").alias("halves"))
     wanted = (_with_neighbours(firsts).groupBy("id", "row_key")
               .agg(F.collect_set("line_no").alias("wanted")))  # of one document
     candidates = reliable(rows.join(wanted, ["id", "row_key"]).dropDuplicates(["id", "row_key"])
