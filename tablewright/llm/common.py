@@ -6,6 +6,8 @@ can repeat another document but never be the earlier one.
 
 from __future__ import annotations
 
+import uuid
+
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,13 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared checkpoint folder: a fraction of a checkpoint's size for wide rows."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to ``limit`` words."""
 

@@ -33,9 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import order_id, reliable, whole_row
+from .common import order_id, reliable, whole_row, written
 
 NEAR_WORDS = 8
+SIEVE = 2**20
 PLACE = ["id", "row_key", "line_no"]
 
 
@@ -125,17 +126,21 @@ def removed_lines(rows: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """id, row_key and the array ``gone`` of line numbers, for documents that lose lines."""
     lines = _lines(rows)
     place = F.struct(*(F.col(f"l.{c}") for c in PLACE))
-    firsts = reliable(_first_places(lines.withColumn("words", _words(F.col("line"))).withColumn("keys", _half_keys(near_words)),
-                                    F.first("keys").alias("halves")))
+    firsts = written(_first_places(lines.withColumn("words", _words(F.col("line"))).withColumn("keys", _half_keys(near_words)),
+                                   F.first("keys").alias("halves")))
     copies = (lines.select(*PLACE, "h1", "h2").alias("l").join(firsts.select("h1", "h2", "first").alias("f"), ["h1", "h2"])
               .where(place != F.col("first")).select(*(F.col(f"l.{c}") for c in PLACE)))
     wanted = (_with_neighbours(firsts).groupBy("id", "row_key")
               .agg(F.collect_set("line_no").alias("wanted")))  # of one document
-    candidates = reliable(rows.join(wanted, ["id", "row_key"]).dropDuplicates(["id", "row_key"])
-                          .select("id", "row_key", "text", "wanted")
-                          .select("id", "row_key", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-                          .where(F.array_contains("wanted", F.col("line_no")))
-                          .select(*PLACE, _words(F.col("line")).alias("words")))
+    wanted = reliable(wanted)
+    # at most SIEVE numbers are broadcast; most documents without a wanted line then stay out of the shuffle
+    sieve = F.pmod(F.xxhash64("id", "row_key"), F.lit(SIEVE)).cast("int").alias("sieve")
+    some = rows.select("*", sieve).join(F.broadcast(wanted.select(sieve).distinct()), "sieve", "left_semi").drop("sieve")
+    candidates = written(some.join(wanted, ["id", "row_key"]).dropDuplicates(["id", "row_key"])
+                         .select("id", "row_key", "text", "wanted")
+                         .select("id", "row_key", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+                         .where(F.array_contains("wanted", F.col("line_no")))
+                         .select(*PLACE, _words(F.col("line")).alias("words")))
     gone = copies.unionByName(_near(candidates))
     return gone.groupBy("id", "row_key").agg(F.collect_set("line_no").alias("gone"))
 
