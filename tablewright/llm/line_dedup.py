@@ -29,6 +29,8 @@ unchanged.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,13 +39,15 @@ from .common import order_id, reliable, whole_row, written
 
 NEAR_WORDS = 8
 SIEVE = 2**20
+SPACES = " \t\n\x0b\x0c\r"
 PLACE = ["id", "row_key", "line_no"]
 
 
 def _words(line: Column) -> Column:
     # a split at one plain character is several times faster than one at a pattern
-    split = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
-    return F.filter(split, lambda w: w != "")
+    other = reduce(Column.__or__, (line.contains(c) for c in SPACES[1:]))
+    split = F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.array_remove(split, "")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     return (rows.select("id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+            .where(F.btrim("line", F.lit(SPACES)) != "")
             .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")}))
 
 
@@ -123,7 +127,7 @@ def _near(candidates: DataFrame) -> DataFrame:
 
 
 def removed_lines(rows: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """id, row_key and the array ``gone`` of line numbers, for documents that lose lines."""
+    """id, row_key and the sorted array ``gone`` of line numbers, for documents that lose lines."""
     lines = _lines(rows)
     place = F.struct(*(F.col(f"l.{c}") for c in PLACE))
     firsts = written(_first_places(lines.withColumn("words", _words(F.col("line"))).withColumn("keys", _half_keys(near_words)),
@@ -142,13 +146,15 @@ def removed_lines(rows: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
                          .where(F.array_contains("wanted", F.col("line_no")))
                          .select(*PLACE, _words(F.col("line")).alias("words")))
     gone = copies.unionByName(_near(candidates))
-    return gone.groupBy("id", "row_key").agg(F.collect_set("line_no").alias("gone"))
+    return gone.groupBy("id", "row_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
 def _kept_text(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
+    """``gone`` is sorted; one pass over the lines, whatever their number."""
+    run = lambda no, i: F.concat(F.array_repeat(F.lit(False), no - F.when(i == 0, -1).otherwise(F.get(gone, i - 1)) - 1),
+                                 F.array(F.lit(True)))
+    lines = F.zip_with(F.split(text, "\n"), F.flatten(F.transform(gone, run)), lambda line, goes: F.when(goes, None).otherwise(line))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
 def deduplicate(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -167,7 +173,7 @@ def line_counts(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), order_id(docs["doc_id"]).alias("id"),
                         F.xxhash64(text).alias("row_key"), text.alias("text"))
-    n_lines = F.size(F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    n_lines = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*"))
     return (keyed.join(removed_lines(_rows(docs), near_words), ["id", "row_key"], "left")
             .select("doc_id", n_lines.cast("bigint").alias("n_lines"),
                     F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
