@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classes as C
-from ..functions.columns import (DATE_FORMATS, clip, fill, is_whole, looks_like_date, missing,
+from ..functions.columns import (DATE_FORMATS, clip, fill, is_whole, looks_like_date, missing, nan_to_null,
                                  parse_date_with, parse_number)
 from . import stats
 from .cache import hold, release
+from .profile import duplicate_rows
 
 LOG_SCHEMA = T.StructType([
     T.StructField("step_no", T.IntegerType(), False),
@@ -106,14 +107,13 @@ class _Log:
 # ---------------------------------------------------------------- duplicates
 
 def duplicate_count(df: DataFrame) -> int:
-    """Rows after the first of each identical group (nulls compare equal)."""
-    r = df.groupBy(*df.columns).count().agg(F.sum(F.col("count") - 1).alias("d")).collect()[0]["d"]
-    return int(r or 0)
+    """Rows after the first of each identical group (missing values compare equal)."""
+    return int(duplicate_rows(df).collect()[0]["duplicate_rows"])
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """C1."""
-    return df.dropDuplicates()
+    """Identical rows once; NULL and NaN are equal, and NaN becomes NULL."""
+    return df.select(*[nan_to_null(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]).dropDuplicates()
 
 
 # ---------------------------------------------------------------- missing values

@@ -93,7 +93,7 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
     allk = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     j = allk.join(F.broadcast(counts) if k <= 100_000 else counts, "cluster", "left") \
         .select("cluster", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    return j.withColumn("percentage", X.round_half_up(F.col("size") / total * 100, 2))
+    return j.withColumn("percentage", X.round_half_even(F.col("size") / total * 100, 2))
 
 
 def cluster_summary(assigned: DataFrame, feats: list[str], method: str = "exact") -> DataFrame:

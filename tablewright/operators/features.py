@@ -1,26 +1,30 @@
 """Feature preparation and data splits.
 
 Schema-changing steps (one-hot levels, task type) take one small driver
-action; the row work is a lazy projection.  Ranks for label codes and the
-stratified split come from the skew-safe ``running_rank``.
+action; the row work is a lazy projection.  Ranks for label codes come from
+the skew-safe ``running_rank``.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
 from ..functions.columns import date_parts, fill
 from . import stats
-from .ranking import BLOCK_TOTAL, CUM, running_rank
+from .ranking import CUM, running_rank
 
 # Columns expanded into explicit 0/1 columns up to this many levels; wider
 # columns use the vector encoder (``one_hot_vector``), which has no limit.
 MAX_ONE_HOT_LEVELS = 1000
 # Regression when a numeric target has more distinct values than this.
 MAX_CLASS_VALUES = 15
+# Hex digits of the key digest by which the stratified split counts a class
+# (about a million prefixes); rows are ranked only within one prefix per class.
+SPLIT_PREFIX_DIGITS = 5
 # Label mappings up to this size are broadcast to the rows.
 BROADCAST_LABELS = 100_000
 
@@ -48,18 +52,20 @@ def select_features(df: DataFrame, target: str, features=None) -> list[str]:
     return feats
 
 
+def wide_categories(df: DataFrame, cols: list[str]) -> list[str]:
+    """Columns with more than MAX_ONE_HOT_LEVELS distinct non-null levels."""
+    if not cols:
+        return []
+    levels = stats.long_values(df, cols, value_type="string").groupBy("column_name").agg(F.count_distinct("v").alias("k"))
+    over = {r["column_name"] for r in levels.where(F.col("k") > MAX_ONE_HOT_LEVELS).collect()}
+    return [c for c in cols if c in over]
+
+
 def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """Sorted distinct non-null levels per column (one aggregate action)."""
     if not cols:
         return {}
-    long = stats.long_values(df, cols, value_type="string")
-    sizes = {r["column_name"]: r["k"] for r in
-             long.groupBy("column_name").agg(F.count_distinct("v").alias("k")).collect()}
-    wide = [c for c in cols if sizes.get(c, 0) > MAX_ONE_HOT_LEVELS]
-    if wide:
-        raise ValueError(f"columns with more than {MAX_ONE_HOT_LEVELS} levels: {', '.join(wide)}; "
-                         "use one_hot_vector for them")
-    rows = long.distinct().collect()
+    rows = stats.long_values(df, cols, value_type="string").distinct().collect()
     out = {c: [] for c in cols}
     for r in rows:
         out[r["column_name"]].append(r["v"])
@@ -109,8 +115,8 @@ def expand_dates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def numeric_gate(df: DataFrame, cols: list[str]) -> None:
-    """Every feature must be numeric after encoding."""
-    bad = [c for c in cols if not C.is_numeric(C.dtype_of(df, c))]
+    """Every feature must be numeric (or a vector of numbers) after encoding."""
+    bad = [c for c in cols if not (C.is_numeric(C.dtype_of(df, c)) or isinstance(C.dtype_of(df, c), VectorUDT))]
     if bad:
         raise ValueError(f"non-numeric columns remain after encoding: {', '.join(bad)}")
 
@@ -119,7 +125,9 @@ def encode_features(df: DataFrame, target: str, features=None, key: str | None =
     """(frame with key?, target and numeric features, feature names).
 
     Without a feature list every column but the target and the row key is a
-    feature (the key is the row identity used for splitting)."""
+    feature (the key is the row identity used for splitting).  A text column
+    of more than MAX_ONE_HOT_LEVELS levels becomes one sparse vector of the
+    same 0/1 values, under its own name."""
     feats = select_features(df, target, features)
     if features is None and key:
         feats = [c for c in feats if c != key]
@@ -127,8 +135,12 @@ def encode_features(df: DataFrame, target: str, features=None, key: str | None =
     x = df.select(*keep, target, *feats)
     cats = [c for c in feats if C.is_string(C.dtype_of(x, c))]
     dates = [c for c in feats if C.is_datetime(C.dtype_of(x, c))]
+    wide = wide_categories(x, cats)
+    cats = [c for c in cats if c not in wide]
     if cats:
         x = one_hot(x, cats)
+    for c in wide:
+        x = one_hot_vector(x, c, "__tw_vec").drop(c).withColumnRenamed("__tw_vec", c)
     if dates:
         x = expand_dates(x, dates)
     # booleans become 0/1 (documented deviation, Q4)
@@ -228,12 +240,23 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.2) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2) -> DataFrame:
     """Per class, the ceil(test_size * n_class) rows first in
-    (md5(key), key) order form the test set.  Implemented with the
-    skew-safe running rank (a class may hold most of the rows)."""
-    h = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    r = running_rank(h, ["_h", key], [label])
-    sizes = r.blocks.groupBy(label).agg(F.sum(BLOCK_TOTAL).alias("_n")).withColumnRenamed(label, "_lbl")
-    sizes = F.broadcast(sizes) if r.small_blocks else sizes
-    j = r.rows.join(sizes, r.rows[label].eqNullSafe(sizes["_lbl"]), "inner").drop("_lbl")
-    return j.withColumn("is_test", F.col(CUM) <= F.ceil(F.lit(test_size) * F.col("_n"))) \
-        .drop("_h", "_n", CUM, "_w", "_pid")
+    (md5(key), key) order form the test set.
+
+    Counts per class and digest prefix tell at which prefix each class
+    reaches its share; only the rows with that prefix are ranked, all others
+    compare their prefix with it, so rows stay in the JVM unchanged."""
+    rows = df.withColumn("__tw_digest", F.md5(F.col(key).cast("string"))) \
+        .withColumn("__tw_prefix", F.substring("__tw_digest", 1, SPLIT_PREFIX_DIGITS))
+    counts = rows.groupBy(F.col(label).alias("__tw_class"), "__tw_prefix").agg(F.count(F.lit(1)).alias("n"))
+    by_class = Window.partitionBy("__tw_class")
+    upto = F.sum("n").over(by_class.orderBy("__tw_prefix").rowsBetween(Window.unboundedPreceding, 0))
+    edges = counts.withColumn("upto", upto).withColumn("want", F.ceil(F.lit(test_size) * F.sum("n").over(by_class))) \
+        .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))) \
+        .select("__tw_class", F.col("__tw_prefix").alias("__tw_edge"),
+                (F.col("want") - F.col("upto") + F.col("n")).alias("__tw_rest"))
+    rows = rows.join(edges, rows[label].eqNullSafe(edges["__tw_class"]), "left")
+    at_edge = F.coalesce(F.col("__tw_prefix") == F.col("__tw_edge"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("__tw_class").orderBy("__tw_digest", key))
+    sure = rows.where(~at_edge).withColumn("is_test", F.coalesce(F.col("__tw_prefix") < F.col("__tw_edge"), F.lit(False)))
+    edge = rows.where(at_edge).withColumn("is_test", rank <= F.col("__tw_rest"))
+    return sure.unionByName(edge).drop("__tw_digest", "__tw_prefix", "__tw_class", "__tw_edge", "__tw_rest")

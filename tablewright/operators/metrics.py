@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Confusion grids up to this many labels are built on the driver.
-MAX_LABELS = 1000
-
 
 def regression_metrics(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row (mse, rmse, mae, r2) from one aggregate; r2 of a constant target is 1 (no error) or 0."""
@@ -33,20 +30,16 @@ def confusion_counts(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def confusion_matrix(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(actual, predicted, n) for every pair of labels seen as actual or
-    predicted (Q13), zeros included."""
+    predicted (Q13), zeros included; ``confusion_counts`` is the sparse form."""
     counts = confusion_counts(pred, y, p)
-    distinct = counts.select("actual").union(counts.select("predicted")).distinct()
-    got = distinct.limit(MAX_LABELS + 1).collect()
-    if len(got) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels; use confusion_counts for the sparse form")
-    labels = sorted({r[0] for r in got}, key=lambda v: (v is None, v))
-    spark = pred.sparkSession
-    dtype = counts.schema["actual"].dataType.simpleString()
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], f"actual {dtype}, predicted {dtype}")
-    if len(labels) ** 2 <= 100_000:
-        grid = F.broadcast(grid)
-    return grid.join(counts, ["actual", "predicted"], "left") \
-        .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    seen = counts.select(F.struct(F.col("actual").alias("v")).alias("label")) \
+        .union(counts.select(F.struct(F.col("predicted").alias("v"))))
+    grid = seen.agg(F.collect_set("label").alias("labels")) \
+        .select(F.explode("labels").alias("a"), "labels").select("a", F.explode("labels").alias("b")) \
+        .select(F.col("a.v").alias("actual"), F.col("b.v").alias("predicted"))
+    same = grid["actual"].eqNullSafe(counts["actual"]) & grid["predicted"].eqNullSafe(counts["predicted"])
+    return grid.join(counts, same, "left").select(grid["actual"], grid["predicted"],
+                                                  F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def per_class(counts: DataFrame) -> DataFrame:

@@ -69,10 +69,19 @@ def classification_models(seed: int, num_trees: int, max_depth: int, n_train: in
     ]
 
 
+def _importances(values: list[float], widths: dict[str, int]) -> list[tuple[str, float]]:
+    """Importance by feature, largest first; a vector's is the sum over its slots."""
+    out, at = [], 0
+    for name, width in widths.items():
+        out.append((name, float(sum(values[at:at + width]))))
+        at += width
+    return sorted(out, key=lambda t: -t[1])
+
+
 def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str = "auto",
             test_size: float = 0.2, impute_on: str = "all"):
     """(frame with key, label, features vector, is_test), feature
-    names, task, classification type, label codes, steps.
+    names, task, classification type, label codes, steps, slots per feature.
 
     ``impute_on="all"`` takes the medians over the whole table as the
     reference does; ``"train"`` takes them over the training rows only."""
@@ -93,19 +102,23 @@ def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str
         x = FE.stratified_split(x, "label", key, test_size)
     else:
         x = FE.random_split(x, key, test_size)
-    x, med = FE.median_impute(x, names, fit_on=x.where(~F.col("is_test")) if impute_on == "train" else None)
+    numbers = [c for c in names if C.is_numeric(C.dtype_of(x, c))]
+    x, med = FE.median_impute(x, numbers, fit_on=x.where(~F.col("is_test")) if impute_on == "train" else None)
     if med:
         steps.append(f"median imputation ({impute_on} rows): {', '.join(med)}")
+    vectors = [c for c in names if c not in numbers]
+    first = x.select(*vectors).first() if vectors else None
+    widths = {c: first[c].size if c in vectors and first is not None else 1 for c in names}
     va = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     x = va.transform(x).select(key, "label", "features", "is_test")
-    return x, names, task, ctype, codes, steps
+    return x, names, task, ctype, codes, steps, widths
 
 
 def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto", features=None,
                 test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 5,
-                impute_on: str = "all") -> TrainResult:
-    """Fit and score two models; best by RMSE or accuracy."""
-    data, names, task, ctype, codes, steps = prepare(df, target, key, features, model_type, test_size, impute_on)
+                impute_on: str = "all", only: str | None = None) -> TrainResult:
+    """Fit and score two models (or the one named ``only``); best by RMSE or accuracy."""
+    data, names, task, ctype, codes, steps, widths = prepare(df, target, key, features, model_type, test_size, impute_on)
     data = hold(data)
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
@@ -116,6 +129,10 @@ def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto",
     else:
         models = classification_models(seed, num_trees, max_depth, train.count())
         metric_names = CLASSIFICATION_METRICS
+    if only is not None:
+        models = [m for m in models if m[0] == only]
+        if not models:
+            raise ValueError(f"no {task} model named {only!r}")
     rows, timings, imps, confs, preds = [], {}, [], [], {}
     for order, (name, est) in enumerate(models):
         t0 = time.time()
@@ -130,9 +147,8 @@ def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto",
         timings[name] = round(time.time() - t0, 3)
         rows += [(name, order, k, None if m[k] is None else float(m[k])) for k in metric_names]
         if hasattr(model, "featureImportances"):
-            fi = model.featureImportances.toArray().tolist()
-            ranked = sorted(zip(names, fi), key=lambda t: -t[1])
-            imps += [(name, f, float(v), i + 1) for i, (f, v) in enumerate(ranked)]
+            ranked = _importances(model.featureImportances.toArray().tolist(), widths)
+            imps += [(name, f, v, i + 1) for i, (f, v) in enumerate(ranked)]
         cols = [key, "y", "p"] + (["probability"] if "probability" in pred.columns else [])
         out = pred.select(*cols)
         if "probability" in cols:

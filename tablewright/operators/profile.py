@@ -79,9 +79,10 @@ def missing_table(df: DataFrame, decimals: int = 2) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows after the first of each identical group (NULLs equal)."""
-    return df.groupBy(*df.columns).count() \
-        .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    """Rows after the first of each identical group (missing values, NULL or NaN, equal)."""
+    return df.groupBy(*[X.nan_to_null(F.col(f.name), f.dataType).alias(f"__tw_{i}") for i, f in enumerate(df.schema.fields)]) \
+        .agg(F.count(F.lit(1)).alias("__tw_n")) \
+        .agg(F.coalesce(F.sum(F.col("__tw_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, decimals: int | None = 2,
@@ -152,7 +153,7 @@ class Profile:
             try:
                 out[name] = [r.asDict() for r in d.collect()]
             except Exception as e:  # noqa: BLE001 - recorded, as the reference does per column
-                out[name] = {"error": f"{type(e).__name__}: {e}"[:500]}
+                out[name] = {"error": f"{type(e).__name__}: {e}"}
         return out
 
     def to_json(self) -> DataFrame:

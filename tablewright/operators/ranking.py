@@ -8,7 +8,7 @@ codes), so they share one skew-safe plan:
 1. range-partition the rows on ``(group..., order...)`` -- a hot group is
    split over many partitions by its order key;
 2. sort within partitions and keep a running sum of the weight in a
-   vectorised ``mapInPandas`` pass that carries its state across Arrow
+   vectorised ``mapInArrow`` pass that carries its state across Arrow
    batches (memory is one batch, not one group);
 3. persist that result: the range bounds come from a random sample, so
    both later passes must read the same partitioning.  A persisted plan is
@@ -26,7 +26,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ from .cache import hold, release
 
 PID = "_pid"
 WEIGHT = "_w"
+GROUP_HASH = "_gh"
 LOCAL_CUM = "_lcum"
 OFFSET = "_off"
 BLOCK_TOTAL = "_t"
@@ -46,35 +48,20 @@ CUM = "_cum"
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def _running_sum_fn(group_cols: list[str]):
-    def run(batches):
-        carry_key = None
-        carry_sum = 0
-        carry_pid = None
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{LOCAL_CUM: pd.Series([], dtype="int64")})
-                continue
-            w = pdf[WEIGHT].astype("int64")
-            pid = int(pdf[PID].iloc[0])
-            if carry_pid is not None and pid != carry_pid:
-                carry_key, carry_sum = None, 0
-            carry_pid = pid
-            if group_cols:
-                h = pd.util.hash_pandas_object(pdf[group_cols], index=False).to_numpy()
-                new_group = pd.Series(h).ne(pd.Series(h).shift()).to_numpy()
-                new_group[0] = carry_key is None or h[0] != carry_key
-                gid = new_group.cumsum()
-                cum = w.groupby(gid).cumsum().to_numpy()
-                if not new_group[0]:
-                    cum = cum + (gid == gid[0]) * carry_sum
-                carry_key = h[-1]
-            else:
-                cum = w.cumsum().to_numpy() + carry_sum
-                carry_key = 0
-            carry_sum = int(cum[-1])
-            yield pdf.assign(**{LOCAL_CUM: cum})
-    return run
+def _running_sums(batches):
+    """Appends the running weight within each group of one sorted partition; all other columns pass through unchanged."""
+    last, carry = None, 0
+    for batch in batches:
+        group = batch.column(GROUP_HASH).to_numpy(zero_copy_only=False)
+        cum = np.cumsum(batch.column(WEIGHT).to_numpy(zero_copy_only=False), dtype=np.int64)
+        if len(group):
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            before = np.r_[0, cum][starts]
+            if group[0] == last:
+                before[0] -= carry
+            cum -= np.repeat(before, np.diff(np.r_[starts, len(group)]))
+            last, carry = group[-1], cum[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cum)], [*batch.schema.names, LOCAL_CUM])
 
 
 @dataclass
@@ -106,12 +93,15 @@ def running_rank(df: DataFrame, order_cols: list[str], group_cols: list[str] | t
     n_parts = num_partitions or shuffle_partitions(spark)
     w = F.lit(1) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     keys = group_cols + list(order_cols)
-    base = df.withColumn(WEIGHT, w.cast("long"))
+    # NULL and NaN are groups of their own, so null flags are part of the hash
+    flags = [F.col(c).isNull() for c in group_cols]
+    base = df.withColumn(WEIGHT, w.cast("long")) \
+        .withColumn(GROUP_HASH, F.xxhash64(*group_cols, *flags) if group_cols else F.lit(0).cast("long"))
     ranged = (base.repartitionByRange(n_parts, *keys)
               .sortWithinPartitions(*keys)
               .withColumn(PID, F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField(LOCAL_CUM, T.LongType(), False)])
-    local = ranged.mapInPandas(_running_sum_fn(group_cols), schema)
+    local = ranged.mapInArrow(_running_sums, schema).drop(GROUP_HASH)
     if reliable:
         ensure_checkpoint_dir(spark)
         local = local.checkpoint(eager=True)

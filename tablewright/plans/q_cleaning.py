@@ -261,7 +261,8 @@ def c19(spark, sf):
 
 
 @query("c20_remove_outliers_iqr", with_dirty(
-    _typed_numeric_sql().replace("from dirty)", "from (select distinct * from dirty))") + ",\n"
+    f"t as (select o_orderkey, price, priority, cast({_num('cust_txt')} as bigint) as cust_txt, "
+    "try_strptime(trim(date_txt), '%Y-%m-%d') as date_txt, sparse_status from (select distinct * from dirty)),\n"
     "b1 as (select quantile_cont(o_orderkey, 0.25) a, quantile_cont(o_orderkey, 0.75) z from t),\n"
     "r1 as (select t.* from t, b1 where not coalesce(o_orderkey < a - 1.5 * (z - a) or o_orderkey > z + 1.5 * (z - a), false)),\n"
     "b2 as (select quantile_cont(price, 0.25) a, quantile_cont(price, 0.75) z from r1),\n"
@@ -271,7 +272,7 @@ def c19(spark, sf):
     ("C20",))
 def c20(spark, sf):
     d = CL.drop_duplicates(dirty_orders(spark, sf))
-    t, _ = CL.fix_types(d.select("o_orderkey", "price", "cust_txt"))
+    t, _ = CL.fix_types(d)
     return CL.remove_outliers(hold(t), ["o_orderkey", "price", "cust_txt"], "iqr")
 
 

@@ -87,7 +87,7 @@ def f08(spark, sf):
 k as (select * from range(0, 3) t(cluster)),
 n as (select cluster, count(*) as size from asg group by cluster)
 select cast(k.cluster as int) as cluster, coalesce(n.size, 0) as size,
-       round(coalesce(n.size, 0) / (select count(*) from asg) * 100, 2) as percentage
+       round_even(coalesce(n.size, 0) / (select count(*) from asg) * 100, 2) as percentage
 from k left join n on k.cluster = n.cluster""", ("F9",))
 def f09(spark, sf):
     a, _ = _assigned(spark, sf)
@@ -116,15 +116,8 @@ def f12(spark, sf):
     return CU.join_labels(table(spark, sf, "orders"), a, "o_orderkey")
 
 
-_MEMO: dict = {}
-
-
 def _kmeans(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MEMO:
-        c = table(spark, sf, "customer")
-        _MEMO[key] = CU.kmeans(c, "c_custkey", k=3, features=["c_acctbal", "c_nationkey"])
-    return _MEMO[key]
+    return CU.kmeans(table(spark, sf, "customer"), "c_custkey", k=3, features=["c_acctbal", "c_nationkey"])
 
 
 @query("f05_kmeans", None, ("F5", "F1", "F4"))

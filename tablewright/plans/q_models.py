@@ -247,56 +247,49 @@ def e17b(spark, sf):
 
 # ---------------------------------------------------------------- Spark ML fits (rows-only checks)
 
-_MEMO: dict = {}
+def _regression(spark, sf, only):
+    return ML.train_model(table(spark, sf, "part"), "p_retailprice", key="p_partkey", only=only)
 
 
-def _fit(spark, sf, which):
-    key = (spark.sparkContext.applicationId, sf, which)
-    if key not in _MEMO:
-        if which == "regression":
-            _MEMO[key] = ML.train_model(table(spark, sf, "part").drop("p_name"), "p_retailprice", key="p_partkey")
-        else:
-            o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
-                                                   "o_orderdate")
-            _MEMO[key] = ML.train_model(o, "o_orderstatus", key="o_orderkey")
-    return _MEMO[key]
+def _classification(spark, sf, only=None):
+    return ML.train_model(table(spark, sf, "orders"), "o_orderstatus", key="o_orderkey", only=only)
 
 
 @query("e11_linear_regression", None, ("E11", "E1", "E4"))
 def e11(spark, sf):
-    return _fit(spark, sf, "regression").metrics.where(F.col("model") == "Linear Regression")
+    return _regression(spark, sf, "Linear Regression").metrics
 
 
 @query("e12_random_forest_regressor", None, ("E12",))
 def e12(spark, sf):
-    return _fit(spark, sf, "regression").metrics.where(F.col("model") == "Random Forest Regressor")
+    return _regression(spark, sf, "Random Forest Regressor").metrics
 
 
 @query("e13_logistic_regression", None, ("E13",))
 def e13(spark, sf):
-    return _fit(spark, sf, "classification").metrics.where(F.col("model") == "Logistic Regression")
+    return _classification(spark, sf, "Logistic Regression").metrics
 
 
 @query("e14_random_forest_classifier", None, ("E14",))
 def e14(spark, sf):
-    return _fit(spark, sf, "classification").metrics.where(F.col("model") == "Random Forest Classifier")
+    return _classification(spark, sf, "Random Forest Classifier").metrics
 
 
 @query("e19_feature_importance", None, ("E19",))
 def e19(spark, sf):
-    return ML.top_importances(_fit(spark, sf, "regression"), 15)
+    return ML.top_importances(_regression(spark, sf, "Random Forest Regressor"), 15)
 
 
 @query("e21_metrics_table", None, ("E21",))
 def e21(spark, sf):
-    return _fit(spark, sf, "classification").metrics_table()
+    return _classification(spark, sf).metrics_table()
 
 
 @query("e22_class_probabilities", None, ("E22",))
 def e22(spark, sf):
-    return _fit(spark, sf, "classification").predictions["Random Forest Classifier"]
+    return _classification(spark, sf, "Random Forest Classifier").predictions["Random Forest Classifier"]
 
 
 @query("e18_confusion_matrix_models", None, ("E18",))
 def e18m(spark, sf):
-    return _fit(spark, sf, "classification").confusion
+    return _classification(spark, sf).confusion
