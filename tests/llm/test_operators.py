@@ -259,3 +259,15 @@ def test_decontaminate(spark, docs, empty):
     assert clean.columns == table.columns and clean.count() == table.count() - 6
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0
+
+
+def test_decontaminate_many_short_items(spark):
+    """Whole items of 15 to 20 words inside other text, with far more items than the basis has directions."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("ghijklmnop") for _ in range(r.randint(2, 3)))  # noqa: E731  few words, so passages are alike
+    items = [" ".join(word() for _ in range(r.randint(15, 20))) for _ in range(1500)]
+    prose = lambda n: " ".join(word() for _ in range(n))
+    table = spark.createDataFrame([(i, f"{prose(r.randint(40, 90))} {items[i * 7]} {prose(80)}") for i in range(200)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(table, bench).collect()}
+    assert got == {(i, i * 7) for i in range(200)}
