@@ -271,3 +271,23 @@ def test_decontaminate_many_short_items(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(table, bench).collect()}
     assert got == {(i, i * 7) for i in range(200)}
+
+
+def test_decontaminate_paraphrases(spark):
+    """Evenly replaced words, the last one among them: an item without an answer is judged by the LCS alone."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("ghijklmnop") for _ in range(r.randint(2, 7)))
+    prose = lambda n: [word() for _ in range(n)]
+    items = [prose(40) for _ in range(30)]
+    def other(w, n):  # the last quarter loses its share, too
+        gone = {len(w) - 1 - i * len(w) // n for i in range(n)}
+        return [word() if i in gone else x for i, x in enumerate(w)]
+    rows = [(i, " ".join(prose(50) + other(w, n) + prose(50))) for i, (w, n) in enumerate(zip(items, [10] * 10 + [14] * 10 + [24] * 10))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = [(i, " ".join(w)) for i, w in enumerate(items)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(table, spark.createDataFrame(texts, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i in range(20)}  # 25 and 35 % replaced; not 60 %
+    # a stated answer decides: missing in the copies but the first, whose answer stands in it
+    answers = [(i, t, rows[0][1].split()[60] if not i else "zzz yyy") for i, t in texts]
+    bench = spark.createDataFrame(answers, "item_id bigint, text string, answer string")
+    assert {(x["doc_id"], x["answer_found"]) for x in decontaminate.leaks(table, bench).collect()} == {(0, True)}
