@@ -291,3 +291,19 @@ def test_decontaminate_paraphrases(spark):
     answers = [(i, t, rows[0][1].split()[60] if not i else "zzz yyy") for i, t in texts]
     bench = spark.createDataFrame(answers, "item_id bigint, text string, answer string")
     assert {(x["doc_id"], x["answer_found"]) for x in decontaminate.leaks(table, bench).collect()} == {(0, True)}
+
+
+def test_decontaminate_equal_documents_and_short_items(spark):
+    """Copies of one text give every term the weight of a word of all documents; short items are looked up word for word."""
+    r = random.Random(8)
+    w = ["".join(r.choice("ghijklmnop") for _ in range(r.randint(4, 7))) for _ in range(200)]
+    text = " ".join(w[:100]) + ". " + " ".join(w[100:])
+    items = [w[30:60], w[70:75], w[80:82], w[90:91], w[120:123] + w[124:127], ["absent"], w[20:50][::-1], w[95:103],
+             [x for i, x in enumerate(w[150:190]) if i % 3]]  # in the last one no three words in a row are left
+    bench = spark.createDataFrame([(i, " ".join(x).capitalize() + "!") for i, x in enumerate(items)], "item_id bigint, text string")
+    for n in (1, 3):
+        table = spark.createDataFrame([(i, text) for i in range(n)], "doc_id bigint, text string")
+        found = decontaminate.leaks(table, bench).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in found} == {(d, i) for d in range(n) for i in (0, 1, 2, 3, 7, 8)}
+        assert min(x["cosine"] for x in found if x["item_id"] in (0, 8)) >= 0.7
+        assert decontaminate.clean(table, bench).count() == 0
