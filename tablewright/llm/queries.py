@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_trie, decontaminate, jaccard_join, line_dedup, quality_cnn, quality_rules, sharding, substring_dedup,
-               token_counts, toxicity)
+from . import (bpe_trie, decontaminate, fill_in_middle, jaccard_join, line_dedup, quality_cnn, quality_rules, sharding,
+               substring_dedup, token_counts, toxicity)
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,27 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
+SQL["op11_fill_in_middle"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id) as h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as us,
+             [cast('0x' || substr(h, 8 * i + 1, 8) as bigint) for i in range(4)] as r from d),
+p as (select doc_id, t, us, len(us) as n, r, least(r[1] % (len(us) + 1), r[2] % (len(us) + 1)) as a,
+             greatest(r[1] % (len(us) + 1), r[2] % (len(us) + 1)) as b,
+             t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100 as plain from u),
+f as (select doc_id, t, n, case when plain then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form,
+             array_to_string(us[1:a], '') as pre, array_to_string(us[a + 1:b], '') as mid,
+             array_to_string(us[b + 1:], '') as suf from p)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars,
+       case when form <> 'plain' then length(mid) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256
+from f
+"""
