@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_trie, decontaminate, fill_in_middle, jaccard_join, line_dedup, quality_cnn, quality_rules, sharding,
-               substring_dedup, token_counts, toxicity)
+from . import (bpe_trie, collocations, decontaminate, fill_in_middle, jaccard_join, line_dedup, quality_cnn, quality_rules,
+               sharding, substring_dedup, token_counts, toxicity)
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,36 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix
        sha256(t) as restored_sha256
 from f
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.ranked(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = r"""
+with d as (select coalesce(lang, 'und') as lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+starts as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+grams as (select lang, ws[i:i + k - 1] as g, k from starts, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(ws)),
+f as (select lang, k, g, array_to_string(g, ' ') as phrase, count(*) as a from grams group by lang, k, g),
+total as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and a >= 100),
+inside as (select lang, g[s:s + m - 1] as sub, max(a) as longer
+           from (select lang, g, k, a, m, unnest(range(1, k - m + 2)) as s
+                 from (select lang, g, k, a, unnest(range(2, k)) as m from c)) group by lang, sub),
+kept as (select c.* from c left join inside on inside.lang = c.lang and inside.sub = c.g
+         where longer is null or 100 * longer < 100 * a),
+cuts as (select lang, g, phrase, a, k, unnest(range(1, k)) as c from kept),
+scored as (select cuts.lang, cuts.phrase, cuts.a, cuts.c, l.a as l, r.a as r, n,
+                  cast(1000 * cuts.a::hugeint * n::hugeint // (l.a::hugeint * r.a::hugeint) as bigint) as score
+           from cuts join total on total.lang = cuts.lang
+           join f as l on l.lang = cuts.lang and l.g = cuts.g[1:cuts.c]
+           join f as r on r.lang = cuts.lang and r.g = cuts.g[cuts.c + 1:]),
+best as (select *, row_number() over (partition by lang, phrase order by score, c) as b from scored),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+           from best where b = 1)
+select * from ranked where rank <= 2000
+"""
