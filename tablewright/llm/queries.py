@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_trie, collocations, decontaminate, fill_in_middle, jaccard_join, line_dedup, quality_cnn, quality_rules,
-               sharding, substring_dedup, token_counts, toxicity)
+from . import (bpe_trie, collocations, decontaminate, fill_in_middle, jaccard_join, line_dedup, piece_codec, quality_cnn,
+               quality_rules, sharding, substring_dedup, token_counts, toxicity)
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,8 @@ ranked as (select lang, row_number() over (partition by lang order by score desc
            from best where b = 1)
 select * from ranked where rank <= 2000
 """
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
