@@ -4,7 +4,7 @@ Counting all n-grams of a corpus exactly would shuffle most of its text again
 and again, nearly all of it n-grams that are rare.  So the phrases that matter
 are found first, by Misra-Gries summaries, and only these are counted:
 
-1. Tasks count the n-grams of each few megabytes of text as 64-bit hashes, and
+1. Tasks count the n-grams of each few megabytes of text as 48-bit hashes, and
    deal the counts to hash partitions.
 2. Each hash partition merges its counts into one summary of at most
    ``capacity`` counters.  Where there are more, the count of the first one
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import forgetting, partitions, written
 from .token_counts import slices
 
 LONGEST = 5
@@ -48,6 +48,8 @@ BITS = 26
 BLOCKS = 64
 ROOM = 4
 SLICE = 6_000_000  # characters counted at a time
+HELD = 400_000  # phrases that a task counts before it hands them on
+KEY_BITS = 48
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Fixed values that decide results: upper case A-Z becomes lower case; phrases never cross the characters . , ; : ! ? U+000A to U+000D.
 BORDER = b","
@@ -88,7 +90,7 @@ class Words:
         place = np.flatnonzero(self.number)
         rolled = self.hash[place]
         for n in range(1, longest + 1):
-            key = (rolled ^ self.lang_hash[place] ^ np.uint64(n)) * MIX
+            key = (rolled ^ self.lang_hash[place] ^ np.uint64(n)) * MIX >> np.uint64(64 - KEY_BITS)
             yield n, place, key
             if n == longest:
                 return
@@ -117,8 +119,7 @@ class Sieve:
 
     @staticmethod
     def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mixed = key ^ (key >> np.uint64(31))
-        return (mixed >> np.uint64(64 - BITS)).astype(np.int64), (mixed & np.uint64(2**BITS - 1)).astype(np.int64)
+        return (key >> np.uint64(KEY_BITS - BITS)).astype(np.int64), (key & np.uint64(2**BITS - 1)).astype(np.int64)
 
     def holds(self, key: np.ndarray) -> np.ndarray:
         a, b = self.places(key)
@@ -126,6 +127,16 @@ class Sieve:
         return (test(a) & test(b)).astype(bool)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BITS // 8].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    keys = np.zeros((len(data) * 8 // KEY_BITS, 8), np.uint8)
+    keys[:, :KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(keys), -1)
+    return keys.view(np.uint64).ravel()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
                        F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"))
@@ -182,12 +193,12 @@ def sieve(rows: DataFrame, threshold: int, lengths: tuple[int, int], before: Sie
             some, at = np.flatnonzero(size).tolist(), np.split(order, np.cumsum(size)[:-1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int32()), pa.array([int(counts[at[i]].sum()) for i in some], pa.int64()),
-                 pa.array([keys[at[i]].tobytes() for i in some], pa.binary()),
+                 pa.array([_packed(keys[at[i]]) for i in some], pa.binary()),
                  pa.array([counts[at[i]].astype(np.uint32).tobytes() for i in some], pa.binary())], ["part", "mass", "keys", "counts"])
 
     def merge(partial: pa.Table) -> pa.Table:
         mass = pc.sum(partial.column("mass")).as_py()
-        pairs = ((np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
+        pairs = ((_unpacked(k.as_py()), np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
                  for k, c in zip(partial.column("keys"), partial.column("counts")))
         keys, counts, error = merged(pairs, ROOM * mass // threshold + 1)
         bits = np.unique(np.concatenate(Sieve.places(keys[counts >= threshold - error])))
@@ -204,7 +215,7 @@ def sieve(rows: DataFrame, threshold: int, lengths: tuple[int, int], before: Sie
         return pa.table([found.column("block").slice(0, 1), pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())],
                         ["block", "bits"])
 
-    blocks = (rows.mapInArrow(count, "part int, mass bigint, keys binary, counts binary")
+    blocks = (rows.mapInArrow(forgetting(count), "part int, mass bigint, keys binary, counts binary")
               .groupBy("part").applyInArrow(merge, "block int, bits binary")
               .groupBy("block").applyInArrow(together, "block int, bits binary").collect())  # 2^BITS bits in all
     bits = np.zeros((BLOCKS, 2**BITS // BLOCKS // 8), np.uint8) if before is None else before.bits.reshape(BLOCKS, -1).copy()
@@ -221,10 +232,21 @@ def counted(rows: DataFrame, known: Sieve, longest: int = LONGEST) -> DataFrame:
     """Exact counts (lang, n_words, phrase, f) of the n-grams that pass the sieve, and per language one row of 0 words: all words."""
     sieve_b = rows.sparkSession.sparkContext.broadcast(known)
 
+    def batch(found: dict[tuple[str, int], dict[str, int]]) -> pa.RecordBatch:
+        sizes = [len(own) for own in found.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang for (lang, _), size in zip(found, sizes) for _ in range(size)], pa.string()),
+             pa.array(np.repeat([n for _, n in found], sizes), pa.int32()),
+             pa.array([phrase for own in found.values() for phrase in own], pa.string()),
+             pa.array([f for own in found.values() for f in own.values()], pa.int64())], ["lang", "n_words", "phrase", "f"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], dict[str, int]] = {}
         for words in _words(batches):
             total = np.bincount(words.lang[words.number > 0], minlength=len(words.langs)).tolist()
-            out = [(lang, 0, "", n) for lang, n in zip(words.langs, total)]
+            for lang, f in zip(words.langs, total):
+                own = found.setdefault((lang, 0), {"": 0})
+                own[""] += f
             same = np.zeros(len(words), np.int64)  # equal where the n-grams that begin there are, words and language
             for n, place, key in words.grams(sieve_b.value, longest):
                 passed = sieve_b.value.holds(key)
@@ -236,13 +258,19 @@ def counted(rows: DataFrame, known: Sieve, longest: int = LONGEST) -> DataFrame:
                 _, first, of, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
                 same = np.full(len(words), -1, np.int64)
                 same[place] = of
-                for at, f in zip(place[first].tolist(), times.tolist()):
-                    phrase = b" ".join([words.words[i] for i in words.number[at:at + n].tolist()]).decode()
-                    out.append((words.langs[words.lang[at]], n, phrase, f))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.int64()))],
-                                             ["lang", "n_words", "phrase", "f"])
-
-    return rows.mapInArrow(count, COUNTS).groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+                dicts = [found.setdefault((lang, n), {}) for lang in words.langs]
+                at = place[first]
+                spelled = [words.words[i] for i in words.number[at[:, None] + np.arange(n)].ravel().tolist()]
+                for i, (lang, f) in enumerate(zip(words.lang[at].tolist(), times.tolist())):
+                    phrase = b" ".join(spelled[i * n:i * n + n]).decode()
+                    dicts[lang][phrase] = dicts[lang].get(phrase, 0) + f
+            if sum(map(len, found.values())) > HELD:
+                yield batch(found)
+                found = {}
+        if found:
+            yield batch(found)
+
+    return rows.mapInArrow(forgetting(count), COUNTS).groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent(docs: DataFrame, threshold: int = 100, longest: int = LONGEST) -> DataFrame:
