@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts
+from .common import FORGET, forgetting, ids_and_texts
 from .token_counts import byte_alphabet, slices
 
 # Fixed value that decides results: what the vocabulary takes as a word, after lower-casing.
@@ -185,12 +185,18 @@ class Encoder:
             for c in fresh:
                 del self.ids[c], self.tokens[c]
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.tokens.clear()
+        self.trie.fits.clear()
+
     def decode(self, ids: list[int]) -> str:
         """As decode(ids, skip_special_tokens=False) without a decoder: the tokens joined by one space."""
         return " ".join([self.token[i] for i in ids])
 
 
 _ENCODERS: dict[int, Encoder] = {}
+FORGET.append(lambda: [e.forget() for e in _ENCODERS.values()])
 
 
 def _encoder(spec: str) -> Encoder:
@@ -219,7 +225,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                                                  ["doc_id", "ids"])
                 at += len(part)
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return ids_and_texts(docs).mapInArrow(forgetting(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -231,7 +237,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             texts = [_encoder(spec.value).decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(forgetting(run), "doc_id bigint, text string")
 
 
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -252,4 +258,4 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
                                               pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, " + DIGESTS)
+    return ids_and_texts(docs).mapInArrow(forgetting(run), "doc_id bigint, " + DIGESTS)

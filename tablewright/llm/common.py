@@ -6,8 +6,12 @@ can repeat another document but never be the earlier one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +61,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What empties the caches of this Python worker.
+FORGET: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drops what a task has learned and gives the memory back, as a Python worker outlives its tasks and stages."""
+    for clear in FORGET:
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def forgetting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as the function of a task: with its last batch the worker forgets what it has learned."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+    return task
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to ``limit`` words."""
 
@@ -70,3 +97,4 @@ class WordHashes(dict):
 
 
 WORD_HASHES = WordHashes()
+FORGET.append(WORD_HASHES.clear)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, ids_and_texts, order_id, reliable, whole_row
+from .common import WORD_HASHES, forgetting, ids_and_texts, order_id, reliable, whole_row
 from .substring_dedup import mix, run_hashes
 
 BRANCH = 1.5
@@ -111,7 +111,7 @@ def _first_nodes(rows: DataFrame, n: int, threshold: float, runs: int, branch: f
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(set_ids, pa.int64()),
                                               pa.array(nodes, pa.list_(pa.int64()))], ["id", "row_key", "set_id", "nodes"])
 
-    return rows.select("id", "row_key", "text").mapInArrow(run, "id bigint, row_key bigint, set_id bigint, nodes array<bigint>")
+    return rows.select("id", "row_key", "text").mapInArrow(forgetting(run), "id bigint, row_key bigint, set_id bigint, nodes array<bigint>")
 
 
 def _with_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(packed, pa.binary())],
                                              [*batch.schema.names[:at], "tokens"])
 
-    return rows.mapInArrow(run, "set_id bigint, id bigint, small array<bigint>, large array<bigint>, tokens binary")
+    return rows.mapInArrow(forgetting(run), "set_id bigint, id bigint, small array<bigint>, large array<bigint>, tokens binary")
 
 
 def _deeper(sets: DataFrame, threshold: float, branch: float, levels: int) -> DataFrame:

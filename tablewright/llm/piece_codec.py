@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts
+from .common import forgetting, ids_and_texts
 from .token_counts import NO_RANK, PairRanks, slices
 
 MARK = "▁"
@@ -460,7 +460,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                      for c, t in ((e.ids, pa.int32()), (e.begin, pa.int64()), (e.end, pa.int64()))]
             yield pa.RecordBatch.from_arrays([doc_id, *lists], ["doc_id", "ids", "begins", "ends"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>, begins array<bigint>, ends array<bigint>")
+    return ids_and_texts(docs).mapInArrow(forgetting(run), "doc_id bigint, ids array<int>, begins array<bigint>, ends array<bigint>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -472,7 +472,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [_vocabulary(model.value).decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(forgetting(run), "doc_id bigint, text string")
 
 
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint, covered_bytes bigint"
@@ -491,4 +491,4 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
                 [doc_id, pa.array(e.count, pa.int64()), sha(e.joined), sha(e.decoded),
                  pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(np.diff(covered), pa.int64())], names)
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id bigint, " + DIGESTS)
+    return ids_and_texts(docs).mapInArrow(forgetting(run), "doc_id bigint, " + DIGESTS)

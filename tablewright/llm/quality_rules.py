@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids_and_texts, whole_row
+from .common import forgetting, ids_and_texts, whole_row
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower",
             "n_marks")
@@ -93,20 +94,23 @@ def measure(text: bytes) -> tuple[int, ...]:
             _repeated_words(words), len(lines), count(UPPER), count(LOWER), count(MARKS))
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        columns = list(zip(*rows)) or [()] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)],
-                                         ["__tw_row", *MEASURES])
+def _measure_batches(batches: Iterator[pa.RecordBatch], some: int = 512) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, some):
+            batch = whole.slice(at, some)
+            texts = batch.column(1) if batch.num_columns > 1 else pc.struct_field(batch.column(0), "text")
+            columns = zip(*(measure(t or b"") for t in texts.cast(pa.binary()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)],
+                                             ["__tw_row", *MEASURES])
 
 
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The measurements beside a struct ``__tw_row`` of the named columns, so that no names clash."""
-    rows = docs.select(whole_row(docs, columns),
-                       F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__tw_text"))
+    rows = docs.select(whole_row(docs, columns))
+    if "text" not in columns or not isinstance(docs.schema["text"].dataType, T.StringType):
+        rows = docs.select(whole_row(docs, columns), docs["text"].cast("string").alias("__tw_text"))
     schema = T.StructType([rows.schema["__tw_row"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    return rows.mapInArrow(_measure_batches, schema)
+    return rows.mapInArrow(forgetting(_measure_batches), schema)
 
 
 def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
