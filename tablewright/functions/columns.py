@@ -45,6 +45,11 @@ NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N
                "<NA>", "#NA", "#N/A N/A", "-1.#IND", "-1.#QNAN", "1.#IND", "1.#QNAN")
 
 
+def named(name: str) -> Column:
+    """The top-level column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

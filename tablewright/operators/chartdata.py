@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..functions.columns import missing
+from ..functions.columns import missing, named
 from . import stats
+from .comoments import comoments
+from .selection import matched
 
 PLOT_TYPES = ("histogram", "scatter", "bar", "box", "line", "pie", "heatmap", "density_heatmap", "violin")
 BAR_AGGS = ("mean", "sum", "min", "max", "median", "std", "var", "first", "last", "count", "size", "nunique")
@@ -33,11 +36,11 @@ def check_plot_columns(df: DataFrame, x: str, y: str | None = None, color: str |
 
 
 def _present(c: str, df: DataFrame) -> Column:
-    return ~missing(F.col(c), C.dtype_of(df, c))
+    return ~missing(named(c), C.dtype_of(df, c))
 
 
 def _value(c: str, df: DataFrame) -> Column:
-    return F.when(_present(c, df), F.col(c))
+    return F.when(_present(c, df), named(c))
 
 
 def _bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -107,9 +110,9 @@ def bar(df: DataFrame, x: str, y: str | None = None, agg: str = "mean", color: s
         return base.groupBy(x).agg(F.count(F.lit(1)).alias("count"))
     yv = _value(y, df).cast("double")
     if agg == "median":
-        q = stats.quantiles(base, [y], [0.5], by=[x])
-        keys = base.select(x).distinct()
-        return keys.join(q.select(x, F.col("value").alias(y)), x, "left")
+        inner = base.select(named(x).alias("__tw_x"), _value(y, df).cast("double").alias("__tw_y"))
+        q = stats.quantile_table(inner, ["__tw_y"], [0.5], by=["__tw_x"]).drop("column_name")
+        return inner.select("__tw_x").distinct().join(q, "__tw_x", "left").toDF(x, y)
     if agg in ("first", "last"):
         if order_by is None:
             raise ValueError("first/last need an order_by column (rows have no order)")
@@ -140,13 +143,17 @@ def _with_scalars(rows: DataFrame, stats_df: DataFrame) -> DataFrame:
     return rows.select("*", *[F.lit(vals[f.name]).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def _matched_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their group; a NULL or NaN key is a group like others."""
     if not keys:
         return _with_scalars(rows, groups)
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    # otherwise a shuffle join; AQE splits a skewed key's partition
-    return rows.join(groups, keys, "inner")
+    got = groups.limit(BROADCAST_GROUPS + 1).collect()
+    small = len(got) <= BROADCAST_GROUPS  # otherwise a shuffle join; AQE splits a skewed key's partition
+    return matched(rows, df_of(groups, got) if small else groups, keys, small)
+
+
+def df_of(like: DataFrame, rows: list) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, like.schema)
 
 
 def box_stats(df: DataFrame, value: str, group: str | None = None, color: str | None = None,
@@ -154,33 +161,45 @@ def box_stats(df: DataFrame, value: str, group: str | None = None, color: str |
     """Per group: n, q1, median, q3, fences at 1.5 IQR and whiskers
     (extreme values inside the fences)."""
     check_plot_columns(df, value, group, color)
-    keys = _group_keys(group, color)
-    base = df.select(*keys, _value(value, df).cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    if group:
-        base = base.where(F.col(group).isNotNull())
-    q = stats.quantile_table(base, ["_y"], [0.25, 0.5, 0.75], by=keys, method=method,
-                             names=["q1", "median", "q3"]).drop("column_name")
-    q = q.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
-         .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = _join_groups(base, q, keys)
-    return j.groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
+    names = _group_keys(group, color)
+    base = _box_rows(df, value, group, names).where(F.col("_y").isNotNull())
+    box = _fenced(base, len(names), method)
+    keys = _inner(names)
+    return _matched_groups(base, box, keys).groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("_y") >= F.col("lower_fence"), F.col("_y"))).alias("whisker_low"),
-        F.max(F.when(F.col("_y") <= F.col("upper_fence"), F.col("_y"))).alias("whisker_high"))
+        F.max(F.when(F.col("_y") <= F.col("upper_fence"), F.col("_y"))).alias("whisker_high")).toDF(
+            *names, "q1", "median", "q3", "lower_fence", "upper_fence", "n", "whisker_low", "whisker_high")
+
+
+def _inner(names: list[str]) -> list[str]:
+    return [f"_k{i}" for i in range(len(names))]
+
+
+def _box_rows(df: DataFrame, value: str, group: str | None, names: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Group columns as ``_k<i>``, kept ones as ``_o<i>`` and the value ``_y`` (missing, NaN too: NULL), without missing groups."""
+    rows = df.where(_present(group, df)) if group else df
+    return rows.select(*(named(n).alias(k) for n, k in zip(names, _inner(names))), *(named(c).alias(f"_o{i}") for i, c in enumerate(keep or [])),
+                       _value(value, df).cast("double").alias("_y"))
+
+
+def _fenced(base: DataFrame, n_keys: int, method: str) -> DataFrame:
+    """Quartiles and fences of ``_y`` per group."""
+    keys = [f"_k{i}" for i in range(n_keys)]
+    q = stats.quantile_table(base, ["_y"], [0.25, 0.5, 0.75], by=keys, method=method, names=["q1", "median", "q3"]).drop("column_name")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return q.withColumns({"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach})
 
 
 def box_outliers(df: DataFrame, value: str, group: str | None = None, color: str | None = None,
                  method: str = "exact", keep: list[str] | None = None) -> DataFrame:
-    """Rows whose value lies outside the fences of their group."""
+    """Rows whose value lies outside the fences of their group; a missing value (NaN too) lies nowhere."""
     check_plot_columns(df, value, group, color)
-    keys = _group_keys(group, color)
-    box = box_stats(df, value, group, color, method).select(*keys, "lower_fence", "upper_fence")
-    rows = df.select(*keys, *(keep or []), F.col(value).cast("double").alias(value))
-    if group:
-        rows = rows.where(F.col(group).isNotNull())
-    j = _join_groups(rows, box, keys)
-    return j.where((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence"))) \
-        .select(*keys, *(keep or []), value)
+    names = _group_keys(group, color)
+    rows = _box_rows(df, value, group, names, keep).where(F.col("_y").isNotNull())
+    box = _fenced(rows, len(names), method).select(*_inner(names), "lower_fence", "upper_fence")
+    j = _matched_groups(rows, box, _inner(names)).where((F.col("_y") < F.col("lower_fence")) | (F.col("_y") > F.col("upper_fence")))
+    return j.select(*_inner(names), *(f"_o{i}" for i in range(len(keep or []))), "_y").toDF(*names, *(keep or []), value)
 
 
 def line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -214,23 +233,18 @@ def pie(df: DataFrame, x: str, max_slices: int = 10) -> DataFrame:
 
 def correlation(df: DataFrame, cols: list[str] | None = None, x: str | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns (pairwise
-    complete), long form (col_x, col_y, corr).  One aggregate per chunk of
-    pairs keeps each one inside whole-stage code generation."""
+    complete), long form (col_x, col_y, corr), from one scan whatever the
+    number of columns; NULL where a column of the pair does not vary."""
     if x is not None:
         check_plot_columns(df, x)
     cols = list(cols if cols is not None else C.numeric_columns(df))
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    vals = df.select(*[_value(c, df).cast("double").alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    exprs = [F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    # the diagonal is 1 where a column has at least two distinct values
-    exprs += [F.when(F.stddev_samp(c) > 0, F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(cols)]
-    got = stats.wide_agg(vals, exprs, [6] * len(pairs) + [3] * len(cols))
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        rows += [(a, b, got[f"c{i}"]), (b, a, got[f"c{i}"])]
-    rows += [(c, c, got[f"d{i}"]) for i, c in enumerate(cols)]
+    found = comoments(df, [_value(c, df) for c in cols])
+    spread = np.sqrt(found["m2"] * found["m2"].T)
+    corr = np.where(spread > 0, found["c"] / np.where(spread > 0, spread, 1), np.nan)
+    rows = [(a, b, None if math.isnan(corr[i, j]) else 1.0 if i == j else float(corr[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "col_x string, col_y string, corr double")
 
 
@@ -249,29 +263,28 @@ def density_heatmap(df: DataFrame, x: str, y: str, nbins_x: int = 10, nbins_y: i
 
 
 def violin_density(df: DataFrame, value: str, group: str | None = None, grid_points: int = 16,
-                   method: str = "exact") -> DataFrame:
-    """Gaussian kernel density per group on an even grid from min to max.
+                   method: str = "exact", color: str | None = None) -> DataFrame:
+    """Gaussian kernel density per group (and colour) on an even grid from min to max; ``violin_box`` is its box part.
 
     Bandwidth (Silverman): 0.9 * min(sd, IQR / 1.34) * n^(-1/5).  Values are
     first counted per (group, value), each distinct value is spread over the
     ``grid_points`` grid of its group (a fixed fan-out, not a pairing of
     rows), and the weighted kernel sums are aggregated per grid point.
-    Output (group?, k, grid_value, density)."""
-    check_plot_columns(df, value, group)
-    keys = _group_keys(group, None)
-    base = df.select(*keys, _value(value, df).cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    if group:
-        base = base.where(F.col(group).isNotNull())
+    Output (group?, color?, k, grid_value, density)."""
+    check_plot_columns(df, value, group, color)
+    names = _group_keys(group, color if color in df.columns else None)
+    keys = _inner(names)
+    base = _box_rows(df, value, group, names).where(F.col("_y").isNotNull())
+    # one counted table serves the moments and the kernel sums
     counts = base.groupBy(*keys, "_y").agg(F.count(F.lit(1)).alias("_w"))
     mom = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_y").alias("_sd"),
                                   F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
-    q = stats.quantile_table(base, ["_y"], [0.25, 0.75], by=keys, method=method, names=["_q1", "_q3"]) \
-        .drop("column_name")
-    g = mom.join(q, keys, "inner") if keys else _with_scalars(mom, q)
+    q = _fenced(base, len(names), method).select(*keys, F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    g = _matched_groups(mom, q, keys)
     g = g.withColumn("_bw", 0.9 * F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)
                      * F.pow(F.col("_n").cast("double"), -0.2))
     g = g.where(F.col("_bw") > 0)
-    j = _join_groups(counts, g, keys)
+    j = _matched_groups(counts, g, keys)
     step = (F.col("_hi") - F.col("_lo")) / (grid_points - 1)
     j = j.select(*keys, "_y", "_w", "_n", "_bw", "_lo", "_hi",
                  F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("k"))
@@ -280,7 +293,13 @@ def violin_density(df: DataFrame, value: str, group: str | None = None, grid_poi
     kern = F.col("_w") * F.exp(-0.5 * u * u)
     return j.groupBy(*keys, "k", "grid_value", "_n", "_bw").agg(F.sum(kern).alias("_s")) \
         .select(*keys, "k", "grid_value",
-                (F.col("_s") / (F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+                (F.col("_s") / (F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density")) \
+        .toDF(*names, "k", "grid_value", "density")
+
+
+def violin_box(df: DataFrame, value: str, group: str | None = None, color: str | None = None, method: str = "exact") -> DataFrame:
+    """The box drawn inside each violin: that of D8 for the same group and colour."""
+    return box_stats(df, value, group, color if color in df.columns else None, method)
 
 
 def chart_data(df: DataFrame, plot_type: str, x: str, y: str | None = None, color: str | None = None,
@@ -304,5 +323,5 @@ def chart_data(df: DataFrame, plot_type: str, x: str, y: str | None = None, colo
     if t == "density_heatmap":
         return density_heatmap(df, x, y, **kw)
     if t == "violin":
-        return violin_density(df, y, x, **kw) if y else violin_density(df, x, None, **kw)
+        return violin_density(df, y, x, color=color, **kw) if y else violin_density(df, x, None, color=color, **kw)
     raise ValueError(f"unknown plot type {plot_type!r}; choose from {', '.join(PLOT_TYPES)}")

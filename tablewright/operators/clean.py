@@ -285,27 +285,11 @@ def _iqr_bounds(q: dict, cols: list[str], multiplier: float) -> dict:
 
 
 def iqr_bounds_and_counts(df: DataFrame, cols: list[str], multiplier: float = 1.5) -> tuple[dict, dict]:
-    """C16 + C18 for the exact IQR method from one value-count table: the
-    quartiles and the outlier counts both read the persisted (column, value,
-    count) table, so the rows are scanned once."""
+    """C16 + C18 for the exact IQR method: bounds from the quartiles, then one aggregate with the bounds as literals."""
     if not cols:
         return {}, {}
-    counts = stats.value_counts(df, cols)
-    probs = [0.25, 0.75]
-    held: list = [counts]
-    got = {c: [None, None] for c in cols}
-    for r in stats.quantiles_from_counts(counts, ["column_name"], probs, held).collect():
-        got[r["column_name"]][probs.index(r["prob"])] = r["value"]
-    bounds = _iqr_bounds(got, cols, multiplier)
-    flag = F.lit(False)
-    for c, (lo, hi) in bounds.items():
-        if lo is not None:
-            flag = F.when(F.col("column_name") == c, (F.col("v") < F.lit(lo)) | (F.col("v") > F.lit(hi))).otherwise(flag)
-    n = {r["column_name"]: int(r["n"]) for r in
-         counts.where(flag).groupBy("column_name").agg(F.sum("_n").alias("n")).collect()}
-    for h in held:
-        h.release() if hasattr(h, "release") else release(h)
-    return bounds, {c: n.get(c, 0) for c in cols}
+    bounds = outlier_bounds(df, cols, "iqr", multiplier)
+    return bounds, count_outliers(df, bounds)
 
 
 def outside(c: str, lower, upper):
@@ -319,8 +303,8 @@ def count_outliers(df: DataFrame, bounds: dict) -> dict:
     """One aggregate counting every column's outliers."""
     if not bounds:
         return {}
-    row = stats.wide_agg(df, [F.count_if(outside(c, lo, hi)).alias(c) for c, (lo, hi) in bounds.items()])
-    return {c: int(row[c]) for c in bounds}
+    row = stats.wide_agg(df, [F.count_if(outside(c, lo, hi)).alias(f"n{i}") for i, (c, (lo, hi)) in enumerate(bounds.items())])
+    return {c: int(row[f"n{i}"]) for i, c in enumerate(bounds)}
 
 
 def clip_outliers(df: DataFrame, bounds: dict, counts: dict | None = None) -> DataFrame:

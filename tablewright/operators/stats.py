@@ -2,8 +2,8 @@
 
 One ``agg`` computes every per-column statistic of a kind (null counts,
 moments) in a single scan.  Quantiles and modes need value-level work; both
-stay distributed: modes by a two-level group-by, exact quantiles through the
-range-partitioned running rank of ``ranking.py``.  ``method="approx"`` uses
+stay distributed: modes by a two-level group-by, exact quantiles by the
+bracket selection of ``selection.py``.  ``method="approx"`` uses
 ``percentile_approx`` (bounded sketch per group) instead.
 """
 
@@ -16,19 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classes import dtype_of, is_numeric
-from ..functions.columns import missing
-from .cache import hold, release
-from .ranking import BLOCK_TOTAL, running_rank, select_ranks
+from ..functions.columns import missing, named
+from .selection import MOST, exact_quantiles
 
 
 # Whole-stage code generation is switched off for an aggregate with more
 # than ``spark.sql.codegen.maxFields`` (default 100) buffer fields, which makes
 # it several times slower; wide aggregates are split into chunks below that.
 AGG_FIELD_BUDGET = 96
-# Exact quantiles through Spark's in-memory ``percentile`` when the number of
-# distinct (group, value) pairs is at most this (a checked, bounded buffer);
-# above it the range-partitioned running rank is used.
-IN_MEMORY_DISTINCT_LIMIT = 500_000
 
 
 def wide_agg(df: DataFrame, exprs: list, weights: list[int] | None = None) -> dict:
@@ -60,21 +55,40 @@ def wide_agg(df: DataFrame, exprs: list, weights: list[int] | None = None) -> di
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), keep_missing: bool = False,
                 value_type: str = "double") -> DataFrame:
-    """Unpivot ``cols`` into ``(by..., column, v)``, missing values removed."""
-    by = list(by)
+    """Unpivot ``cols`` into ``(by..., column_name, v)``, missing values removed; see ``_long`` for other names."""
+    long = _long(df, cols, by, value_type, keep_missing)
+    return long.select(*_keys(by), _name(cols), "v").toDF(*by, "column_name", "v")
+
+
+def _keys(by: Sequence[str]) -> list[str]:
+    """Internal names of the group columns, so that a table's own names (``v``, ``value``, dots) never clash."""
+    return [f"__tw_k{i}" for i in range(len(by))]
+
+
+def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str], value_type: str = "double", keep_missing: bool = False) -> DataFrame:
+    """``(__tw_k0..., __tw_n, v)``; ``__tw_n`` is the number of the column in ``cols``."""
     if not cols:
         raise ValueError("no columns given")
-    casted = df.select(*by, *[
-        F.when(~missing(F.col(c), dtype_of(df, c)), F.col(c)).cast(value_type).alias(c) for c in cols])
-    long = casted.unpivot(by, list(cols), "column_name", "v")
+    inner = [f"__tw_c{i}" for i in range(len(cols))]
+    values = df.select(*(named(b).alias(k) for b, k in zip(by, _keys(by))), *(
+        F.when(~missing(named(c), dtype_of(df, c)), named(c)).cast(value_type).alias(n) for c, n in zip(cols, inner)))
+    if len(cols) == 1:
+        long = values.select(*_keys(by), F.lit(0).alias("__tw_n"), F.col(inner[0]).alias("v"))
+    else:
+        long = values.unpivot(_keys(by), inner, "__tw_n", "v").withColumn("__tw_n", F.substring("__tw_n", 7, 9).cast("int"))
     return long if keep_missing else long.where(F.col("v").isNotNull())
 
 
+def _name(cols: Sequence[str]):
+    """Name of the column numbered ``__tw_n``."""
+    return F.element_at(F.array(*(F.lit(c) for c in cols)), F.col("__tw_n") + 1).alias("column_name")
+
+
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row per column: (column, n_rows, n_missing), from one aggregate."""
     cols = list(cols or df.columns)
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count_if(missing(F.col(c), dtype_of(df, c))).alias(f"_m{i}") for i, c in enumerate(cols)]
+    aggs += [F.count_if(missing(named(c), dtype_of(df, c))).alias(f"_m{i}") for i, c in enumerate(cols)]
     got = wide_agg(df, aggs)
     rows = [(c, int(got["_rows"]), int(got[f"_m{i}"])) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "column_name string, n_rows long, n_missing long")
@@ -82,119 +96,57 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, count, mean, std, min, max): std is the sample one."""
-    long = long_values(df, cols, by)
-    return long.groupBy(*by, "column_name").agg(
+    found = _long(df, cols, by).groupBy(*_keys(by), "__tw_n").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
+    return found.select(*_keys(by), _name(cols), "count", "mean", "std", "min", "max").toDF(*by, "column_name", "count", "mean", "std", "min", "max")
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", accuracy: int = 10000, _held: list | None = None,
-              in_memory_limit: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles ``(by..., column, prob, value)``.
-
-    ``exact`` matches numpy/pandas ``quantile`` and SQL ``percentile_cont``;
-    ``approx`` uses ``percentile_approx`` with the given accuracy.
-    Groups with no non-missing value produce no rows.
-    """
-    by = list(by)
-    keys = by + ["column_name"]
-    long = long_values(df, cols, by)
+def _quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], method: str,
+               accuracy: int, most: int) -> DataFrame:
+    """``(__tw_k0..., __tw_n, i, value)``."""
     probs = [float(p) for p in probs]
+    keys = [*_keys(by), "__tw_n"]
+    long = _long(df, cols, by)
     if method == "approx":
-        q = long.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("_q"))
-        return q.select(*keys, F.posexplode("_q").alias("_i", "value")) \
-            .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
-            .select(*keys, "prob", "value")
+        q = long.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("q"))
+        return q.select(*keys, F.posexplode("q").alias("i", "value"))
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
-    counts = value_counts(df, cols, by)
-    if _held is not None:
-        _held.append(counts)
-    return quantiles_from_counts(counts, keys, probs, _held, in_memory_limit)
-
+    return exact_quantiles(long, keys, probs, accuracy, most)
 
-def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Persisted ``(by..., column_name, v, _n)``: count of every non-missing
-    value per column (map-side combined).  Exact quantiles, and anything else
-    that only needs the value distribution, read this instead of the rows."""
-    by = list(by)
-    long = long_values(df, cols, by)
-    return hold(long.groupBy(*by, "column_name", "v").agg(F.count(F.lit(1)).alias("_n")))
 
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+              method: str = "exact", accuracy: int = 10000, most: int = MOST) -> DataFrame:
+    """Linear-interpolated quantiles ``(by..., column_name, prob, value)``.
 
-def quantiles_from_counts(counts: DataFrame, keys: list[str], probs: Sequence[float], _held: list | None = None,
-                          in_memory_limit: int | None = None) -> DataFrame:
-    """Exact quantiles ``(keys..., prob, value)`` from a ``value_counts`` table."""
-    probs = [float(p) for p in probs]
-    limit = IN_MEMORY_DISTINCT_LIMIT if in_memory_limit is None else in_memory_limit
-    if counts.count() <= limit:
-        return _quantiles_in_memory(counts, keys, probs)
-    ranked = running_rank(counts, ["v"], keys, weight="_n")
-    if _held is not None:
-        _held.append(ranked)
-    sizes = ranked.blocks.groupBy(*keys).agg(F.sum(BLOCK_TOTAL).alias("_N"))
-    pos = F.col("prob") * (F.col("_N") - 1)
-    base = sizes.select(*keys, F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"), "_N") \
-        .withColumn("_frac", pos - F.floor(pos))
-    targets = base.select(*keys, "prob", "_frac", F.lit(0).alias("_hi"), F.floor(pos).cast("long").alias("_r")) \
-        .unionByName(base.select(*keys, "prob", "_frac", F.lit(1).alias("_hi"),
-                                 F.ceil(pos).cast("long").alias("_r")))
-    hit = select_ranks(ranked, targets)
-    res = hit.groupBy(*keys, "prob").agg(
-        F.max(F.when(F.col("_hi") == 0, F.col("v"))).alias("_lo"),
-        F.max(F.when(F.col("_hi") == 1, F.col("v"))).alias("_up"),
-        F.max("_frac").alias("_frac"))
-    return res.select(*keys, "prob",
-                      (F.col("_lo") + F.col("_frac") * (F.col("_up") - F.col("_lo"))).alias("value"))
-
-
-def _value_at_rank(arr: str, r):
-    """Value holding 0-based rank ``r`` in a sorted array of (v, _n) structs."""
-    init = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("x"))
-    return F.aggregate(arr, init, lambda acc, e: F.struct(
-        (acc["c"] + e["_n"]).alias("c"),
-        F.when((acc["c"] <= r) & (r < acc["c"] + e["_n"]), e["v"]).otherwise(acc["x"]).alias("x")))["x"]
-
-
-def _quantiles_in_memory(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles when the (group, value) count table is small (checked
-    by the caller): per group a sorted array of (value, count) and a JVM scan
-    for the two order statistics around each position, interpolated as
-    lo + frac * (hi - lo)."""
-    g = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "_n"))).alias("_a"),
-                                  F.sum("_n").alias("_N"))
-    g = g.select(*keys, "_a", "_N", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
-    pos = F.col("prob") * (F.col("_N") - 1)
-    g = g.withColumn("_lo_r", F.floor(pos).cast("long")).withColumn("_hi_r", F.ceil(pos).cast("long")) \
-        .withColumn("_frac", pos - F.floor(pos))
-    g = g.withColumn("_lo", _value_at_rank("_a", F.col("_lo_r"))).withColumn("_up", _value_at_rank("_a", F.col("_hi_r")))
-    return g.select(*keys, "prob", (F.col("_lo") + F.col("_frac") * (F.col("_up") - F.col("_lo"))).alias("value"))
+    ``exact`` matches numpy/pandas ``quantile`` and SQL ``percentile_cont``;
+    ``approx`` uses ``percentile_approx`` with the given accuracy.
+    Groups with no non-missing value produce no rows.
+    """
+    q = _quantiles(df, cols, probs, by, method, accuracy, most)
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
+    return q.select(*_keys(by), _name(cols), prob.alias("prob"), "value").toDF(*by, "column_name", "prob", "value")
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   method: str = "exact", names: Sequence[str] | None = None,
-                   in_memory_limit: int | None = None) -> DataFrame:
-    """Quantiles pivoted to one column per probability: (by..., column, q...)."""
+                   method: str = "exact", names: Sequence[str] | None = None, most: int = MOST) -> DataFrame:
+    """Quantiles pivoted to one column per probability: (by..., column_name, q...)."""
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    q = quantiles(df, cols, probs, by, method, in_memory_limit=in_memory_limit)
-    aggs = [F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for p, n in zip(probs, names)]
-    return q.groupBy(*by, "column_name").agg(*aggs)
+    q = _quantiles(df, cols, probs, by, method, 10000, most)
+    aggs = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"__tw_q{i}") for i in range(len(probs))]
+    wide = q.groupBy(*_keys(by), "__tw_n").agg(*aggs)
+    return wide.select(*_keys(by), _name(cols), *(f"__tw_q{i}" for i in range(len(probs)))).toDF(*by, "column_name", *names)
 
 
 def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     method: str = "exact", in_memory_limit: int | None = None) -> dict[str, list]:
+                     method: str = "exact", most: int = MOST) -> dict[str, list]:
     """Driver-side {column: [value per prob]} (one small row per column)."""
     if not cols:
         return {}
-    probs = [float(p) for p in probs]
-    held: list = []
-    rows = quantiles(df, cols, probs, method=method, _held=held, in_memory_limit=in_memory_limit).collect()
-    for r in held:
-        r.release() if hasattr(r, "release") else release(r)
     out = {c: [None] * len(probs) for c in cols}
-    for r in rows:
-        out[r["column_name"]][probs.index(r["prob"])] = r["value"]
+    for r in _quantiles(df, cols, probs, (), method, 10000, most).collect():
+        out[cols[r["__tw_n"]]][r["i"]] = r["value"]
     return out
 
 
