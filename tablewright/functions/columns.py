@@ -50,6 +50,13 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_digest(columns: list[Column]) -> list[Column]:
+    """Two 64-bit hashes of a row: equal rows have equal ones, and of n different rows two share both with a
+    chance below n^2 / 2^128.  NULL is a value of its own; -0.0 equals 0.0 and NaN equals NaN."""
+    missing_flags = [c.isNull() for c in columns]
+    return [F.xxhash64(*columns, *missing_flags).alias("__tw_h0"), F.xxhash64(F.lit("row"), *missing_flags, *reversed(columns)).alias("__tw_h1")]
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -37,7 +37,7 @@ def _width(dt: T.DataType):
 def column_bytes(name: str, dt: T.DataType):
     """Logical size of one cell: fixed width, byte length of text, or the
     sum over array elements."""
-    c = F.col(name)
+    c = X.named(name)
     w = _width(dt)
     if w is not None:
         return F.when(c.isNotNull(), F.lit(w))
@@ -80,7 +80,8 @@ def missing_table(df: DataFrame, decimals: int = 2) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows after the first of each identical group (missing values, NULL or NaN, equal)."""
-    return df.groupBy(*[X.nan_to_null(F.col(f.name), f.dataType).alias(f"__tw_{i}") for i, f in enumerate(df.schema.fields)]) \
+    keys = df.select(*X.row_digest([X.nan_to_null(X.named(f.name), f.dataType) for f in df.schema.fields]))  # rows do not move, digests do
+    return keys.groupBy("__tw_h0", "__tw_h1") \
         .agg(F.count(F.lit(1)).alias("__tw_n")) \
         .agg(F.coalesce(F.sum(F.col("__tw_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 

@@ -200,3 +200,76 @@ def d02s(spark, sf):
     # a deterministic 10 % key-hash sample is the feature here (a chart of a huge table)
     return D.scatter(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", color="o_orderstatus",
                      sample_fraction=0.1, key="o_orderkey")
+
+
+NAN_ORDERS_SQL = """select case when o_orderkey % 9 = 0 then null else o_orderstatus end as "group.key",
+       case when o_orderkey % 17 = 0 then cast('nan' as double) when o_orderkey % 10 = 3 then null else cast(o_orderkey % 10 as double) end as value,
+       case when o_orderkey % 19 = 0 then cast('nan' as double) when o_orderkey % 50 = 1 then o_totalprice * 20 else o_totalprice end as v,
+       o_orderkey from orders"""
+
+
+def nan_orders(spark, sf):
+    """Orders with missing groups and values, NULL and NaN, under names that operators use themselves."""
+    k, nan = F.col("o_orderkey"), F.lit(float("nan"))
+    return table(spark, sf, "orders").select(
+        F.when(k % 9 != 0, F.col("o_orderstatus")).alias("group.key"),
+        F.when(k % 17 == 0, nan).when(k % 10 != 3, (k % 10).cast("double")).alias("value"),
+        F.when(k % 19 == 0, nan).when(k % 50 == 1, F.col("o_totalprice") * 20).otherwise(F.col("o_totalprice")).alias("v"), k)
+
+
+def _nan_box(group):
+    return f"""with o as ({NAN_ORDERS_SQL}),
+b as (select * from o where {group} is not null and not isnan(v)),
+q as (select {group}, quantile_cont(v, 0.25) q1, quantile_cont(v, 0.5) median, quantile_cont(v, 0.75) q3 from b group by {group}),
+f as (select *, q1 - 1.5 * (q3 - q1) lower_fence, q3 + 1.5 * (q3 - q1) upper_fence from q)"""
+
+
+@query("d09_box_nan", _nan_box('"group.key"') + """
+select b."group.key", o_orderkey, v from b join f using ("group.key") where v < lower_fence or v > upper_fence""", ("D9",))
+def d09n(spark, sf):
+    return D.box_outliers(nan_orders(spark, sf), "v", "group.key", keep=["o_orderkey"])
+
+
+@query("d08_box_nan_groups", _nan_box("value").replace("value is not null", "value is not null and not isnan(value)") + """
+select value, round(q1, 6) q1, round(median, 6) median, round(q3, 6) q3, round(lower_fence, 6) lower_fence, round(upper_fence, 6) upper_fence,
+       count(*) as n, round(min(v) filter (v >= lower_fence), 6) as whisker_low, round(max(v) filter (v <= upper_fence), 6) as whisker_high
+from b join f using (value) group by all""", ("D8",))
+def d08n(spark, sf):
+    return _round(D.box_stats(nan_orders(spark, sf), "v", "value"))
+
+
+@query("d03_bar_dotted_names", f"""select "group.key", round(quantile_cont(v, 0.5), 6) as v from ({NAN_ORDERS_SQL})
+where "group.key" is not null and not isnan(v) group by "group.key" """, ("D3",))
+def d03n(spark, sf):
+    out = D.bar(nan_orders(spark, sf), "group.key", "v", "median")
+    return out.toDF("k", "v").select(F.col("k").alias("group.key"), F.round("v", 6).alias("v"))
+
+
+WIDE = 40
+
+
+@query("d12_correlation_wide", "with w as (select " + ", ".join(
+    f"case when (l_orderkey + {i}) % 11 <> 0 then sin(l_quantity * {i + 1}) * l_discount + l_extendedprice * {i % 5} end as c{i}"
+    for i in range(WIDE)) + " from lineitem), l as (" + " union all ".join(
+    f"select 'c{i}' as col_x, 'c{j}' as col_y, corr(c{i}, c{j}) as corr from w" for i in range(WIDE) for j in range(WIDE)) + """)
+select col_x, col_y, round(corr, 6) as corr from l""", ("D12",))
+def d12w(spark, sf):
+    li = table(spark, sf, "lineitem")
+    cols = [F.when((F.col("l_orderkey") + i) % 11 != 0,
+                   F.sin(F.col("l_quantity") * (i + 1)) * F.col("l_discount") + F.col("l_extendedprice") * (i % 5)).alias(f"c{i}") for i in range(WIDE)]
+    return D.correlation(li.select(*cols)).withColumn("corr", F.round("corr", 6))
+
+
+@query("d14_violin_color", """
+with b as (select l_returnflag, l_linestatus, l_quantity as y from lineitem where l_returnflag is not null),
+g as (select l_returnflag, l_linestatus, count(*) as n, stddev_samp(y) sd, min(y) lo, max(y) hi,
+             quantile_cont(y, 0.25) q1, quantile_cont(y, 0.75) q3 from b group by all),
+g2 as (select *, 0.9 * least(sd, (q3 - q1) / 1.34) * pow(n, -0.2) as bw from g),
+c as (select l_returnflag, l_linestatus, y, count(*) as w from b group by all),
+grid as (select g2.*, cast(t.k as int) as k, lo + t.k * ((hi - lo) / 15) as grid_value from g2, range(0, 16) t(k) where bw > 0)
+select l_returnflag, l_linestatus, k, round(grid_value, 6) as grid_value,
+       round(sum(w * exp(-0.5 * ((grid_value - y) / bw) * ((grid_value - y) / bw))) / (n * bw * sqrt(2 * pi())), 9) as density
+from grid join c using (l_returnflag, l_linestatus) group by l_returnflag, l_linestatus, k, grid_value, n, bw""", ("D14",))
+def d14c(spark, sf):
+    out = D.violin_density(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", color="l_linestatus")
+    return out.withColumns({"grid_value": F.round("grid_value", 6), "density": F.round("density", 9)})

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import clean as CL
+from ..functions.columns import NULL_TOKENS
 from ..operators import transform as TR
 from ..session import ensure_checkpoint_dir
 from ..sources import csv as CSV
@@ -33,6 +34,35 @@ def a01(spark, sf):
     return CSV.read_csv(spark, path)
 
 
+def _tokens_sql() -> str:
+    return ", ".join(f"'{t}'" for t in NULL_TOKENS)
+
+
+@query("a01_csv_quoted", "select doc_id, case when trim(text, ' ') in (" + _tokens_sql() + ") then null else text end as text, "
+       "lang, source, n_chars from documents", ("A1",))
+def a01q(spark, sf):
+    # texts hold line breaks, quotes, separators and white space at their ends
+    path = _scratch(spark, "csv-documents")
+    (table(spark, sf, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return CSV.read_csv(spark, path)
+
+
+@query("a01_csv_long_ints", "select o_orderkey, 9000000000000000000 + o_orderkey as \"id.long\", "
+       "cast(cast('12345678901234567890123' || lpad(cast(o_orderkey as varchar), 12, '0') as decimal(38,0)) as varchar) as huge, "
+       "o_totalprice from orders", ("A1",))
+def a01i(spark, sf):
+    path = _scratch(spark, "csv-long-ints")
+    key = F.col("o_orderkey")
+    (table(spark, sf, "orders").select(key, (F.lit(9000000000000000000) + key).alias("id.long"),
+                                       F.concat(F.lit("12345678901234567890123"), F.lpad(key.cast("string"), 12, "0")).alias("huge"), "o_totalprice")
+     .write.option("header", True).csv(path))
+    read = CSV.read_csv(spark, path)
+    if read.schema["huge"].dataType.simpleString() != "decimal(38,0)":
+        raise ValueError(f"huge was read as {read.schema['huge'].dataType.simpleString()}")
+    return read.withColumn("huge", F.col("huge").cast("string"))
+
+
 @query("a02_head", "select * from orders order by o_orderkey limit 5", ("A2",))
 def a02(spark, sf):
     return head(table(spark, sf, "orders"), 5, "o_orderkey")

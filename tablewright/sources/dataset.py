@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import named, row_digest
 from ..operators import profile as P
 
 VIEWS = ("original", "cleaned")
@@ -77,17 +78,18 @@ def tail(df: DataFrame, n: int = 5, key: str | list[str] | None = None) -> DataF
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """(side, n_rows): rows only before ('removed') and only after ('added'),
     as multisets; plus whether the schemas differ."""
-    same_schema = before.schema == after.schema
     spark = before.sparkSession
-    if not same_schema:
+    if before.schema != after.schema:
         nb, na = before.count(), after.count()
         return spark.createDataFrame([("removed", nb, True), ("added", na, True)],
                                      "side string, n_rows long, schema_changed boolean")
-    removed = before.exceptAll(after).agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit("removed").alias("side"), "n_rows", F.lit(False).alias("schema_changed"))
-    added = after.exceptAll(before).agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit("added").alias("side"), "n_rows", F.lit(False).alias("schema_changed"))
-    return removed.unionByName(added)
+    # each side is read once and only row digests with a sign move: +1 before, -1 after
+    signed = [df.select(*row_digest([named(c) for c in df.columns]), F.lit(sign).alias("__tw_n")) for df, sign in ((before, 1), (after, -1))]
+    net = signed[0].unionByName(signed[1]).groupBy("__tw_h0", "__tw_h1").agg(F.sum("__tw_n").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0)).cast("long")
+    both = net.agg(total(F.col("n")).alias("removed"), total(-F.col("n")).alias("added"))
+    return both.select(F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("n_rows")) for side in ("removed", "added")))).alias("s")) \
+        .select("s.side", "s.n_rows", F.lit(False).alias("schema_changed"))
 
 
 def change_status(before: DataFrame | None, after: DataFrame | None) -> str:
