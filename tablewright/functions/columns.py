@@ -23,6 +23,7 @@ DATE_PATTERN = r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})|(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
 DATE_FORMATS = (
     "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "yyyy/M/d",
     "M/d/yyyy", "M-d-yyyy", "M/d/yy", "d/M/yyyy", "d-M-yyyy", "d/M/yy",
+    "yyyy-M-d H:m", "yyyy-M-d'T'H:m", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d'T'H:m:sXXX",
 )
 # Shape of the text each format can parse (trimmed), so a parse is attempted
 # only where it can succeed; month-first and day-first formats share shapes
@@ -39,6 +40,11 @@ DATE_FORMAT_SHAPES = {
     "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyy-M-d H:m": rf"^{_YMD} \d{{1,2}}:\d{{1,2}}$",
+    "yyyy-M-d'T'H:m": rf"^{_YMD}T\d{{1,2}}:\d{{1,2}}$",
+    "yyyy-M-d H:m:s.SSSSSS": rf"^{_YMD} \d{{1,2}}:\d{{1,2}}:\d{{1,2}}\.\d{{1,6}}$",
+    "yyyy-M-d'T'H:m:s.SSSSSS": rf"^{_YMD}T\d{{1,2}}:\d{{1,2}}:\d{{1,2}}\.\d{{1,6}}$",
+    "yyyy-M-d'T'H:m:sXXX": rf"^{_YMD}T\d{{1,2}}:\d{{1,2}}:\d{{1,2}}(Z|[+-]\d{{2}}:\d{{2}})$",
 }
 # Text read as missing by the CSV source.
 NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "-NaN", "-nan",
@@ -89,6 +95,8 @@ def parse_number(c) -> Column:
 def _try_format(t: Column, fmt: str) -> Column:
     shape = DATE_FORMAT_SHAPES.get(fmt)
     parsed = F.try_to_timestamp(t, F.lit(fmt))
+    if fmt.endswith("XXX"):  # an instant: its time in UTC, whatever the session's zone
+        parsed = F.to_utc_timestamp(parsed, F.current_timezone())
     return F.when(t.rlike(shape), parsed) if shape else parsed
 
 

@@ -200,22 +200,22 @@ def detect_types(df: DataFrame, cols: list[str] | None = None, formats=DATE_FORM
               "looks_like_date boolean, best_date_format string, n_dates long, target string")
     if not cols:
         return spark.createDataFrame([], schema)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(cols):
-        num = parse_number(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"nn{i}"), F.count(num).alias(f"p{i}"),
-                 F.coalesce(F.bool_and(is_whole(num) & (F.abs(num) < 9.2e18)), F.lit(True)).alias(f"w{i}"),
-                 F.coalesce(F.bool_or(looks_like_date(F.col(c))), F.lit(False)).alias(f"d{i}")]
-        # every format only accepts text matching the date pattern, so the
-        # (costly) parse runs only on such values
-        dated = F.when(looks_like_date(F.col(c)), F.col(c))
-        aggs += [F.count(parse_date_with(dated, fmt)).alias(f"t{i}_{j}") for j, fmt in enumerate(formats)]
-    row = stats.wide_agg(df, aggs)
-    n = row["n"]
+    # the columns below one another: one scan and one narrow aggregate, however many they are
+    text = F.col("v")
+    num = parse_number(text)
+    # every format only accepts text matching the date pattern, so the (costly) parse runs only on such values
+    dated = F.when(looks_like_date(text), text)
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(text).alias("nn"), F.count(num).alias("p"),
+            F.coalesce(F.bool_and(is_whole(num) & (F.abs(num) < 9.2e18)), F.lit(True)).alias("w"),
+            F.coalesce(F.bool_or(looks_like_date(text)), F.lit(False)).alias("d"),
+            *(F.count(parse_date_with(dated, fmt)).alias(f"t{j}") for j, fmt in enumerate(formats))]
+    found = {r["__tw_n"]: r for r in stats.numbered_values(df, cols, value_type="string", keep_missing=True).groupBy("__tw_n").agg(*aggs).collect()}
+    none = {"n": 0, "nn": 0, "p": 0, "w": True, "d": False} | {f"t{j}": 0 for j in range(len(formats))}
     out = []
     for i, c in enumerate(cols):
-        nn, p, whole, date_like = row[f"nn{i}"], row[f"p{i}"], row[f"w{i}"], row[f"d{i}"]
-        counts = [row[f"t{i}_{j}"] for j in range(len(formats))]
+        row = found.get(i, none)  # an empty table has no row
+        n, nn, p, whole, date_like = row["n"], row["nn"], row["p"], row["w"], row["d"]
+        counts = [row[f"t{j}"] for j in range(len(formats))]
         best = max(range(len(formats)), key=lambda j: (counts[j], -j))
         target = None
         if p > 0.8 * nn and (nn - p) < 0.1 * n:

@@ -55,8 +55,8 @@ def wide_agg(df: DataFrame, exprs: list, weights: list[int] | None = None) -> di
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), keep_missing: bool = False,
                 value_type: str = "double") -> DataFrame:
-    """Unpivot ``cols`` into ``(by..., column_name, v)``, missing values removed; see ``_long`` for other names."""
-    long = _long(df, cols, by, value_type, keep_missing)
+    """Unpivot ``cols`` into ``(by..., column_name, v)``, missing values removed; see ``numbered_values`` for other names."""
+    long = numbered_values(df, cols, by, value_type, keep_missing)
     return long.select(*_keys(by), _name(cols), "v").toDF(*by, "column_name", "v")
 
 
@@ -65,7 +65,7 @@ def _keys(by: Sequence[str]) -> list[str]:
     return [f"__tw_k{i}" for i in range(len(by))]
 
 
-def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str], value_type: str = "double", keep_missing: bool = False) -> DataFrame:
+def numbered_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), value_type: str = "double", keep_missing: bool = False) -> DataFrame:
     """``(__tw_k0..., __tw_n, v)``; ``__tw_n`` is the number of the column in ``cols``."""
     if not cols:
         raise ValueError("no columns given")
@@ -96,7 +96,7 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, count, mean, std, min, max): std is the sample one."""
-    found = _long(df, cols, by).groupBy(*_keys(by), "__tw_n").agg(
+    found = numbered_values(df, cols, by).groupBy(*_keys(by), "__tw_n").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
     return found.select(*_keys(by), _name(cols), "count", "mean", "std", "min", "max").toDF(*by, "column_name", "count", "mean", "std", "min", "max")
@@ -107,7 +107,7 @@ def _quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: S
     """``(__tw_k0..., __tw_n, i, value)``."""
     probs = [float(p) for p in probs]
     keys = [*_keys(by), "__tw_n"]
-    long = _long(df, cols, by)
+    long = numbered_values(df, cols, by)
     if method == "approx":
         q = long.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("q"))
         return q.select(*keys, F.posexplode("q").alias("i", "value"))

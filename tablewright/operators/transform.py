@@ -10,8 +10,9 @@ caller's table is never mutated: every call returns a new DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,21 +36,38 @@ def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def grouped_pandas(df: DataFrame, keys: list[str], partial, combine, partial_schema, schema,
-                   salt_buckets: int = 64, salt_col: str | None = None) -> DataFrame:
-    """Pandas aggregation per group in two phases.
-
-    ``partial(pdf)`` runs on each (group, salt) slice and must return a small
-    summary; ``combine(pdf)`` runs per group on the union of its summaries
-    (at most ``salt_buckets`` rows).  A group holding a third of the table is
-    therefore split over ``salt_buckets`` tasks instead of landing in one.
-    The salt is a hash of ``salt_col`` (default: every column), so results do
-    not depend on partitioning."""
-    cols = [salt_col] if salt_col else df.columns
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets)))
-    part = salted.groupBy(*keys, "_salt").applyInPandas(lambda pdf: partial(pdf.drop(columns=["_salt"])),
-                                                        partial_schema)
-    return part.groupBy(*keys).applyInPandas(combine, schema)
+def grouped_pandas(df: DataFrame, keys: list[str], partial, combine, partial_schema, schema, merge=None,
+                   held: int = 20_000) -> DataFrame:
+    """Pandas aggregation per group from small mergeable states.
+
+    ``partial(pdf)`` turns the rows of one key in one Arrow batch into a small
+    state (one row, key columns included); ``merge(pdf)`` turns several states
+    of a key into one and runs inside the tasks, so a key leaves a task as one
+    row however many rows it has there; ``combine(pdf)`` turns a key's states
+    (one for each task at most, or one for each batch without ``merge``) into
+    its result.  A key that holds all rows therefore needs the memory of one
+    batch.  A task keeps at most about ``held`` states and hands them on when
+    it meets more keys.  NULL and NaN keys are groups like others."""
+    def by_key(pdf: pd.DataFrame, fn) -> pd.DataFrame:
+        return pd.concat([fn(rows) for _, rows in pdf.groupby(keys, dropna=False, sort=False)], ignore_index=True)
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, n = [], 0
+        for pdf in batches:
+            if len(pdf):
+                waiting.append(by_key(pdf, partial))
+                n += len(waiting[-1])
+            if n > held:
+                own = pd.concat(waiting, ignore_index=True)
+                own = by_key(own, merge) if merge else own
+                waiting, n = ([own], len(own)) if merge and len(own) <= held // 2 else ([], 0)
+                if not waiting:
+                    yield own
+        if waiting:
+            own = pd.concat(waiting, ignore_index=True)
+            yield by_key(own, merge) if merge else own
+
+    return df.mapInPandas(states, partial_schema).groupBy(*keys).applyInPandas(combine, schema)
 
 
 def sql(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.columns import NUMBER_PATTERN, parse_date_with
 from ..operators import clean as CL
 from ..operators import stats
 from ..operators.cache import hold
-from .fixtures import dirty_orders, with_dirty
+from .fixtures import dirty_orders, table, with_dirty
 from .registry import query
 
 DIRTY_COLS = ["o_orderkey", "price", "priority", "cust_txt", "date_txt", "sparse_status"]
@@ -331,3 +331,15 @@ def c19z(spark, sf):
 def c20z(spark, sf):
     # price first, then o_orderkey with bounds from the surviving rows
     return CL.remove_outliers(hold(dirty_orders(spark, sf)), ["price", "o_orderkey"], "zscore", threshold=3)
+
+
+@query("c15_fix_types_wide", "select " + ", ".join(
+    f"case when l_orderkey % {i + 2} = 0 then null else l_orderkey * {i + 1} end as c{i}" for i in range(20)) + ", " + ", ".join(
+    f"cast(l_shipdate as timestamp) + interval '{i} minutes' as d{i}" for i in range(5)) + " from lineitem", ("C15",))
+def c15w(spark, sf):
+    # 25 text columns: whole numbers with gaps, and dates with minutes
+    li = table(spark, sf, "lineitem")
+    key = F.col("l_orderkey")
+    numbers = [F.when(key % (i + 2) != 0, (key * (i + 1)).cast("string")).alias(f"c{i}") for i in range(20)]
+    dates = [F.date_format(F.col("l_shipdate") + F.expr(f"interval {i} minutes"), "yyyy-MM-dd HH:mm").alias(f"d{i}") for i in range(5)]
+    return CL.fix_types(li.select(*numbers, *dates))[0]

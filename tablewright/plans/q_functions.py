@@ -9,7 +9,7 @@ from .fixtures import dirty_orders, table, with_dirty
 from .registry import query
 
 NUM = X.NUMBER_PATTERN
-DATE_RE = r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})|(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
+DATE_RE = X.DATE_PATTERN
 # DuckDB spellings of the date formats, in the same order
 DUCK_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%m-%d-%Y",
                 "%m/%d/%y", "%d/%m/%Y", "%d-%m-%Y", "%d/%m/%y"]
@@ -29,6 +29,21 @@ def h02(spark, sf):
     return dirty_orders(spark, sf).select("o_orderkey", X.parse_date("date_txt").alias("value"))
 
 
+FORMS = [" 10:05", "T7:05", " 10:05:06.25", "T10:05:06.123456", "T10:05:06Z", "T10:05:06+01:30"]
+DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@query("h02_parse_date_forms", "select o_orderkey, strptime(" + DAY + ", '%Y-%m-%d') + case o_orderkey % 6 "
+       "when 0 then interval '10 hours 5 minutes' when 1 then interval '7 hours 5 minutes' "
+       "when 2 then interval '10 hours 5 minutes 6.25 seconds' when 3 then interval '10 hours 5 minutes 6.123456 seconds' "
+       "when 4 then interval '10 hours 5 minutes 6 seconds' else interval '8 hours 35 minutes 6 seconds' end as value from orders", ("H2",))
+def h02f(spark, sf):
+    o = table(spark, sf, "orders")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"),
+                    F.element_at(F.array(*map(F.lit, FORMS)), (F.col("o_orderkey") % 6 + 1).cast("int")))
+    return o.select("o_orderkey", X.parse_date(text).alias("value"))
+
+
 @query("h03_date_pattern", with_dirty(
     f"select o_orderkey, coalesce(regexp_matches(date_txt, '{DATE_RE}'), false) as value from dirty"),
     ("H3",))

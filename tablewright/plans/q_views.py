@@ -112,26 +112,29 @@ def g02(spark, sf):
 
 def _partial_moments(pdf: pd.DataFrame) -> pd.DataFrame:
     v = pdf["value"].dropna()
-    return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "n": [len(v)], "s": [float(v.sum())],
-                         "ss": [float((v * v).sum())]})
+    mean = float(v.mean()) if len(v) else 0.0
+    return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "n": [len(v)], "mean": [mean], "m2": [float(((v - mean) ** 2).sum())]})
+
+
+def _merge_moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    n = int(pdf["n"].sum())
+    mean = float((pdf["n"] * pdf["mean"]).sum() / n) if n else 0.0
+    m2 = float((pdf["m2"] + pdf["n"] * (pdf["mean"] - mean) ** 2).sum())
+    return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "n": [n], "mean": [mean], "m2": [m2]})
 
 
 def _combine_moments(pdf: pd.DataFrame) -> pd.DataFrame:
-    n, s, ss = pdf["n"].sum(), pdf["s"].sum(), pdf["ss"].sum()
-    mean = s / n if n else None
-    var = (ss - n * mean * mean) / (n - 1) if n > 1 else None
-    return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "n": [int(n)],
-                         "mean": [None if mean is None else round(mean, 6)],
-                         "std": [None if var is None else round(max(var, 0.0) ** 0.5, 6)]})
+    one = _merge_moments(pdf).iloc[0]
+    return pd.DataFrame({"event_type": [one["event_type"]], "n": [int(one["n"])], "mean": [round(one["mean"], 6) if one["n"] else None],
+                         "std": [round((one["m2"] / (one["n"] - 1)) ** 0.5, 6) if one["n"] > 1 else None]})
 
 
 @query("g03_grouped_pandas", "select event_type, count(value) as n, round(avg(value), 6) as mean, "
        "round(stddev_samp(value), 6) as std from events group by event_type", ("G3",))
 def g03(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "event_type", "value")
-    return TR.grouped_pandas(ev, ["event_type"], _partial_moments, _combine_moments,
-                             "event_type string, n long, s double, ss double",
-                             "event_type string, n long, mean double, std double", salt_col="event_id")
+    return TR.grouped_pandas(ev, ["event_type"], _partial_moments, _combine_moments, "event_type string, n long, mean double, m2 double",
+                             "event_type string, n long, mean double, std double", merge=_merge_moments)
 
 
 @query("g04_sql_view", "select event_type, count(*) as n, round(avg(value), 6) as avg_value from events "

@@ -87,3 +87,31 @@ def test_violin_density_integrates_to_about_one(spark):
     xs = np.array([g for _, g, _ in d])
     ys = np.array([v for _, _, v in d])
     assert 0.9 < np.trapezoid(ys, xs) < 1.05
+
+
+def test_correlation_of_many_columns_takes_two_jobs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(1e6, 1, (3000, 100)) + rng.normal(0, 1, (3000, 1))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7] = 3.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(100)])
+    df = spark.createDataFrame(pdf).repartition(5)
+    spark.sparkContext.setJobGroup("corr", "corr")
+    got = D.correlation(df).toPandas().pivot(index="col_x", columns="col_y", values="corr")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("corr")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 4  # AQE runs the stages of one query as jobs of their own; one collect and the small result
+    want = pdf.corr().loc[got.index, got.columns]
+    assert np.allclose(got.to_numpy(float), want.to_numpy(), atol=1e-9, equal_nan=True)
+
+
+def test_box_and_violin_leave_missing_values_and_groups_out(spark):
+    nan = float("nan")
+    rows = [(1.0, float(v), "r") for v in [1, 2, 3, 4, 100]] + [(1.0, nan, "r"), (nan, 5.0, "r"), (None, 6.0, "r"), (1.0, None, "r")]
+    df = spark.createDataFrame(rows, "`g.x` double, value double, v string")
+    assert [tuple(r) for r in D.box_outliers(df, "value", "g.x").collect()] == [(1.0, 100.0)]
+    box = D.box_stats(df, "value", "g.x", "v").collect()
+    assert len(box) == 1 and box[0]["n"] == 5 and box[0]["median"] == 3.0
+    violin = D.chart_data(df, "violin", "g.x", "value", "v")
+    assert violin.columns == ["g.x", "v", "k", "grid_value", "density"] and violin.count() == 16
+    assert D.violin_box(df, "value", "g.x", "v").collect()[0]["q3"] == 4.0

@@ -50,10 +50,36 @@ def test_grouped_pandas_matches_pandas(spark):
     def combine(p):
         return pd.DataFrame({"g": [p.g.iloc[0]], "mean": [p.s.sum() / p.n.sum()]})
 
-    out = TR.grouped_pandas(df, ["g"], partial, combine, "g string, s double, n long", "g string, mean double",
-                            salt_buckets=8)
-    got = {r.g: r.mean for r in out.collect()}
-    assert got == pytest.approx(pdf.groupby("g").v.mean().to_dict())
+    def merge(p):
+        return pd.DataFrame({"g": [p.g.iloc[0]], "s": [p.s.sum()], "n": [p.n.sum()]})
+
+    for options in ({}, {"merge": merge}, {"merge": merge, "held": 1}):
+        out = TR.grouped_pandas(df.repartition(3), ["g"], partial, combine, "g string, s double, n long", "g string, mean double", **options)
+        got = {r.g: r.mean for r in out.collect()}
+        assert got == pytest.approx(pdf.groupby("g").v.mean().to_dict())
+    nulls = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("c", 5.0, 3)], "g string, v double, id int")
+    out = TR.grouped_pandas(nulls, ["g"], partial, combine, "g string, s double, n long", "g string, mean double", merge=merge)
+    assert {r.g: r.mean for r in out.collect()} == {None: 2.0, "c": 5.0}
+
+
+def test_compare_counts_copies_nulls_and_nan(spark):
+    nan = float("nan")
+    a = spark.createDataFrame([(1, None, 1.0), (None, 1, 1.0), (2, 2, nan), (2, 2, nan), (3, 3, -0.0)], "`a.b` int, v int, x double")
+    b = spark.createDataFrame([(1, None, 1.0), (1, None, 1.0), (2, 2, nan), (3, 3, 0.0)], "`a.b` int, v int, x double")
+    got = {r.side: r.n_rows for r in compare(a, b).collect()}
+    assert got == {"removed": a.exceptAll(b).count(), "added": b.exceptAll(a).count()} == {"removed": 2, "added": 1}
+
+
+def test_csv_records_names_and_long_integers(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_text('a.b,n,huge,t\n1,9223372036854775807,123456789012345678901,"one\ntwo, ""three"""\n2,-5,7,"4"\n')
+    df = CSV.read_csv(spark, str(p))
+    assert dict(df.dtypes) == {"a.b": "bigint", "n": "bigint", "huge": "decimal(38,0)", "t": "string"}
+    rows = df.toDF("a", "n", "huge", "t").collect()
+    assert [tuple(r) for r in rows] == [(1, 2**63 - 1, 123456789012345678901, 'one\ntwo, "three"'), (2, -5, 7, "4")]
+    q = tmp_path / "plain.csv"
+    q.write_text('a,b\n1,"x"\n2,"y ""z"""\n')
+    assert not CSV.breaks_in_quotes(spark, str(q)) and [r.b for r in CSV.read_csv(spark, str(q)).collect()] == ["x", 'y "z"']
 
 
 def test_map_batches_and_sql(spark):
