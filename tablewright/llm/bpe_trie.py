@@ -250,7 +250,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ids, texts = [], [], []
-            for part in slices(batch.column(1).to_pylist()):
+            for part in slices(batch.column(1).to_pylist(), 1_500_000):
                 for joined, decoded in _encoder(spec.value).encode(part):
                     counts.append(joined.count(" ") + bool(joined))
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
