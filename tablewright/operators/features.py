@@ -13,15 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..functions.columns import date_parts, fill
+from ..functions.columns import date_parts, fill, named
 from . import stats
 from .ranking import CUM, running_rank
 
-# Columns expanded into explicit 0/1 columns up to this many levels; wider
-# columns use the vector encoder (``one_hot_vector``), which has no limit.
-MAX_ONE_HOT_LEVELS = 1000
 # Regression when a numeric target has more distinct values than this.
 MAX_CLASS_VALUES = 15
+# Rows in which a continuous target is looked for before all its values are.
+TASK_PROBE_ROWS = 10_000
 # Hex digits of the key digest by which the stratified split counts a class
 # (about a million prefixes); rows are ranked only within one prefix per class.
 SPLIT_PREFIX_DIGITS = 5
@@ -52,15 +51,6 @@ def select_features(df: DataFrame, target: str, features=None) -> list[str]:
     return feats
 
 
-def wide_categories(df: DataFrame, cols: list[str]) -> list[str]:
-    """Columns with more than MAX_ONE_HOT_LEVELS distinct non-null levels."""
-    if not cols:
-        return []
-    levels = stats.long_values(df, cols, value_type="string").groupBy("column_name").agg(F.count_distinct("v").alias("k"))
-    over = {r["column_name"] for r in levels.where(F.col("k") > MAX_ONE_HOT_LEVELS).collect()}
-    return [c for c in cols if c in over]
-
-
 def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """Sorted distinct non-null levels per column (one aggregate action)."""
     if not cols:
@@ -88,23 +78,44 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True,
     return df.select(*out)
 
 
+def level_codes(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """(column_name, label, code) with codes 0.. in label order per column, and the number of levels per column.
+
+    One scan for all columns; the levels are ranked where they are, only their numbers reach the driver."""
+    levels = stats.long_values(df, cols, value_type="string").select("column_name", F.col("v").alias("label")).distinct()
+    ranked = running_rank(levels, ["label"], ["column_name"]).rows
+    codes = ranked.select("column_name", "label", (F.col(CUM) - 1).cast("int").alias("code"))
+    sizes = {r["column_name"]: r["n"] for r in codes.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return codes, {c: sizes.get(c, 0) for c in cols}
+
+
+def one_hot_vectors(df: DataFrame, cols: list[str], out_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """E2 with any number of levels: (frame with one sparse vector per column, ``level_codes``, slots per column).
+
+    Slot ``n - 1 - code`` belongs to the level of that code (so the encoder's ``dropLast`` drops the alphabetically
+    first level); a missing value is all zeros.  A column without levels has one slot, always zero."""
+    out_cols = out_cols or [f"{c}_vec" for c in cols]
+    codes, sizes = level_codes(df, cols)
+    x, slots, index = df, {}, [f"__tw_i{i}" for i in range(len(cols))]
+    for c, idx in zip(cols, index):
+        n = max(sizes[c], 2)  # a single level has no slot of its own: one slot that no row sets
+        slots[c] = n - 1
+        mine = codes.where(F.col("column_name") == c).select(
+            F.col("label").alias("__tw_label"), (F.lit(n - 1) - F.col("code")).cast("double").alias(idx))
+        right = F.broadcast(mine) if n <= BROADCAST_LABELS else mine   # else a shuffle join; AQE splits a hot level
+        x = x.join(right, x["`" + c.replace("`", "``") + "`"].cast("string") == right["__tw_label"], "left").drop("__tw_label")
+        # the number of categories is known, so the encoder needs no scan to find it
+        x = x.withColumn(idx, F.coalesce(F.col(idx), F.lit(float(n - 1))).alias(
+            idx, metadata={"ml_attr": {"type": "nominal", "name": idx, "num_vals": n}}))
+    made = [f"__tw_o{i}" for i in range(len(cols))]
+    x = OneHotEncoder(inputCols=index, outputCols=made, dropLast=True).fit(x).transform(x).drop(*index)
+    kept = [named(c) for c in df.columns if c not in out_cols]
+    return x.select(*kept, *(F.col(m).alias(o) for m, o in zip(made, out_cols))), codes, slots
+
+
 def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
-    """E2 for wide columns (no level limit): one sparse vector column.
-
-    Level codes come from the distributed ``label_codes`` (no label list on
-    the driver), reversed so that ``dropLast`` drops exactly the
-    alphabetically first level; a missing value gets that level's code too,
-    which makes it all zeros as in the reference."""
-    out_col = out_col or f"{col}_vec"
-    idx_col = f"{col}__idx"
-    codes = label_codes(df, col)
-    n = codes.count()
-    rev = codes.select(F.col("label").alias("_lvl"), (F.lit(n - 1) - F.col("code")).cast("double").alias(idx_col))
-    right = F.broadcast(rev) if n <= BROADCAST_LABELS else rev   # else a shuffle join; AQE splits a hot level
-    j = df.join(right, df[col] == right["_lvl"], "left").drop("_lvl") \
-        .withColumn(idx_col, F.coalesce(F.col(idx_col), F.lit(float(n - 1))))
-    enc = OneHotEncoder(inputCols=[idx_col], outputCols=[out_col], dropLast=True).fit(j)
-    return enc.transform(j).drop(idx_col)
+    """``one_hot_vectors`` of one column, added to the frame."""
+    return one_hot_vectors(df, [col], [out_col or f"{col}_vec"])[0]
 
 
 def expand_dates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -121,13 +132,13 @@ def numeric_gate(df: DataFrame, cols: list[str]) -> None:
         raise ValueError(f"non-numeric columns remain after encoding: {', '.join(bad)}")
 
 
-def encode_features(df: DataFrame, target: str, features=None, key: str | None = None) -> tuple[DataFrame, list[str]]:
-    """(frame with key?, target and numeric features, feature names).
+def encode_features(df: DataFrame, target: str, features=None, key: str | None = None) -> tuple[DataFrame, list[str], DataFrame | None, dict[str, int]]:
+    """(frame with key?, target and numeric features, feature names, level codes, slots of the text features).
 
     Without a feature list every column but the target and the row key is a
     feature (the key is the row identity used for splitting).  A text column
-    of more than MAX_ONE_HOT_LEVELS levels becomes one sparse vector of the
-    same 0/1 values, under its own name."""
+    becomes one sparse vector of its 0/1 values under its own name, whatever
+    its number of levels; the third result holds their ``level_codes``."""
     feats = select_features(df, target, features)
     if features is None and key:
         feats = [c for c in feats if c != key]
@@ -135,12 +146,10 @@ def encode_features(df: DataFrame, target: str, features=None, key: str | None =
     x = df.select(*keep, target, *feats)
     cats = [c for c in feats if C.is_string(C.dtype_of(x, c))]
     dates = [c for c in feats if C.is_datetime(C.dtype_of(x, c))]
-    wide = wide_categories(x, cats)
-    cats = [c for c in cats if c not in wide]
+    codes, slots = None, {}
     if cats:
-        x = one_hot(x, cats)
-    for c in wide:
-        x = one_hot_vector(x, c, "__tw_vec").drop(c).withColumnRenamed("__tw_vec", c)
+        x, codes, slots = one_hot_vectors(x, cats, cats)
+        x = x.select(*keep, target, *feats)
     if dates:
         x = expand_dates(x, dates)
     # booleans become 0/1 (documented deviation, Q4)
@@ -148,7 +157,7 @@ def encode_features(df: DataFrame, target: str, features=None, key: str | None =
                    else F.col(f.name) for f in x.schema.fields])
     names = [c for c in x.columns if c not in keep and c != target]
     numeric_gate(x, names)
-    return x, names
+    return x, names, codes, slots
 
 
 def median_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None,
@@ -182,11 +191,18 @@ def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
 
 
 def detect_task(df: DataFrame, target: str, model_type: str = "auto") -> tuple[str, str | None, int]:
-    """('regression' | 'classification', 'binary' | 'multiclass' | None, distinct count)."""
+    """('regression' | 'classification', 'binary' | 'multiclass' | None, distinct values, counted up to 16).
+
+    A continuous target mostly shows more than 15 values in its first rows, and then nothing else is read; all its
+    values are looked through only where those rows hold fewer, and then no more than 16 are kept."""
     if model_type not in ("auto", "regression", "classification"):
         raise ValueError(f"invalid model_type {model_type!r}; choose auto, regression or classification")
     dt = C.dtype_of(df, target)
-    k = df.agg(F.count_distinct(F.col(target)).alias("k")).collect()[0]["k"]
+    present = df.select(named(target).alias("y")).where("y is not null")
+    most = MAX_CLASS_VALUES + 1
+    k = present.limit(TASK_PROBE_ROWS).distinct().limit(most).count()
+    if k < most:
+        k = present.distinct().limit(most).count()
     numeric = C.is_numeric(dt)
     if model_type == "auto":
         if numeric and k > MAX_CLASS_VALUES:
@@ -240,23 +256,28 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.2) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2) -> DataFrame:
     """Per class, the ceil(test_size * n_class) rows first in
-    (md5(key), key) order form the test set.
-
-    Counts per class and digest prefix tell at which prefix each class
-    reaches its share; only the rows with that prefix are ranked, all others
-    compare their prefix with it, so rows stay in the JVM unchanged."""
-    rows = df.withColumn("__tw_digest", F.md5(F.col(key).cast("string"))) \
+    (md5(key), key) order form the test set; rows with one key stay together.
+
+    Two narrow passes over (label, key) find the last (digest, key) of each
+    class's test rows: counts per class and digest prefix tell at which prefix
+    a class reaches its share, and only the rows with that prefix are ranked.
+    The table itself is read once and compares its keys with those bounds."""
+    digest = F.md5(named(key).cast("string"))
+    keys = df.select(named(label).alias("__tw_class"), named(key).alias("__tw_key"), digest.alias("__tw_digest")) \
         .withColumn("__tw_prefix", F.substring("__tw_digest", 1, SPLIT_PREFIX_DIGITS))
-    counts = rows.groupBy(F.col(label).alias("__tw_class"), "__tw_prefix").agg(F.count(F.lit(1)).alias("n"))
+    counts = keys.groupBy("__tw_class", "__tw_prefix").agg(F.count(F.lit(1)).alias("n"))
     by_class = Window.partitionBy("__tw_class")
     upto = F.sum("n").over(by_class.orderBy("__tw_prefix").rowsBetween(Window.unboundedPreceding, 0))
     edges = counts.withColumn("upto", upto).withColumn("want", F.ceil(F.lit(test_size) * F.sum("n").over(by_class))) \
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))) \
-        .select("__tw_class", F.col("__tw_prefix").alias("__tw_edge"),
+        .select(F.col("__tw_class").alias("__tw_c"), F.col("__tw_prefix").alias("__tw_edge"),
                 (F.col("want") - F.col("upto") + F.col("n")).alias("__tw_rest"))
-    rows = rows.join(edges, rows[label].eqNullSafe(edges["__tw_class"]), "left")
-    at_edge = F.coalesce(F.col("__tw_prefix") == F.col("__tw_edge"), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("__tw_class").orderBy("__tw_digest", key))
-    sure = rows.where(~at_edge).withColumn("is_test", F.coalesce(F.col("__tw_prefix") < F.col("__tw_edge"), F.lit(False)))
-    edge = rows.where(at_edge).withColumn("is_test", rank <= F.col("__tw_rest"))
-    return sure.unionByName(edge).drop("__tw_digest", "__tw_prefix", "__tw_class", "__tw_edge", "__tw_rest")
+    same = F.col("__tw_class").eqNullSafe(F.col("__tw_c"))
+    rank = F.row_number().over(Window.partitionBy("__tw_class").orderBy("__tw_digest", "__tw_key"))
+    last = keys.join(edges, same & (F.col("__tw_prefix") == F.col("__tw_edge"))) \
+        .withColumn("__tw_rank", rank).where(F.col("__tw_rank") == F.col("__tw_rest")) \
+        .select("__tw_c", F.struct(F.col("__tw_digest").alias("d"), F.col("__tw_key").alias("k")).alias("__tw_last"))
+    place = F.struct(digest.alias("d"), named(key).alias("k"))
+    joined = df.withColumn("__tw_place", place).join(last, named(label).eqNullSafe(F.col("__tw_c")), "left")
+    inside = F.coalesce(F.col("__tw_place") <= F.col("__tw_last"), F.lit(False))
+    return joined.withColumn("is_test", inside).drop("__tw_place", "__tw_c", "__tw_last")

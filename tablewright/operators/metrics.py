@@ -31,7 +31,11 @@ def confusion_counts(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def confusion_matrix(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(actual, predicted, n) for every pair of labels seen as actual or
     predicted (Q13), zeros included; ``confusion_counts`` is the sparse form."""
-    counts = confusion_counts(pred, y, p)
+    return grid_of_counts(confusion_counts(pred, y, p))
+
+
+def grid_of_counts(counts: DataFrame) -> DataFrame:
+    """``confusion_matrix`` from (actual, predicted, n)."""
     seen = counts.select(F.struct(F.col("actual").alias("v")).alias("label")) \
         .union(counts.select(F.struct(F.col("predicted").alias("v"))))
     grid = seen.agg(F.collect_set("label").alias("labels")) \
@@ -63,7 +67,11 @@ def classification_metrics(pred: DataFrame, y: str = "y", p: str = "p", average:
     ``binary``: scores of the positive label (default: the larger label,
     Q12); ``weighted``: support-weighted mean over actual labels.  Zero
     divisions give 0."""
-    counts = confusion_counts(pred, y, p)
+    return metrics_of_counts(confusion_counts(pred, y, p), average, positive)
+
+
+def metrics_of_counts(counts: DataFrame, average: str = "weighted", positive=None) -> DataFrame:
+    """``classification_metrics`` from (actual, predicted, n)."""
     pc = per_class(counts)
     prec = _safe_div(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
     rec = _safe_div(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))

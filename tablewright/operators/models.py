@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -69,26 +70,36 @@ def classification_models(seed: int, num_trees: int, max_depth: int, n_train: in
     ]
 
 
-def _importances(values: list[float], widths: dict[str, int]) -> list[tuple[str, float]]:
-    """Importance by feature, largest first; a vector's is the sum over its slots."""
-    out, at = [], 0
+def _importances(spark, model: str, values: list[float], widths: dict[str, int], codes: DataFrame | None) -> DataFrame:
+    """(model, feature, importance, rank), one row per number or level (``column_level``), largest first.
+
+    The names of the levels are joined to the slots where the levels are; the driver holds only what the model holds."""
+    slots, at = [], 0
     for name, width in widths.items():
-        out.append((name, float(sum(values[at:at + width]))))
-        at += width
-    return sorted(out, key=lambda t: -t[1])
+        text = width is not None
+        slots += [(model, name, width - j if text else None, float(v)) for j, v in enumerate(values[at:at + (width or 1)])]
+        at += width or 1
+    slots.sort(key=lambda t: -t[3])
+    table = spark.createDataFrame([(*t, i + 1) for i, t in enumerate(slots)],
+                                  "model string, column_name string, code int, importance double, rank int")
+    if codes is None:
+        return table.select("model", F.col("column_name").alias("feature"), "importance", "rank")
+    feature = F.when(F.col("label").isNull(), F.col("column_name")).otherwise(F.concat_ws("_", "column_name", "label"))
+    return table.join(codes, ["column_name", "code"], "left").select("model", feature.alias("feature"), "importance", "rank")
 
 
 def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str = "auto",
             test_size: float = 0.2, impute_on: str = "all"):
     """(frame with key, label, features vector, is_test), feature
-    names, task, classification type, label codes, steps, slots per feature.
+    names, task, classification type, label codes, steps, slots per feature
+    (None: a number), level codes of the text features.
 
     ``impute_on="all"`` takes the medians over the whole table as the
     reference does; ``"train"`` takes them over the training rows only."""
     if impute_on not in ("all", "train"):
         raise ValueError("impute_on must be 'all' or 'train'")
     steps = []
-    x, names = FE.encode_features(df, target, features, key)
+    x, names, levels, slots = FE.encode_features(df, target, features, key)
     if x.where(F.col(target).isNull()).limit(1).count() > 0:
         raise ValueError(f"target {target!r} has missing values; drop or fill them first")
     task, ctype, _ = FE.detect_task(x, target, model_type)
@@ -106,19 +117,17 @@ def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str
     x, med = FE.median_impute(x, numbers, fit_on=x.where(~F.col("is_test")) if impute_on == "train" else None)
     if med:
         steps.append(f"median imputation ({impute_on} rows): {', '.join(med)}")
-    vectors = [c for c in names if c not in numbers]
-    first = x.select(*vectors).first() if vectors else None
-    widths = {c: first[c].size if c in vectors and first is not None else 1 for c in names}
+    widths = {c: slots.get(c) for c in names}
     va = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     x = va.transform(x).select(key, "label", "features", "is_test")
-    return x, names, task, ctype, codes, steps, widths
+    return x, names, task, ctype, codes, steps, widths, levels
 
 
 def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto", features=None,
                 test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 5,
                 impute_on: str = "all", only: str | None = None) -> TrainResult:
     """Fit and score two models (or the one named ``only``); best by RMSE or accuracy."""
-    data, names, task, ctype, codes, steps, widths = prepare(df, target, key, features, model_type, test_size, impute_on)
+    data, names, task, ctype, codes, steps, widths, levels = prepare(df, target, key, features, model_type, test_size, impute_on)
     data = hold(data)
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
@@ -138,26 +147,26 @@ def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto",
         t0 = time.time()
         model = est.fit(train)
         pred = model.transform(test).withColumnRenamed("label", "y").withColumnRenamed("prediction", "p")
+        cols = [key, "y", "p"] + (["probability"] if "probability" in pred.columns else [])
+        scored = pred.select(*cols)
+        if "probability" in cols:
+            scored = scored.withColumn("probability", vector_to_array("probability"))
+        scored = preds[name] = hold(scored)   # test rows are scored once; all tables below come from this one
         if task == "regression":
-            m = M.regression_metrics(pred).collect()[0]
+            m = M.regression_metrics(scored).collect()[0]
         else:
             avg = "weighted" if ctype == "multiclass" else "binary"
-            m = M.classification_metrics(pred, average=avg).collect()[0]
-            confs.append(M.confusion_matrix(pred).withColumn("model", F.lit(name)))
+            counts = hold(M.confusion_counts(scored))
+            m = M.metrics_of_counts(counts, average=avg).collect()[0]
+            confs.append(M.grid_of_counts(counts).withColumn("model", F.lit(name)))
         timings[name] = round(time.time() - t0, 3)
         rows += [(name, order, k, None if m[k] is None else float(m[k])) for k in metric_names]
         if hasattr(model, "featureImportances"):
-            ranked = _importances(model.featureImportances.toArray().tolist(), widths)
-            imps += [(name, f, v, i + 1) for i, (f, v) in enumerate(ranked)]
-        cols = [key, "y", "p"] + (["probability"] if "probability" in pred.columns else [])
-        out = pred.select(*cols)
-        if "probability" in cols:
-            out = out.withColumn("probability", vector_to_array("probability"))
-        preds[name] = out
+            imps.append(_importances(spark, name, model.featureImportances.toArray().tolist(), widths, levels))
     metrics = spark.createDataFrame(rows, "model string, model_order int, metric string, value double")
     crit, higher = ("rmse", False) if task == "regression" else ("accuracy", True)
     best = M.best_model(metrics, crit, higher).collect()[0]["best_model"]
-    importances = spark.createDataFrame(imps, "model string, feature string, importance double, rank int") if imps else None
+    importances = reduce(DataFrame.unionByName, imps) if imps else None
     confusion = None
     for c in confs:
         confusion = c if confusion is None else confusion.unionByName(c)

@@ -2,14 +2,15 @@
 
 * one wide aggregate: row count, per-column missing counts, logical bytes;
 * one ``groupBy(all columns)`` for duplicate rows (map-side combined);
-* one unpivot of the categorical columns -> ``groupBy(column, value)``
-  feeding distinct counts and the top-k window;
+* one unpivot of the categorical columns -> ``groupBy(column, value)``, counted
+  once and held, feeding distinct counts and the top-k window;
 * numeric summary: one moments aggregate + the distributed exact quantiles.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..functions import columns as X
 from ..functions import classes as C
 from ..functions.columns import missing
 from . import stats
+from .cache import hold
 
 # Fixed widths (bytes) used for the logical table size.
 FIXED_WIDTH = {
@@ -70,10 +72,10 @@ def column_types(df: DataFrame) -> DataFrame:
                                  "position int, column_name string, data_type string")
 
 
-def missing_table(df: DataFrame, decimals: int = 2) -> DataFrame:
+def missing_table(df: DataFrame, decimals: int = 2, cols: list[str] | None = None) -> DataFrame:
     """(column_name, n_missing, missing_pct); pct is NULL for an empty table.
     Order for display: ``orderBy(desc('missing_pct'), 'column_name')``."""
-    nc = stats.null_counts(df)
+    nc = stats.null_counts(df, cols)
     pct = F.when(F.col("n_rows") > 0, F.col("n_missing") / F.col("n_rows") * 100)
     return nc.select("column_name", "n_missing", X.round_half_even(pct, decimals).alias("missing_pct"))
 
@@ -114,9 +116,14 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, approx: bo
     if approx:
         long = stats.long_values(df, cols, value_type="string")
         return long.groupBy("column_name").agg(F.approx_count_distinct("v").alias("unique_values"))
-    vc = value_counts_long(df, cols)
-    return vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_values"),
-                                         F.count_distinct("n").alias("distinct_frequencies"))
+    return categorical_of_counts(value_counts_long(df, cols))
+
+
+def categorical_of_counts(counts: DataFrame) -> DataFrame:
+    """``categorical_summary`` from (column_name, value, n)."""
+    by_frequency = counts.groupBy("column_name", "n").agg(F.count(F.lit(1)).alias("values"))
+    return by_frequency.groupBy("column_name").agg(F.sum("values").alias("unique_values"),
+                                                   F.count(F.lit(1)).alias("distinct_frequencies"))
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> DataFrame:
@@ -125,9 +132,13 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> Data
     WindowGroupLimit before the shuffle, so at most k rows per column leave
     each partition."""
     cols = list(cols if cols is not None else C.categorical_columns(df))
-    vc = value_counts_long(df, cols)
+    return top_of_counts(value_counts_long(df, cols), k)
+
+
+def top_of_counts(counts: DataFrame, k: int = 5) -> DataFrame:
+    """``top_values`` from (column_name, value, n)."""
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    return vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select("column_name", "rank", "value", "n")
 
 
@@ -140,6 +151,10 @@ class Profile:
     numeric: DataFrame
     categorical: DataFrame
     top_values: DataFrame
+    #: part -> (columns, its table for some of them): how ``collect`` finds the columns that fail
+    per_column: dict[str, tuple[list[str], Callable[[list[str]], DataFrame]]] = field(default_factory=dict)
+    #: part -> error rows of columns that failed while the profile was built
+    failed: dict[str, list[dict]] = field(default_factory=dict)
 
     def parts(self) -> dict[str, DataFrame]:
         return {"overview": self.overview, "column_types": self.column_types, "missing": self.missing,
@@ -147,14 +162,21 @@ class Profile:
                 "categorical_summary": self.categorical, "top_values": self.top_values}
 
     def collect(self) -> dict:
-        """B12 on the driver: every (small) part as a list of dicts; a part
-        that fails is recorded as ``{"error": message}`` instead of raising."""
+        """B12 on the driver: every (small) part as a list of dicts.
+
+        A column that fails is a row ``{"column_name": ..., "error": message}`` of its part, the other columns keep
+        their values: a part that fails is cut in halves of its columns until the failing ones stand alone.  A part
+        that fails by itself, not by a column, is recorded as ``{"error": message}``."""
         out = {}
         for name, d in self.parts().items():
             try:
                 out[name] = [r.asDict() for r in d.collect()]
             except Exception as e:  # noqa: BLE001 - recorded, as the reference does per column
-                out[name] = {"error": f"{type(e).__name__}: {e}"}
+                cols, build = self.per_column.get(name, ([], None))
+                rows = _by_column(cols, build) if cols else []
+                out[name] = rows if any("error" in r for r in rows) else {"error": _message(e)}
+            if isinstance(out[name], list):
+                out[name] += self.failed.get(name, [])
         return out
 
     def to_json(self) -> DataFrame:
@@ -179,18 +201,77 @@ class Profile:
                      .alias("profile_json"))
 
 
+def _message(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def _by_column(cols: list[str], build: Callable[[list[str]], DataFrame]) -> list[dict]:
+    """Rows of the columns that work and one error row for each that fails, by halving: few failing columns cost few jobs."""
+    out, mid = [], len(cols) // 2
+    for part in (cols[:mid], cols[mid:]) if mid else (cols,):
+        try:
+            out += [r.asDict() for r in build(part).collect()]
+        except Exception as e:  # noqa: BLE001 - recorded per column
+            out += _by_column(part, build) if len(part) > 1 else [{"column_name": part[0], "error": _message(e)}]
+    return out
+
+
+def _accepted(cols: list[str], build: Callable[[list[str]], DataFrame], errors: list[dict]) -> list[str]:
+    """The columns whose part Spark can analyse; the others become ``errors``.  Nothing is read."""
+    try:
+        _ = build(cols).schema if cols else None
+        return cols
+    except Exception as e:  # noqa: BLE001 - recorded per column
+        if len(cols) == 1:
+            errors.append({"column_name": cols[0], "error": _message(e)})
+            return []
+        mid = len(cols) // 2
+        return _accepted(cols[:mid], build, errors) + _accepted(cols[mid:], build, errors)
+
+
+def _built(cols: list[str], build: Callable[[list[str]], DataFrame], empty: DataFrame, errors: list[dict]) -> DataFrame:
+    """``build(cols)``, which takes jobs of its own; where one fails, the rows of the columns that do not, and ``errors``."""
+    try:
+        return build(cols) if cols else empty
+    except Exception:  # noqa: BLE001 - recorded per column
+        rows = _by_column(cols, build)
+        errors += [r for r in rows if "error" in r]
+        fine = [tuple(r[c] for c in empty.columns) for r in rows if "error" not in r]
+        return empty.sparkSession.createDataFrame(fine, empty.schema)
+
+
+def _or_error(spark, build: Callable[[], DataFrame]) -> DataFrame:
+    try:
+        return build()
+    except Exception as e:  # noqa: BLE001 - recorded, the other parts go on
+        return spark.createDataFrame([(_message(e),)], "error string")
+
+
 def profile(df: DataFrame, top_k: int = 5, decimals: int = 2, method: str = "exact") -> Profile:
-    """All profile parts as small DataFrames."""
-    num = C.numeric_columns(df)
-    cat = C.categorical_columns(df)
+    """All profile parts as small DataFrames; the values of the categorical columns are counted once for B10 and B11.
+
+    A column that fails does not take the others with it, see ``Profile.collect``; a part about the whole table that
+    fails is one row with its ``error``."""
     spark = df.sparkSession
+    failed: dict[str, list[dict]] = {"missing": [], "numeric_summary": [], "categorical_summary": []}
+    num = _accepted(C.numeric_columns(df), lambda c: stats.moments(df, c), failed["numeric_summary"])
+    cat = _accepted(C.categorical_columns(df), lambda c: value_counts_long(df, c), failed["categorical_summary"])
+    failed["top_values"] = failed["categorical_summary"]
     empty_num = spark.createDataFrame([], "column_name string, count long, mean double, std double, min double, "
                                           "q25 double, q50 double, q75 double, max double")
     empty_cat = spark.createDataFrame([], "column_name string, unique_values long, distinct_frequencies long")
     empty_top = spark.createDataFrame([], "column_name string, rank int, value string, n long")
+    empty_missing = spark.createDataFrame([], "column_name string, n_missing long, missing_pct double")
+    counts = hold(value_counts_long(df, cat)) if cat else None
+    summary = lambda c: numeric_summary(df, c, decimals, method)
+    gaps = lambda c: missing_table(df, decimals, c)
     return Profile(
-        overview=overview(df), column_types=column_types(df), missing=missing_table(df, decimals),
-        duplicates=duplicate_rows(df),
-        numeric=numeric_summary(df, num, decimals, method) if num else empty_num,
-        categorical=categorical_summary(df, cat) if cat else empty_cat,
-        top_values=top_values(df, cat, top_k) if cat else empty_top)
+        overview=_or_error(spark, lambda: overview(df)), column_types=column_types(df),
+        missing=_built(df.columns, gaps, empty_missing, failed["missing"]), duplicates=duplicate_rows(df),
+        numeric=_built(num, summary, empty_num, failed["numeric_summary"]),
+        categorical=categorical_of_counts(counts) if cat else empty_cat,
+        top_values=top_of_counts(counts, top_k) if cat else empty_top,
+        per_column={"numeric_summary": (num, summary),
+                    "categorical_summary": (cat, lambda c: categorical_summary(df, c)),
+                    "top_values": (cat, lambda c: top_values(df, c, top_k))},
+        failed=failed)

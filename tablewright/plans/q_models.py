@@ -8,6 +8,7 @@ checked on row counts and ranges only.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -15,11 +16,13 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import stats
+from ..operators.cache import hold
 from .fixtures import dirty_orders, table, with_dirty
 from .registry import query
 
 PRIORITIES = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["O", "P"]
+PART_TEXT = ["p_name", "p_brand", "p_type"]
 
 
 def _round(df, scale=6):
@@ -36,6 +39,24 @@ def e02(spark, sf):
     return FE.one_hot(o, ["o_orderpriority", "o_orderstatus"])
 
 
+def _slots_sql(cols):
+    return " union all ".join(
+        f"select '{c}' as column_name, p_partkey, {c} as label, dense_rank() over (order by {c}) - 1 as code, "
+        f"(select count(distinct {c}) from part) as n from part" for c in cols)
+
+
+@query("e02_one_hot_many_levels", f"with v as ({_slots_sql(PART_TEXT)})\n"
+       "select column_name, p_partkey, label, cast(n - 1 as int) as slots, "
+       "case when code > 0 then cast(n - 1 - code as int) end as slot from v", ("E2",))
+def e02v(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", *PART_TEXT)
+    x, _, slots = FE.one_hot_vectors(p, PART_TEXT)
+    at = [F.when(F.array_max(a) > 0, (F.array_position(a, 1.0) - 1).cast("int")) for a in (vector_to_array(f"{c}_vec") for c in PART_TEXT)]
+    each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label"), F.lit(slots[c]).alias("slots"), s.alias("slot"))
+                     for c, s in zip(PART_TEXT, at)))
+    return x.select("p_partkey", F.explode(each).alias("e")).select("e.column_name", "p_partkey", "e.label", "e.slots", "e.slot")
+
+
 @query("e03_date_parts", "select o_orderkey, cast(year(o_orderdate) as int) as o_orderdate_year, "
        "cast(month(o_orderdate) as int) as o_orderdate_month, cast(day(o_orderdate) as int) as o_orderdate_day, "
        "cast(isodow(o_orderdate) - 1 as int) as o_orderdate_dayofweek from orders", ("E3", "H9"))
@@ -64,10 +85,10 @@ TASK_TARGETS = [("l_extendedprice", True), ("l_quantity", True), ("l_linenumber"
     " as classification_type from u", ("E6", "E7"))
 def e06(spark, sf):
     li = table(spark, sf, "lineitem")
-    rows = []
+    rows, n = [], li.agg(*(F.count_distinct(c).alias(c) for c, _ in TASK_TARGETS)).collect()[0]
     for c, _ in TASK_TARGETS:
-        task, ctype, k = FE.detect_task(li, c)
-        rows.append((c, k, task, ctype))
+        task, ctype, _ = FE.detect_task(li, c)
+        rows.append((c, n[c], task, ctype))
     return spark.createDataFrame(rows, "target string, n_distinct long, task string, classification_type string")
 
 
@@ -167,7 +188,7 @@ def _majority_predictions(train, test, group, label, key):
 
 def _status_predictions(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    s = FE.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2).select(*o.columns, "is_test")
+    s = hold(FE.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2).select(*o.columns, "is_test"))
     return _majority_predictions(s.where(~F.col("is_test")), s.where(F.col("is_test")),
                                  "o_orderpriority", "o_orderstatus", "o_orderkey")
 
@@ -231,7 +252,7 @@ def _quality_predictions(spark, sf):
     lab = table(spark, sf, "labels")
     docs = table(spark, sf, "documents").select("doc_id", "source")
     base = lab.join(docs, "doc_id").select("doc_id", "source", "quality")
-    s = FE.stratified_split(base, "quality", "doc_id", 0.2).select(*base.columns, "is_test")
+    s = hold(FE.stratified_split(base, "quality", "doc_id", 0.2).select(*base.columns, "is_test"))
     return _majority_predictions(s.where(~F.col("is_test")), s.where(F.col("is_test")), "source", "quality", "doc_id")
 
 
@@ -260,6 +281,13 @@ def e11(spark, sf):
     return _regression(spark, sf, "Linear Regression").metrics
 
 
+@query("e11_linear_regression_one_feature", OLS_SQL + _reg_metrics_sql("ols"), ("E11", "E15"))
+def e11o(spark, sf):
+    fit = ML.train_model(table(spark, sf, "part"), "p_retailprice", key="p_partkey", features=["p_size"], only="Linear Regression")
+    m = fit.metrics.groupBy().pivot("metric", list(ML.REGRESSION_METRICS)).agg(F.first("value"))
+    return m.select(*[X.round_half_up(c, 4).alias(c) for c in ("mse", "rmse", "mae")], X.round_half_up("r2", 6).alias("r2"))
+
+
 @query("e12_random_forest_regressor", None, ("E12",))
 def e12(spark, sf):
     return _regression(spark, sf, "Random Forest Regressor").metrics
@@ -280,6 +308,43 @@ def e19(spark, sf):
     return ML.top_importances(_regression(spark, sf, "Random Forest Regressor"), 15)
 
 
+@query("e19_importance_levels", "select 'Random Forest Regressor' as model, "
+       "1 + " + " + ".join(f"count(distinct {c}) - 1" for c in PART_TEXT)
+       + " as n_features, 1.0::double as total, true as ordered from part", ("E19", "E2"))
+def e19s(spark, sf):
+    imp = _regression(spark, sf, "Random Forest Regressor").importances
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", "importance")))
+    falls = F.forall(F.sequence(F.lit(1), F.size(by_rank) - 1), lambda i: F.element_at(by_rank, i)["importance"] >= F.element_at(by_rank, i + 1)["importance"])
+    return imp.groupBy("model").agg(F.count_distinct("feature").alias("n_features"), X.round_half_up(F.sum("importance"), 6).alias("total"),
+                                    falls.alias("ordered"))
+
+
+def _model_facts(result, key):
+    """What must hold of a classifier's scores on its test rows, whatever the fit."""
+    (name, pred), = result.predictions.items()
+    best = F.max(F.col("n")).alias("top")
+    counts = pred.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg(best, F.sum("n").alias("n")).collect()[0]
+    sums = F.aggregate("probability", F.lit(0.0), lambda a, v: a + v)
+    likeliest = F.array_position("probability", F.array_max("probability")) - 1 == F.col("p")
+    return pred.agg(F.count_distinct(key).alias("n_test"), F.bool_and(F.abs(sums - 1) < 1e-9).alias("sums_to_one"),
+                    F.bool_and(likeliest).alias("takes_likeliest"),
+                    (F.count_if(F.col("y") == F.col("p")) >= F.lit(0.9 * counts["top"])).alias("near_majority"))
+
+
+MODEL_FACTS_SQL = ("select cast(sum(k) as bigint) as n_test, true as sums_to_one, true as takes_likeliest, true as near_majority "
+                   "from (select cast(ceil(0.2 * count(*)) as bigint) as k from orders group by o_orderstatus)")
+
+
+@query("e13_logistic_facts", MODEL_FACTS_SQL, ("E13", "E22", "E10"))
+def e13f(spark, sf):
+    return _model_facts(_classification(spark, sf, "Logistic Regression"), "o_orderkey")
+
+
+@query("e14_forest_facts", MODEL_FACTS_SQL, ("E14", "E22", "E10"))
+def e14f(spark, sf):
+    return _model_facts(_classification(spark, sf, "Random Forest Classifier"), "o_orderkey")
+
+
 @query("e21_metrics_table", None, ("E21",))
 def e21(spark, sf):
     return _classification(spark, sf).metrics_table()

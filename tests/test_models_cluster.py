@@ -135,3 +135,48 @@ def test_one_hot_vector_matches_explicit_columns(spark):
     vec = {r.id: r.k_vec.toArray().tolist() for r in FE.one_hot_vector(df, "k").collect()}
     assert vec[2] == [0.0, 0.0] and vec[3] == [0.0, 0.0]        # first level and missing: zeros
     assert sorted(map(tuple, [vec[1], vec[4]])) == [(0.0, 1.0), (1.0, 0.0)]
+
+
+def test_one_hot_vectors_levels_missing_and_odd_names(spark):
+    rows = [(1, "b", "x"), (2, "a", "x"), (3, None, None), (4, "c", "x")]
+    df = spark.createDataFrame(rows, ["id", "k.1", "only"])
+    out, codes, slots = FE.one_hot_vectors(df, ["k.1", "only"], ["k.1", "only"])
+    got = {r["id"]: (r["k.1"].toArray().tolist(), r["only"].toArray().tolist()) for r in out.collect()}
+    # slot n - 1 - code; one level has one slot that is never set
+    assert got == {1: ([0.0, 1.0], [0.0]), 2: ([0.0, 0.0], [0.0]), 3: ([0.0, 0.0], [0.0]), 4: ([1.0, 0.0], [0.0])}
+    assert slots == {"k.1": 2, "only": 1} and codes.count() == 4
+
+
+def test_importances_by_level(spark):
+    rows = [(i, "abcd"[i % 4], i % 7, 10.0 * (i % 4 == 2) + i % 7 + i / 1000) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, n int, y double")
+    r = ML.train_model(df, "y", key="id", num_trees=5, only="Random Forest Regressor")
+    imp = {x.feature: x.importance for x in r.importances.collect()}
+    assert set(imp) == {"k_b", "k_c", "k_d", "n"} and max(imp, key=imp.get) == "k_c"
+    assert sum(imp.values()) == pytest.approx(1)
+
+
+def test_non_numeric_feature_is_rejected(spark):
+    df = spark.createDataFrame([(i, [i], float(i)) for i in range(40)], "id int, a array<int>, y double")
+    with pytest.raises(ValueError, match="non-numeric"):
+        ML.train_model(df, "y", key="id")
+
+
+def test_task_of_a_sorted_target_with_late_values(spark):
+    few = spark.range(0, 30_000, 1, 1).select((F.col("id") / 25_000).cast("int").alias("y"))
+    assert FE.detect_task(few, "y") == ("classification", "binary", 2)
+    late = spark.range(0, 30_000, 1, 1).select(F.greatest(F.lit(0), F.col("id") - 29_000).alias("y"))
+    assert FE.detect_task(late, "y") == ("regression", None, 16)
+    assert FE.detect_task(spark.range(100).select(F.when(F.col("id") > 50, 1).when(F.col("id") > 20, 0).alias("a.b")), "a.b")[1] == "binary"
+
+
+def test_stratified_split_repeated_keys_and_missing_labels(spark):
+    rows = [(i % 50, None if i % 5 == 0 else "x") for i in range(200)]
+    s = FE.stratified_split(spark.createDataFrame(rows, "k int, `l.b` string"), "l.b", "k", 0.2).collect()
+    sides = {}
+    for r in s:
+        sides.setdefault((r["k"], r["l.b"]), set()).add(r["is_test"])
+    assert len(s) == 200 and all(len(v) == 1 for v in sides.values())    # rows with one key stay together
+    for label, n in ((None, 40), ("x", 160)):
+        test = sum(r["is_test"] for r in s if r["l.b"] == label)
+        assert math.ceil(0.2 * n) <= test < math.ceil(0.2 * n) + 4

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tablewright.operators import profile as P
 
 
@@ -57,3 +59,33 @@ def test_profile_collect_records_failing_part(spark):
     prof.top_values = df.selectExpr("assert_true(x > 5) as boom")
     got = prof.collect()
     assert "error" in got["top_values"] and got["missing"]
+
+
+def test_failing_column_is_a_row_with_its_message(spark):
+    df = spark.createDataFrame([(1, "a", "x", 1.0), (2, "b", "y", 2.0), (3, "b", None, 3.0)], "n int, good string, bad string, v double")
+    df = df.withColumn("bad", F.when(F.col("bad") == "y", F.raise_error("no value").cast("string")).otherwise(F.col("bad")))
+    got = P.profile(df).collect()
+    assert "no value" in got["overview"][0]["error"] and "no value" in got["duplicates"]["error"]
+    gaps = {r["column_name"]: r for r in got["missing"]}
+    assert gaps["v"]["n_missing"] == 0 and "no value" in gaps["bad"]["error"] and len(gaps) == 4
+    summary = {r["column_name"]: r for r in got["categorical_summary"]}
+    assert summary["good"]["unique_values"] == 2 and "no value" in summary["bad"]["error"]
+    assert {r["column_name"] for r in got["numeric_summary"]} == {"n", "v"}
+    top = got["top_values"]
+    assert [(r["value"], r["n"]) for r in top if r["column_name"] == "good"] == [("b", 2), ("a", 1)]
+    assert ["no value" in r["error"] for r in top if r["column_name"] == "bad"] == [True]
+
+
+def test_profile_counts_values_once(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "k string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    prof = P.profile(df.withColumn("k", noted.asNondeterministic()("k")))
+    before = seen.value
+    prof.categorical.collect(), prof.top_values.collect()
+    assert seen.value - before == 3
