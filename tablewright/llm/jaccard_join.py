@@ -19,6 +19,9 @@ At scale:
   blocks against blocks over many tasks, so no link is dropped.
 * A pair met in several buckets is reported by the first one both sets have,
   so links are distinct without a shuffle of duplicates.
+* What leaves a bucket grows with its sets, not with its pairs: for each set
+  its number of links, and a spanning forest of them.  ``links`` lists the
+  pairs themselves, between the first documents of the classes only.
 
 Shingles are ``n`` consecutive words (``[^\\x20\\x09-\\x0D]+``) as 48-bit hashes;
 a text of fewer words has one shingle of all its words.  Null and empty texts
@@ -183,38 +186,39 @@ def _chosen(large: DataFrame, deep: DataFrame, bucket: int, levels: int) -> Data
     return chosen
 
 
-def _compare(threshold: float):
+def _similarities(tokens: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of all sets of a cell, from products of dense blocks of a bounded number of columns."""
+    sizes = np.array([len(t) for t in tokens], np.float64)
+    owner = np.repeat(np.arange(len(tokens)), sizes.astype(np.int64))
+    _, column, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, owner = column[shared], owner[shared]
+    common = np.zeros((len(tokens), len(tokens)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    rank = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
+    for begin in range(0, int(rank[-1]) + 1 if len(rank) else 0, 4096):
+        a, b = np.searchsorted(rank, (begin, begin + 4096))
+        dense = np.zeros((len(tokens), 4096), np.float32)
+        dense[owner[a:b], rank[a:b] - begin] = 1
+        common += dense @ dense.T
+    return common / (sizes[:, None] + sizes[None, :] - common)
+
+
+def _compare(threshold: float, pairs: bool):
     """Brute force in one cell: rows of block a against rows of block b of a bucket."""
     def run(table: pa.Table) -> pa.Table:
-        rows = {r["set_id"]: r for r in table.to_pylist()}.values()  # a repeated row of the input is one set
-        rows = {c: [r[c] for r in rows] for c in table.column_names}
+        rows = table.to_pydict()
         node, cell_a, cell_b = rows["node"][0], rows["a"][0], rows["b"][0]
-        tokens = [_unpacked(t) for t in rows["tokens"]]
-        sizes = np.array([len(t) for t in tokens], np.float64)
-        flat = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(tokens)), sizes.astype(np.int64))
-        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count[column] > 1
-        column, owner = column[shared], owner[shared]
-        common = np.zeros((len(tokens), len(tokens)), np.float32)
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        # dense blocks of a bounded number of columns
-        rank = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
-        for begin in range(0, int(rank[-1]) + 1 if len(rank) else 0, 4096):
-            a, b = np.searchsorted(rank, (begin, begin + 4096))
-            dense = np.zeros((len(tokens), 4096), np.float32)
-            dense[owner[a:b], rank[a:b] - begin] = 1
-            common += dense @ dense.T
-        similar = common / (sizes[:, None] + sizes[None, :] - common)
+        similar = _similarities([_unpacked(t) for t in rows["tokens"]])
         block = np.array(rows["block"])
         if cell_a == cell_b:
-            wanted = np.triu(np.ones(common.shape, bool), 1)
+            wanted = np.triu(np.ones(similar.shape, bool), 1)
         else:
             wanted = (block == cell_a)[:, None] & (block == cell_b)[None, :]
         leaves, set_id, ids = [set(x) for x in rows["leaves"]], rows["set_id"], rows["id"]
-        linked, tree = [[] for _ in set_id], [[] for _ in set_id]
-        head = list(range(len(set_id)))
+        n_links, linked, tree = [0] * len(ids), [[] for _ in ids], [[] for _ in ids]
+        head = list(range(len(ids)))
 
         def find(i: int) -> int:
             while head[i] != i:
@@ -223,46 +227,54 @@ def _compare(threshold: float):
 
         for i, j in np.argwhere(wanted & (similar >= threshold - 1e-9)).tolist():
             if min(leaves[i] & leaves[j]) == node:
-                for a, b in ((i, j), (j, i)):
-                    linked[a].append((set_id[b], ids[b], float(similar[i, j])))
+                n_links[i] += 1
+                n_links[j] += 1
+                if pairs:
+                    linked[i].append({"other": set_id[j], "other_id": ids[j], "similarity": float(similar[i, j])})
                 a, b = find(i), find(j)
                 if a != b:
                     head[a] = b
                     tree[i].append(set_id[j])
-                    tree[j].append(set_id[i])
-        some = [i for i, x in enumerate(linked) if x]
-        others = [list(zip(*linked[i])) for i in some]
-        many = pa.list_(pa.int64())
-        return pa.table([pa.array([set_id[i] for i in some], pa.int64()), pa.array([ids[i] for i in some], pa.int64()),
-                         pa.array([o[0] for o in others], many), pa.array([o[1] for o in others], many),
-                         pa.array([o[2] for o in others], pa.list_(pa.float64())), pa.array([tree[i] for i in some], many)],
+        some = [i for i, n in enumerate(n_links) if n]
+        return pa.table([pa.array([x[i] for i in some], t) for x, t in zip((set_id, ids, n_links, tree, linked), LINKED_TYPES)],
                         [f.split(" ")[0] for f in LINKED.split(", ")])
     return run
 
 
-#: A set with the sets that one cell links it to, so that a group of n similar sets makes rows by sets, not by pairs.
-LINKED = "set_id bigint, id bigint, others array<bigint>, other_ids array<bigint>, similarities array<double>, tree array<bigint>"
+#: A set with its number of links in one cell, the edges of the cell's spanning forest that are written at this set, and
+#: (only where pairs are asked for) its links, each at one of its two sets.
+LINKED = "set_id bigint, id bigint, n_links bigint, tree array<bigint>, linked array<struct<other:bigint,other_id:bigint,similarity:double>>"
+LINKED_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
+                pa.list_(pa.struct([("other", pa.int64()), ("other_id", pa.int64()), ("similarity", pa.float64())])))
 
 
 class Joined:
     """``classes``: id, row_key, set_id, rep (id, set_id of the first of the class).
 
-    ``linked``: set_id, id of its first document, the sets and first documents linked with it (each link once in
-    either direction, over all rows of a set), similarities, and ``tree``: enough of the links to connect all that links connect.
+    ``linked``: set_id, id of its first document, ``n_links`` (to be added up over all rows of a set), ``tree``: enough of
+    the links to connect all that links connect, each at one of its sets, and ``linked``: each link at one of its sets.
     """
 
-    def __init__(self, classes: DataFrame, linked: DataFrame):
-        self.classes, self.linked = classes, linked
+    def __init__(self, classes: DataFrame, linked: DataFrame, pairs: bool):
+        self.classes, self.linked, self.pairs = classes, linked, pairs
+
+    def counts(self) -> DataFrame:
+        """set_id and n_links, for linked classes."""
+        return self.linked.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
 
     def links(self) -> DataFrame:
-        """One row per link: id_a, id_b (the first documents) and similarity."""
-        pairs = self.linked.select("set_id", F.col("id").alias("id_a"), F.explode(F.arrays_zip("others", "other_ids", "similarities")).alias("o"))
-        return pairs.where("set_id < o.others").select("id_a", F.col("o.other_ids").alias("id_b"), F.col("o.similarities").alias("similarity"))
+        """One row per link between two classes: id_a, id_b (their first documents) and similarity."""
+        if not self.pairs:
+            raise ValueError("join the documents with pairs=True to list their links")
+        pairs = self.linked.select(F.col("id").alias("id_a"), F.explode("linked").alias("o"))
+        return pairs.select("id_a", F.col("o.other_id").alias("id_b"), F.col("o.similarity").alias("similarity"))
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, branch: float = BRANCH,
-         bucket: int = BUCKET, levels: int = LEVELS) -> Joined:
-    """All links between different sets of similarity ``threshold`` or more, each once (at the given expected recall)."""
+         bucket: int = BUCKET, levels: int = LEVELS, pairs: bool = False) -> Joined:
+    """All links between different sets of similarity ``threshold`` or more, each once (at the given expected recall).
+
+    With ``pairs`` they can be listed, otherwise they are counted and connected."""
     rows = ids_and_texts(docs)
     rows = rows.select(order_id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("row_key"), "text")
     runs = runs_for(recall, branch, levels)
@@ -279,7 +291,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
               .agg(F.first("rep").alias("rep"), F.collect_list(F.when(~large, F.col("node"))).alias("small"),
                    F.collect_list(F.when(large, F.col("node"))).alias("large"))  # of one set
               .select("set_id", "rep.id", "rep.row_key", "small", "large"))
-    texts = rows.join(wanted, ["id", "row_key"]).select("set_id", "id", "small", "large", "text")
+    # a repeated row is one set; its copies lie side by side after the join
+    texts = rows.join(wanted, ["id", "row_key"]).dropDuplicates(["id", "row_key"]).select("set_id", "id", "small", "large", "text")
     sets = reliable(_with_sets(texts, n))
     deep = reliable(_deeper(sets, threshold, branch, levels))
     chosen = _chosen(sized.where(F.col("n") > bucket).select("node", "n"), deep, bucket, levels)
@@ -302,10 +315,10 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.col("leaf.node").alias("node"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
                      "block", "set_id", "id", "tokens", "leaves"))
-    linked = reliable(cells.groupBy("node", "a", "b").applyInArrow(_compare(threshold), LINKED))
+    linked = reliable(cells.groupBy("node", "a", "b").applyInArrow(_compare(threshold, pairs), LINKED))
     classes = (first.select("id", "row_key", "set_id")
                .join(reps.select("set_id", F.struct(F.col("rep.id").alias("id"), "set_id").alias("rep")), "set_id", "left"))
-    return Joined(classes, linked)
+    return Joined(classes, linked, pairs)
 
 
 def groups(joined: Joined) -> DataFrame:
@@ -315,7 +328,8 @@ def groups(joined: Joined) -> DataFrame:
     own head, so paths shorten twofold and more; a round costs two joins over
     the links.
     """
-    edges = reliable(joined.linked.select("set_id", F.explode("tree").alias("other")))
+    once = joined.linked.select("set_id", F.explode("tree").alias("other"))
+    edges = reliable(once.unionByName(once.select(F.col("other").alias("set_id"), F.col("set_id").alias("other"))).distinct())
     reps = joined.classes.where("rep is not null").select("set_id", "rep").distinct()
     heads = reliable(edges.select("set_id").distinct().join(reps, "set_id").withColumnRenamed("rep", "head"))
     while True:
@@ -331,16 +345,14 @@ def groups(joined: Joined) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (first document with the same shingles), n_links and ``links``
-    (first documents of the other classes linked with this one), group_id (first document of its group of linked classes)."""
+    """One row per row of ``docs``: doc_id, class_id (first document with the same shingles), n_links (other classes
+    linked with this one), group_id (first document of its group of linked classes).  ``Joined.links`` lists the links."""
     joined = join(docs, n, threshold, recall)
-    linked = joined.linked.groupBy("set_id").agg(F.sort_array(F.flatten(F.collect_list("other_ids"))).alias("links"))
-    out = joined.classes.join(linked, "set_id", "left").join(groups(joined), "set_id", "left")
+    out = joined.classes.join(joined.counts(), "set_id", "left").join(groups(joined), "set_id", "left")
     mine = lambda c: F.when(c != 2**63 - 1, c)  # noqa: E731  rows without an id
     return out.select(mine(F.col("id")).alias("doc_id"), mine(F.coalesce("rep.id", "id")).alias("class_id"),
-                      F.coalesce(F.size("links"), F.lit(0)).cast("bigint").alias("n_links"),
-                      mine(F.coalesce("head.id", "rep.id", "id")).alias("group_id"),
-                      F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))
+                      F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                      mine(F.coalesce("head.id", "rep.id", "id")).alias("group_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:

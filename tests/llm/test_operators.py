@@ -225,6 +225,38 @@ def test_jaccard_join(docs, rows, empty):
     assert ids == {r["doc_id"] for r in got if r["group_id"] == r["doc_id"]} and {0, 1, 2} <= ids
 
 
+def test_jaccard_groups_and_links_by_brute_force(spark):
+    """Chains of near copies with exact copies and repeated rows: links, their counts and groups; output linear in the copies."""
+    r = random.Random(12)
+    texts = []
+    for c in range(4):
+        w = [f"{c}.{i}" for i in range(90)]
+        for _ in range(12):
+            w = list(w)
+            w[r.randrange(90)] = f"n{r.random()}"
+            texts.append(" ".join(w))
+    texts += [texts[5]] * 40 + [texts[30]] * 40 + ["other words that stand alone in this table"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    reps = sorted(first.values())
+    want = {(b, a) for a in reps for b in reps if b < a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    group = {a: a for a in reps}
+    for _ in reps:
+        for a, b in want:
+            group[a] = group[b] = min(group[a], group[b])
+    degree = Counter(x for pair in want for x in pair)
+    got = jaccard_join.join_documents(docs).collect()
+    assert Counter(tuple(x) for x in got) == Counter((i, first[sets[i]], degree[first[sets[i]]], group[first[sets[i]]]) for i, _ in rows)
+    links = jaccard_join.join(docs, pairs=True).links().collect()
+    assert sorted((min(x["id_a"], x["id_b"]), max(x["id_a"], x["id_b"])) for x in links) == sorted(want) and len(want) > 40
+    with pytest.raises(ValueError):
+        jaccard_join.join(docs).links()
+
+
 def test_large_buckets_lose_no_link(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(120)]
@@ -237,7 +269,7 @@ def test_large_buckets_lose_no_link(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
     sets = [frozenset(zip(*(w[i:] for i in range(5)))) for w in texts]
     want = {(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    links = jaccard_join.join(docs, bucket=8).links().collect()
+    links = jaccard_join.join(docs, bucket=8, pairs=True).links().collect()
     got = {(max(x["id_a"], x["id_b"]), min(x["id_a"], x["id_b"])) for x in links}
     assert len(got) == len(links) and got <= want and len(got) >= 0.99 * len(want) > 500
 
