@@ -325,6 +325,38 @@ def test_decontaminate_paraphrases(spark):
     assert {(x["doc_id"], x["answer_found"]) for x in decontaminate.leaks(table, bench).collect()} == {(0, True)}
 
 
+def test_decontaminate_by_brute_force(spark):
+    """Every document and item by the longest common subsequence around every word; copies from whole to a third replaced."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("ghijklmnop") for _ in range(r.randint(2, 4)))
+    items = [[word() for _ in range(r.randint(8, 60))] for _ in range(120)]
+    other = lambda w, share: [word() if r.random() < share else x for x in w]
+    texts = [[word() for _ in range(r.randint(0, 150))] + other(items[k % 120], r.choice((0, 0.1, 0.2, 0.3, 0.4))) + [word() for _ in range(90)]
+             for k in range(60)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): x["lcs_share"] for x in decontaminate.leaks(table, bench).collect()}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b, 1):
+                row.append(last[j - 1] + 1 if x == y else max(last[j], row[-1]))
+        return row[-1]
+
+    want = {}
+    for i, w in enumerate(texts):
+        for k, item in enumerate(items):
+            if sum(x in set(w) for x in item) >= 0.65 * len(item):
+                share = max(lcs(item, w[max(0, m - 64):m + 64]) for m in range(0, len(w) + 16, 16)) / len(item)
+                if share >= 0.65:
+                    want[i, k] = share
+    assert set(got) <= set(want) and all(got[p] <= want[p] for p in got)
+    assert len(got) >= 0.95 * len(want) >= 30
+
+
 def test_decontaminate_equal_documents_and_short_items(spark):
     """Copies of one text give every term the weight of a word of all documents; short items are looked up word for word."""
     r = random.Random(8)
