@@ -5,21 +5,25 @@ the open bin with the tightest remaining capacity that still holds them; a
 balanced tree finds that bin in O(log n), and a new bin is opened only where
 none fits, which minimises the number of fixed-capacity shards.
 
-At scale only a bounded number of items is packed one by one: groups of at
-least 1/``fine`` of the total (so at most ``fine`` of them) are items of their
-own, and the smaller groups are gathered into ``fine`` bundles by the hash of
-their text, each an item as well.  So the driver packs at most 2 * ``fine``
-items, whatever the input.
-
-``pack`` with a fixed capacity returns as few bins as the method finds; a
-group above the capacity gets a bin of its own.  ``assign`` looks for the
-smallest capacity with which the method needs no more than a given number of
-bins, which makes the shard sizes near equal.  A single group of more than one
-shard's fair share cannot be split and makes its shard that much larger.
+Groups of one size are interchangeable, and the bin that took one of them is
+still the tightest for the next, as long as it has room.  So Spark counts the
+groups of each size, the driver packs these counts (with the same result as one
+by one), and its plan says which groups of a size, by their number, enter which
+bin; Spark numbers the groups of a size and joins the plan.  Sizes are rounded
+up to ``fine`` significant bits for this, so they are exact below 2^``fine``
+bytes, at most 1 / 2^(``fine`` - 1) too large above, and there are at most a few
+thousand of them whatever the input.  A shard never holds more than its capacity.
+
+``fixed`` returns as few shards of a capacity as the method finds; a group
+above the capacity gets a shard of its own.  ``assign`` looks for the smallest
+capacity with which the method needs no more than a given number of shards,
+which makes the shard sizes near equal.  A single group of more than one
+shard's fair share cannot be split and has a shard of its own; the others share the rest.
 
 Null text has no bytes, so it counts as an empty text; a table without rows
-gives an empty result; rows with the same id are placed one by one, in an
-arbitrary but fixed order of slots; other columns are ignored.
+gives an empty result; rows with the same id are placed one by one; groups of
+one size are numbered by their text's digest, and slots follow the order in
+which Spark reads the rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ids_and_texts, partitions, reliable
+from .common import ids_and_texts, partitions, reliable, written
 
-FINE = 4096
+FINE = 11
+CELL = 1024  # groups of one size whose plan is looked up together
 
 
 class OpenBins:
@@ -75,32 +80,62 @@ class OpenBins:
         return node[0]
 
 
+Plan = list[tuple[int, int, int, int]]  # size, first and one past the last group of that size, bin
+
+
+def pack_counts(counts: dict[int, int], capacity: int, most: int | None = None) -> Plan | None:
+    """Best-fit decreasing of ``counts`` (size -> number of groups); None if more than ``most`` bins would be opened."""
+    tree, plan, opened = OpenBins(), [], 0
+    for size, n in sorted(counts.items(), reverse=True):
+        done = 0
+        while done < n:
+            found = tree.take(size)
+            if found is None:
+                if opened == most:
+                    return None
+                found = (max(capacity, size), opened)
+                opened += 1
+            remaining, own = found
+            taken = min(n - done, remaining // size)
+            plan.append((size, done, done + taken, own))
+            done += taken
+            if remaining > taken * size:
+                tree.add(remaining - taken * size, own)
+    return plan
+
+
 def pack(sizes: dict[int, int], capacity: int, most: int | None = None) -> dict[int, int] | None:
     """item -> bin by best-fit decreasing; None if more than ``most`` bins would be opened."""
-    tree, bins, opened = OpenBins(), {}, 0
-    for item, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        found = tree.take(size)
-        if found is None:
-            if opened == most:
-                return None
-            found = (max(capacity, size), opened)
-            opened += 1
-        bins[item] = found[1]
-        tree.add(found[0] - size, found[1])
-    return bins
-
-
-def pack_into(sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """item -> shard with the smallest capacity that needs no more than ``shards`` bins."""
-    low = max(-(-sum(sizes.values()) // shards), 1)
-    high = low + max(sizes.values(), default=0)  # best fit always succeeds with one item of slack
-    while low < high:
-        middle = (low + high) // 2
-        if pack(sizes, middle, shards) is None:
+    items: dict[int, list[int]] = {}
+    for item, size in sorted(sizes.items()):
+        items.setdefault(size, []).append(item)
+    plan = pack_counts({size: len(own) for size, own in items.items()}, capacity, most)
+    return None if plan is None else {item: own for size, a, b, own in plan for item in items[size][a:b]}
+
+
+def pack_into(counts: dict[int, int], shards: int) -> Plan:
+    """The plan with the smallest capacity, as far as doubling steps and halving find it, that needs no more than ``shards`` bins."""
+    rest, left = sum(size * n for size, n in counts.items()), shards
+    for size, n in sorted(counts.items(), reverse=True):
+        alone = min(n, left - 1) if size * left > rest else 0  # above a fair share of what is left: a bin of its own
+        if not alone:
+            break
+        rest, left = rest - size * alone, left - alone
+    low = max(-(-rest // left), 1)
+    step, best = 0, None
+    while best is None:  # succeeds at the latest with the largest group of slack
+        capacity = low + step
+        best = pack_counts(counts, capacity, shards)
+        if best is None:
+            low, step = capacity + 1, 2 * step + 1
+    while low < capacity:
+        middle = (low + capacity) // 2
+        plan = pack_counts(counts, middle, shards)
+        if plan is None:
             low = middle + 1
         else:
-            high = middle
-    return pack(sizes, low, shards) or {}
+            best, capacity = plan, middle
+    return best
 
 
 def text_key(text: Column) -> Column:
@@ -108,48 +143,63 @@ def text_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def item_sizes(rows: DataFrame, fine: int = FINE) -> DataFrame:
-    """Rows of ``key`` and ``size`` as items: item, key (null for bundles), bytes; at most 2 * ``fine`` rows."""
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
-    large = groups.where(F.col("bytes") * fine >= total)
-    small = groups.where(F.col("bytes") * fine < total)
-    return (large.select(F.col("key"), F.lit(None).cast("int").alias("bundle"), "bytes")
-            .unionByName(small.groupBy(bundle(F.col("key"), fine).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-                         .select(F.lit(None).cast("string").alias("key"), "bundle", "bytes")))
+def rounded(size: Column, fine: int = FINE) -> Column:
+    """``size`` rounded up to ``fine`` significant bits."""
+    unit = F.pow(F.lit(2), F.greatest(F.length(F.bin(size)) - fine, F.lit(0))).cast("bigint")  # exact: a power of two
+    return (size + unit - 1) - F.pmod(size + unit - 1, unit)
+
+
+def _blocked(rows: DataFrame, keys: list[str], order: list[str], start: str) -> DataFrame:
+    """``rows`` with a gapless number ``start`` from 0 within ``keys``: blocks (column ``block``) are counted first, each starts where the one before ends.
+
+    A window sees the counts of one key, at most one for each block, or the rows of one key and block.
+    """
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"))
+              .select(*keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__tw_before")))
+    within = F.row_number().over(Window.partitionBy(*keys, "block").orderBy(*order))
+    return rows.join(starts, [*keys, "block"]).withColumn(start, F.col("__tw_before") + within - 1).drop("__tw_before")
 
 
-def bundle(key: Column, fine: int = FINE) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(fine)).cast("int")
+def _measured(docs: DataFrame, fine: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, int]]:
+    """Rows, their counts by text and block, groups with their rounded size, and the number of groups of each size."""
+    spark = docs.sparkSession
+    blocks = 4 * partitions(spark)
+    text = F.col("text").cast("binary")
+    rows = ids_and_texts(docs).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+                                      text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("place"))
+    # the checkpoint fixes the places; blocks cut a hot text, and repeated rows, into parts
+    rows = reliable(rows).withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int"))
+    parts = rows.groupBy("key", "block").agg(F.sum("size").alias("bytes"))
+    groups = written(parts.groupBy("key").agg(rounded(F.sum("bytes"), fine).alias("size"))
+                     .withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")))
+    counts = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by ``rounded``
+    return rows, parts, groups, counts
+
+
+def _placed(rows: DataFrame, parts: DataFrame, groups: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row."""
+    ranges = (rows.sparkSession.createDataFrame(plan, "size bigint, first bigint, last bigint, shard int")
+              .withColumn("cell", F.explode(F.expr(f"sequence(first div {CELL}, (last - 1) div {CELL})"))))
+    # a cell has CELL groups and at most as many ranges
+    numbered = _blocked(groups, ["size"], ["key"], "number").withColumn("cell", F.expr(f"number div {CELL}"))
+    shards = numbered.join(ranges, ["size", "cell"]).where("number >= first and number < last").select("key", "shard")
+    by_part = parts.select("key", "block").join(shards, "key")
+    sharded = rows.join(by_part, ["key", "block"]).select("doc_id", "size", "text_crc32", "shard", "block", "place")
+    return _blocked(sharded, ["shard"], ["place"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def fixed(docs: DataFrame, capacity: int, fine: int = FINE) -> DataFrame:
+    """doc_id, size (bytes + 1), text_crc32, shard and slot of every row, in as few shards of ``capacity`` bytes as best fit finds."""
+    rows, parts, groups, counts = _measured(docs, fine)
+    return _placed(rows, parts, groups, pack_counts(counts, capacity))
 
 
 def assign(docs: DataFrame, shards: int = 8, fine: int = FINE) -> DataFrame:
     """doc_id, size (bytes + 1), text_crc32, law 'bytes', shard, slot and grown_shard (null) of every row.
 
-    Rows of equal text share a shard.  Slots number the rows of a shard without
-    gaps: blocks of rows (by a hash of the id, so that a hot shard or group is
-    cut as well) are counted first and each block starts where the one before ends.
+    Rows of equal text share a shard.  Slots number the rows of a shard without gaps.
     """
-    spark = docs.sparkSession
-    text = F.col("text").cast("binary")
-    rows = reliable(ids_and_texts(docs).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                                               F.crc32(text).alias("text_crc32"), text_key(F.col("text")).alias("key")))
-    items = item_sizes(rows, fine).collect()  # bounded: at most 2 * fine rows
-    placed = pack_into({i: r["bytes"] for i, r in enumerate(items)}, shards)
-    large = spark.createDataFrame([(r["key"], placed[i]) for i, r in enumerate(items) if r["key"] is not None],
-                                  "key string, own int")
-    small = spark.createDataFrame([(r["bundle"], placed[i]) for i, r in enumerate(items) if r["key"] is None],
-                                  "bundle int, shared int")
-    sharded = (rows.withColumn("bundle", bundle(F.col("key"), fine))
-               .join(F.broadcast(large), "key", "left").join(F.broadcast(small), "bundle", "left")
-               .withColumn("shard", F.coalesce("own", "shared")))
-    blocks = F.pmod(F.xxhash64("doc_id", "key"), F.lit(4 * partitions(spark))).cast("int")
-    sharded = sharded.select("doc_id", "size", "text_crc32", "shard", blocks.alias("block"))
-    counts = sharded.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    # a shard has at most 4 * partitions blocks, so this window sees counts, never rows
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
-    return (sharded.join(starts, ["shard", "block"]).withColumn("slot", F.col("start") + within - 1)
-            .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                    F.lit(None).cast("int").alias("grown_shard")))
+    rows, parts, groups, counts = _measured(docs, fine)
+    placed = _placed(rows, parts, groups, pack_into(counts, shards))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
