@@ -13,6 +13,8 @@ labelled sentences an identity term is swapped for another of its kind, or for
 a neutral word, and the squared change of the score is added to the loss.
 Sentences that name nobody get a term to swap.  So a group's name that is
 frequent in toxic documents does not by itself make a neutral mention toxic.
+The terms are a parameter: the short list here, or those of a table
+(``terms_of``) for the groups and languages of a corpus.
 
 ``fit`` uses a bounded sample of labelled rows (``PER_LABEL`` of each label).
 Null and empty texts score as a sentence without words.  Without usable labels
@@ -53,6 +55,7 @@ ENDS = frozenset(b".!?")
 ROUNDS = 2
 STEPS = 80
 PENALTY = 1.0
+MOST_TERMS = 20_000
 RIDGE = 0.2
 LEAST = -0.1  # of a weight
 
@@ -193,6 +196,9 @@ class Model:
 
     def _swaps(self, whole: np.ndarray, starts: np.ndarray, r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per sentence an identity term (its own, or one put in), another of its kind, and whether the term is its own."""
+        if not self.terms:  # nothing to swap: a sentence without the term is compared with itself
+            none = np.zeros((len(starts), 4), np.int32)
+            return none, none, np.zeros(len(starts), bool)
         parts = [np.array([PARTS[t.encode()] for t in kind]) for kind in self.terms]
         kind = r.integers(0, len(parts), len(starts))
         place = np.array([r.integers(0, len(self.terms[k])) for k in kind], np.int64)
@@ -241,8 +247,27 @@ class Model:
         return _sigmoid(self.scale[0] * self.raw(texts) + self.scale[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, penalty: float = PENALTY) -> Model:
-    model = Model()
+def terms_of(terms: DataFrame) -> tuple[tuple[str, ...], ...]:
+    """Terms by kind of a table (kind, term), the neutral ones of a kind (column ``neutral``, where there is one) first.
+
+    Null and empty terms, terms of several words, and kinds of fewer than two terms are left out.
+    More than ``MOST_TERMS`` rows are refused, as the list goes to the driver.
+    """
+    neutral = F.coalesce(terms["neutral"].cast("boolean"), F.lit(False)) if "neutral" in terms.columns else F.lit(False)
+    rows = (terms.select(terms["kind"].cast("string").alias("kind"), F.trim(terms["term"].cast("string")).alias("term"), neutral.alias("neutral"))
+            .where(F.col("kind").isNotNull() & F.col("term").rlike(r"^\S+$"))
+            .groupBy("kind", "term").agg(F.max("neutral").alias("neutral")).limit(MOST_TERMS + 1).collect())
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} identity terms")
+    kinds: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["kind"], not r["neutral"], r["term"])):
+        kinds.setdefault(r["kind"], []).append(r["term"])
+    return tuple(tuple(own) for own in kinds.values() if len(own) > 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, penalty: float = PENALTY,
+        terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
+    model = Model(terms)
     model.train(sample(docs, labels, "toxic", per_label), penalty)
     return model
 
