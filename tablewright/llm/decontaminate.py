@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over all documents give the IDF.
+1. The words of every text are hashed once and written; all later passes read
+   the hashes.  Document frequencies over all documents give the IDF.
 2. ``fit`` finds a latent basis by a distributed randomised SVD of TF-IDF
-   passages: all benchmark items (up to ``SAMPLE``, by hash) and a sample of
-   at most ``SAMPLE`` corpus passages.  Tasks multiply their rows with a random
-   test matrix, partial products are summed by blocks of terms, and only the
-   small factor reaches the driver (its size is fixed: terms x rank).
+   passages: those of all benchmark items and of all documents.  One pass over
+   the items turns a random test matrix towards them; one pass over everything
+   multiplies each passage with it.  Partial products are summed by blocks of
+   terms, and only the small factor reaches the driver (its size is fixed:
+   terms x rank), where Nystroem's formula gives the leading directions.
 3. Candidates come from two searches over every document.  Windows of 64 words
    (a step of 32), or of 32 words (a step of 16) for items of at most
    ``SHORT`` words, are projected and compared with the items by cosine:
@@ -52,14 +54,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, forgetting, order_id, reliable, whole_row
+from .common import forget, forgetting, order_id, whole_row, written
 from .token_counts import slices
 
 TERMS = 2**15
 RANK = 128
 OVERSAMPLE = 8
-SAMPLE = 4096
-FIT_PARTS = 2     # each sends terms x rank numbers per pass
+TASK_WORDS = 8_000_000  # words of a task of the fit, which sends terms x rank numbers
 BLOCK = 16       # words whose vectors are summed first
 PASSAGE = 4      # blocks of a passage
 STEP = 2         # blocks between passages
@@ -72,7 +73,7 @@ ITEM_BYTES = 8_000_000  # of the texts of a block
 MARKS = 1024      # marks that the words of a passage set
 REACH = BLOCK * (PASSAGE // 2 + STEP)  # words on either side of a place that are compared
 MIN_WORDS = 8
-TERM_BLOCKS = 64
+TERM_BLOCKS = 256
 
 
 PUNCTUATION = string.punctuation.encode()
@@ -104,6 +105,24 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """id, row_key and the hashes of the words (8 bytes each) of every text, written once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(_binary(batch, "text"), 2_000_000):
+                words = pa.array([words_of(t).tobytes() for t in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), words],
+                                                 ["id", "row_key", "words"])
+                at += len(part)
+
+    return written(rows.select("id", "row_key", "text").mapInArrow(forgetting(run), "id bigint, row_key bigint, words binary"))
+
+
+def _unpacked(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, np.uint64)
+
+
 def _block_rows(values: np.ndarray) -> pa.RecordBatch:
     """A terms x anything array as TERM_BLOCKS rows."""
     parts = np.split(values, TERM_BLOCKS)
@@ -114,7 +133,7 @@ def _block_rows(values: np.ndarray) -> pa.RecordBatch:
 def _sum_blocks(partial: DataFrame, dtype: type, out: type = np.float64) -> np.ndarray:
     """Sums partial arrays block by block on Spark; the result has a fixed size."""
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, dtype).astype(np.float64) for p in table.column("part").to_pylist())
+        total = sum(np.frombuffer(p.as_buffer(), dtype).astype(np.float64) for p in table.column("part"))
         return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([total.astype(out).tobytes()], pa.binary())],
                         ["block", "part"])
 
@@ -129,24 +148,24 @@ def _sum_blocks(partial: DataFrame, dtype: type, out: type = np.float64) -> np.n
     return total
 
 
-def term_weights(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """IDF of each hashed term over all documents, and the number of documents."""
+def term_weights(texts: DataFrame) -> tuple[np.ndarray, int, int, int]:
+    """IDF of each hashed term over all documents of ``hashed``, and the number of documents, of their passages and of their words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(TERMS + TERM_BLOCKS, np.int32), 0  # the last TERM_BLOCKS: one place per block for the rows
+        counts, sums = np.zeros(TERMS, np.int64), np.zeros(3, np.int64)
         for batch in batches:
-            for text in _binary(batch, "text"):
-                counts[np.unique(_terms(words_of(text)))] += 1
-                n += 1
-        if n:
-            split = np.concatenate([counts[:TERMS].reshape(TERM_BLOCKS, -1), np.full((TERM_BLOCKS, 1), n, np.int32)], axis=1)
+            for words in map(_unpacked, _binary(batch, "words")):
+                counts[np.unique(_terms(words))] += 1
+                sums += 1, _n_passages(len(words)), len(words)
+        if sums[0]:  # the sums have three places in each block
+            split = np.concatenate([counts.reshape(TERM_BLOCKS, -1), np.tile(sums, (TERM_BLOCKS, 1))], axis=1)
             yield _block_rows(split.ravel())
 
-    total = _sum_blocks(rows.select("text").mapInArrow(forgetting(count), "block int, part binary"), np.int32)
+    total = _sum_blocks(texts.select("words").mapInArrow(forgetting(count), "block int, part binary"), np.int64)
     if not len(total):
-        return np.zeros(TERMS, np.float32), 0
+        return np.zeros(TERMS, np.float32), 0, 0, 0
     total = total.reshape(TERM_BLOCKS, -1)
-    n = int(total[0, -1])
-    return (1 + np.log((1 + n) / (1 + total[:, :-1].ravel()))).astype(np.float32), n  # no term is without weight
+    n, n_passages, n_words = (int(x) for x in total[0, -3:])
+    return (1 + np.log((1 + n) / (1 + total[:, :-3].ravel()))).astype(np.float32), n, n_passages, n_words  # no term is without weight
 
 
 class Basis:
@@ -189,14 +208,26 @@ class Basis:
         return total, of_block[chosen], begin[chosen]
 
 
-def _sparse_rows(texts: list[bytes], weights: list[float], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Term ids and TF-IDF weights of each passage, of the given length."""
-    for text, weight in zip(texts, weights):
-        ids, tf = np.unique(_terms(words_of(text)), return_counts=True)
-        w = tf * idf[ids]
-        norm = np.linalg.norm(w)
-        if norm > 0:
-            yield ids, (w * weight / norm).astype(np.float32)
+def _n_passages(n_words: int) -> int:
+    """Passages that a text is cut into for the fit, none longer than 1.5 times the others."""
+    return max(1, round(n_words / (BLOCK * PASSAGE))) if n_words else 0
+
+
+def _sparse_rows(texts: list[np.ndarray], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Term ids and TF-IDF weights of every passage of some texts, as unit vectors."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    parts = np.array([_n_passages(n) for n in lengths.tolist()], np.int64)
+    if not parts.sum():
+        return
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    passage = np.repeat(np.cumsum(parts) - parts, lengths) + at * np.repeat(parts, lengths) // np.repeat(lengths, lengths)
+    key, tf = np.unique(passage * TERMS + _terms(np.concatenate(texts)), return_counts=True)
+    passage, ids = key // TERMS, key % TERMS
+    w = tf * idf[ids].astype(np.float64)
+    w = (w / np.sqrt(np.bincount(passage, w * w))[passage]).astype(np.float32)
+    edges = np.r_[0, np.cumsum(np.bincount(passage))].tolist()
+    for a, b in zip(edges, edges[1:]):
+        yield ids[a:b], w[a:b]
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,57 +250,64 @@ def _orthonormal(m: np.ndarray) -> np.ndarray:
     return _times_in_place(m, vectors * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0))
 
 
-def fit(passages: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1) -> Basis:
-    """Randomised SVD of the TF-IDF rows of ``passages`` (text, weight): right singular vectors."""
-    sc = passages.sparkSession.sparkContext
-    width = rank + OVERSAMPLE
-    idf_b = sc.broadcast(idf)
+def _times(texts: DataFrame, idf, matrix: np.ndarray, items_weight: float, n_tasks: int) -> np.ndarray:
+    """The sum over all passages a of a^T (a ``matrix``); ``texts``: words, and is_item for those of the given weight."""
+    shared = texts.sparkSession.sparkContext.broadcast(matrix)
+    width = matrix.shape[1]
 
-    def times(matrix) -> np.ndarray:  # the sum over all rows a of a^T (a M)
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, out, seen = matrix.value, np.zeros((TERMS, width), np.float32), False
-            for batch in batches:
-                weights = batch.column(batch.schema.get_field_index("weight")).to_pylist()
-                for ids, w in _sparse_rows(_binary(batch, "text"), weights, idf_b.value):
-                    out[ids] += w[:, None] * (w @ m[ids])[None, :]
-                    seen = True
-            if seen:
-                yield _block_rows(out)
-
-        total = _sum_blocks(passages.mapInArrow(forgetting(run), "block int, part binary"), np.float32, np.float32)
-        matrix.destroy()
-        return total.reshape(TERMS, width) if len(total) else np.zeros((TERMS, width), np.float32)
-
-    m = np.random.default_rng(5).standard_normal((TERMS, width)).astype(np.float32)
-    for _ in range(1 + power):
-        shared = sc.broadcast(m)
-        del m  # the tasks have it
-        m = _orthonormal(_orthonormal(times(shared)))
-        forget()
-    # in the basis m the rows have the Gram matrix m^T (A^T A m)
-    values, vectors = np.linalg.eigh(_products(m, times(sc.broadcast(m))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, out, seen = shared.value, np.zeros((TERMS, width), np.float32), False
+        for batch in batches:
+            is_item = batch.column(batch.schema.get_field_index("is_item")).to_numpy(zero_copy_only=False)
+            at = 0
+            for part in slices(_binary(batch, "words"), 2_000_000):
+                own = is_item[at:at + len(part)]
+                at += len(part)
+                for chosen, weight in ((own, items_weight), (~own, 1.0)):
+                    for ids, w in _sparse_rows([_unpacked(part[i]) for i in np.flatnonzero(chosen)], idf.value):
+                        out[ids] += w[:, None] * (weight * (w @ m[ids]))
+                        seen = True
+        if seen:
+            yield _block_rows(out)
+
+    total = _sum_blocks(texts.coalesce(n_tasks).mapInArrow(forgetting(run), "block int, part binary"), np.float32, np.float32)
+    shared.destroy()
+    return total.reshape(TERMS, width) if len(total) else np.zeros((TERMS, width), np.float32)
+
+
+def fit(docs: DataFrame, items: DataFrame, idf: np.ndarray, n_passages: int, n_words: int, n_items: int, rank: int = RANK) -> Basis:
+    """Randomised SVD of the TF-IDF passages of all documents and items (both ``hashed``): right singular vectors."""
+    sc = docs.sparkSession.sparkContext
+    # items together weigh twice the documents, or the basis would not tell one item from another
+    weight = 2.0 * max(n_passages, 1) / max(n_items, 1)
+    n_tasks = max(sc.defaultParallelism, math.ceil(n_words / TASK_WORDS))
+    idf_b = sc.broadcast(idf)
+    own = items.select("words", F.lit(True).alias("is_item"))
+    m = np.random.default_rng(5).standard_normal((TERMS, rank + OVERSAMPLE)).astype(np.float32)
+    # towards the items; where they have fewer directions the random ones stay
+    turned = _times(own, idf_b, m, 1.0, n_tasks)
+    turned += m * np.float32(0.01 * max(np.linalg.norm(turned), 1e-6) / np.linalg.norm(m))
+    m = _orthonormal(_orthonormal(turned))
+    del turned
+    forget()
+    found = _times(docs.select("words", F.lit(False).alias("is_item")).unionByName(own), idf_b, m, weight, n_tasks)
     idf_b.destroy()
-    basis = Basis(idf, _times_in_place(m, vectors[:, np.argsort(-values)[:rank]]))
+    # Nystroem: with Y = G M of the Gram matrix G, G is about Y (M^T Y)^-1 Y^T; a small shift keeps the inverse sound
+    shift = np.float32(1e-6 * np.linalg.norm(found))
+    found += shift * m
+    core = _products(m, found)
     del m
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, max(float(shift), 1e-30)))
+    values, vectors = np.linalg.eigh(root.T @ _products(found, found) @ root)
+    kept = values > 1e-5 * max(values[-1], 1e-300)
+    small = root @ (vectors * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0))
+    basis = Basis(idf, _times_in_place(found, small[:, ::-1][:, :rank]))
+    del found
     forget()
     return basis
 
 
-def _sample(rows: DataFrame, items: DataFrame, n_docs: int, n_items: int) -> DataFrame:
-    """The passages that the basis is fitted on: items, and 64-word passages of documents chosen by hash; both bounded."""
-    some = max(1, n_docs // (SAMPLE // 4))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    size = BLOCK * PASSAGE
-    corpus = (rows.where(F.pmod(F.xxhash64("id", "row_key", F.lit(3)), F.lit(some)) == 0).select(words.alias("w"))
-              .where(F.size("w") > 0).select("w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(size))).alias("at"))
-              .select(F.array_join(F.slice("w", F.col("at"), size), " ").alias("text"))
-              .orderBy(F.xxhash64("text")).limit(SAMPLE))
-    chosen = items.select(F.col("text")).orderBy(F.xxhash64("text")).limit(SAMPLE)
-    # items together weigh twice the corpus sample, or the basis would not tell one item from another
-    weight = math.sqrt(max(1.0, 2 * SAMPLE / max(n_items, 1)))
-    return chosen.withColumn("weight", F.lit(weight)).unionByName(corpus.withColumn("weight", F.lit(1.0))).repartition(FIT_PARTS)
-
-
 def _lcs(place: dict[int, int], m: int, words: list[int]) -> int:
     """Length of the longest common subsequence; ``place``: bit mask of the positions of each word among the m of one side."""
     full = (1 << m) - 1
@@ -435,10 +473,9 @@ def _candidates(texts: list[np.ndarray], basis: Basis, items: Items, cosine: flo
                     yield t, start + int(items.middle[q]), q
 
 
-def _search(texts: list[bytes], basis: Basis, items: Items, cosine: float, copied: float, paraphrased: float, unanswered: float
+def _search(words: list[np.ndarray], basis: Basis, items: Items, cosine: float, copied: float, paraphrased: float, unanswered: float
             ) -> Iterator[tuple[int, int, float, float, bool]]:
     """(text, item id, cosine, LCS share, answer found) of each leak, the best passage of each text and item."""
-    words = [words_of(t) for t in texts]
     some = [i for i, w in enumerate(words) if len(w)]
     if not some or not items.words:
         return
@@ -476,12 +513,16 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, cosine: float, copied: float,
     answer = benchmark["answer"] if "answer" in benchmark.columns else F.lit(None)
     items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text"),
                              answer.cast("string").alias("answer")).where("text is not null")
-    idf, n_docs = term_weights(rows)
     n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     none = spark.createDataFrame([], LEAKS)
-    if not n_docs or not n_items:
+    if not n_items:
+        return none
+    texts = hashed(rows)
+    idf, n_docs, n_passages, n_words = term_weights(texts)
+    if not n_docs:
         return none
-    own = fit(reliable(_sample(rows, items, n_docs, n_items)), idf)
+    item_words = hashed(items.select(F.col("item_id").alias("id"), F.lit(0).cast("bigint").alias("row_key"), "text"))
+    own = fit(texts, item_words, idf, n_passages, n_words, n_items)
     basis = spark.sparkContext.broadcast(own)
     blocks = math.ceil(max(n_items / ITEM_BLOCK, n_bytes / ITEM_BYTES))
     found = none
@@ -493,16 +534,16 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, cosine: float, copied: float,
             for batch in batches:
                 ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 at = 0
-                for part in slices(_binary(batch, "text"), 2_000_000):
+                for part in slices(_binary(batch, "words"), 2_500_000):
                     out = [(ids[at + t], keys[at + t], *rest) for t, *rest in
-                           _search(part, basis.value, query.value, cosine, copied, paraphrased, unanswered)]
+                           _search([_unpacked(t) for t in part], basis.value, query.value, cosine, copied, paraphrased, unanswered)]
                     at += len(part)
                     if out:
                         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
                                                          [f.split(" ")[0] for f in LEAKS.split(", ")])
 
-        found = found.unionByName(rows.mapInArrow(forgetting(run), LEAKS))
+        found = found.unionByName(texts.mapInArrow(forgetting(run), LEAKS))
     return found
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -371,3 +372,30 @@ def test_decontaminate_equal_documents_and_short_items(spark):
         assert {(x["doc_id"], x["item_id"]) for x in found} == {(d, i) for d in range(n) for i in (0, 1, 2, 3, 7, 8)}
         assert min(x["cosine"] for x in found if x["item_id"] in (0, 8)) >= 0.7
         assert decontaminate.clean(table, bench).count() == 0
+
+
+def test_decontaminate_basis_of_all_passages(spark):
+    """The basis holds nearly as much of all documents and items as the best one of its size, found from the whole Gram matrix."""
+    r = random.Random(9)
+    word = lambda k: f"{'ghijklmnop'[k % 10]}{r.randint(0, 3)}x{k}"
+    texts = [" ".join(word(i % 300) for _ in range(r.randint(8, 14))) for i in range(9000)]  # one passage each, of 300 kinds
+    items = [" ".join(word(300 + i) for _ in range(12)) for i in range(40)]
+    docs = decontaminate.hashed(decontaminate._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)))
+    bench = decontaminate.hashed(decontaminate._rows(spark.createDataFrame(list(enumerate(items)), "doc_id bigint, text string")))
+    idf, n_docs, n_passages, n_words = decontaminate.term_weights(docs)
+    assert (n_docs, n_passages, n_words) == (9000, 9000, sum(len(t.split()) for t in texts))
+    basis = decontaminate.fit(docs, bench, idf, n_passages, n_words, len(items))
+    vectors = basis.weighted[:-1] / idf[:, None]
+
+    rows = np.zeros((len(texts) + len(items), decontaminate.TERMS), np.float32)
+    for row, t in zip(rows, texts + items):
+        ids, tf = np.unique(decontaminate._terms(decontaminate.words_of(t.encode())), return_counts=True)
+        row[ids] = tf * idf[ids]
+    used = np.flatnonzero(rows.any(axis=0))
+    rows = rows[:, used].astype(float)
+    rows *= (np.r_[np.ones(len(texts)), np.full(len(items), np.sqrt(2 * 9000 / 40))] / np.linalg.norm(rows, axis=1))[:, None]
+    gram = rows.T @ rows
+    best = np.sort(np.linalg.eigvalsh(gram))[::-1][:decontaminate.RANK].sum()
+    own = vectors[used].astype(float)
+    assert np.allclose(own.T @ own, np.eye(decontaminate.RANK), atol=1e-3)
+    assert np.trace(own.T @ gram @ own) >= 0.95 * best
