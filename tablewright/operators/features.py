@@ -254,14 +254,15 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.2) -> DataFrame:
     return df.withColumn("is_test", split_hash(key) < int(round(test_size * 10000)))
 
 
-def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, few_classes: bool = False) -> DataFrame:
     """Per class, the ceil(test_size * n_class) rows first in
     (md5(key), key) order form the test set; rows with one key stay together.
 
     Two narrow passes over (label, key) find the last (digest, key) of each
     class's test rows: counts per class and digest prefix tell at which prefix
     a class reaches its share, and only the rows with that prefix are ranked.
-    The table itself is read once and compares its keys with those bounds."""
+    The table itself is read once and compares its keys with those bounds;
+    ``few_classes``: they are broadcast, so the table is not dealt by class."""
     digest = F.md5(named(key).cast("string"))
     keys = df.select(named(label).alias("__tw_class"), named(key).alias("__tw_key"), digest.alias("__tw_digest")) \
         .withColumn("__tw_prefix", F.substring("__tw_digest", 1, SPLIT_PREFIX_DIGITS))
@@ -278,6 +279,6 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
         .withColumn("__tw_rank", rank).where(F.col("__tw_rank") == F.col("__tw_rest")) \
         .select("__tw_c", F.struct(F.col("__tw_digest").alias("d"), F.col("__tw_key").alias("k")).alias("__tw_last"))
     place = F.struct(digest.alias("d"), named(key).alias("k"))
-    joined = df.withColumn("__tw_place", place).join(last, named(label).eqNullSafe(F.col("__tw_c")), "left")
+    joined = df.withColumn("__tw_place", place).join(F.broadcast(last) if few_classes else last, named(label).eqNullSafe(F.col("__tw_c")), "left")
     inside = F.coalesce(F.col("__tw_place") <= F.col("__tw_last"), F.lit(False))
     return joined.withColumn("is_test", inside).drop("__tw_place", "__tw_c", "__tw_last")

@@ -8,6 +8,7 @@ estimators whose work (gradients, tree statistics) is distributed.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,6 +27,8 @@ from .cache import hold
 
 REGRESSION_METRICS = ("mse", "rmse", "mae", "r2")
 CLASSIFICATION_METRICS = ("accuracy", "precision", "recall", "f1")
+# Bytes of the training points of a forest (a bin for each feature, a count for each tree) that one partition holds.
+PARTITION_BYTES = 64 * 2**20
 
 
 @dataclass
@@ -88,21 +91,30 @@ def _importances(spark, model: str, values: list[float], widths: dict[str, int],
     return table.join(codes, ["column_name", "code"], "left").select("model", feature.alias("feature"), "importance", "rank")
 
 
+def _partitions_needed(n_rows: int, n_features: int, num_trees: int) -> int:
+    """Partitions among which a training table is dealt out, so that no task of a fit holds more than ``PARTITION_BYTES``."""
+    return math.ceil(n_rows * (100 + 4 * (n_features + num_trees)) / PARTITION_BYTES)
+
+
 def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str = "auto",
-            test_size: float = 0.2, impute_on: str = "all"):
+            test_size: float = 0.2, impute_on: str = "all", num_trees: int = 100):
     """(frame with key, label, features vector, is_test), feature
     names, task, classification type, label codes, steps, slots per feature
     (None: a number), level codes of the text features.
 
     ``impute_on="all"`` takes the medians over the whole table as the
-    reference does; ``"train"`` takes them over the training rows only."""
+    reference does; ``"train"`` takes them over the training rows only.
+
+    A table file is far smaller than the points of a fit, so its few partitions
+    are dealt out anew where they are too large for one task."""
     if impute_on not in ("all", "train"):
         raise ValueError("impute_on must be 'all' or 'train'")
     steps = []
     x, names, levels, slots = FE.encode_features(df, target, features, key)
     if x.where(F.col(target).isNull()).limit(1).count() > 0:
         raise ValueError(f"target {target!r} has missing values; drop or fill them first")
-    task, ctype, _ = FE.detect_task(x, target, model_type)
+    task, ctype, n_classes = FE.detect_task(x, target, model_type)
+    n_parts = _partitions_needed(df.count(), sum(slots.get(c) or 1 for c in names), num_trees)
     codes = None
     if task == "classification" and not C.is_numeric(C.dtype_of(x, target)):
         x, codes = FE.encode_labels(x, target, "label")
@@ -110,7 +122,7 @@ def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str
     else:
         x = x.withColumn("label", F.col(target).cast("double"))
     if task == "classification":
-        x = FE.stratified_split(x, "label", key, test_size)
+        x = FE.stratified_split(x, "label", key, test_size, few_classes=n_parts > 1 and n_classes <= FE.MAX_CLASS_VALUES)
     else:
         x = FE.random_split(x, key, test_size)
     numbers = [c for c in names if C.is_numeric(C.dtype_of(x, c))]
@@ -120,6 +132,8 @@ def prepare(df: DataFrame, target: str, key: str, features=None, model_type: str
     widths = {c: slots.get(c) for c in names}
     va = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     x = va.transform(x).select(key, "label", "features", "is_test")
+    if n_parts > 1:
+        x = x.repartition(n_parts)
     return x, names, task, ctype, codes, steps, widths, levels
 
 
@@ -127,7 +141,7 @@ def train_model(df: DataFrame, target: str, key: str, model_type: str = "auto",
                 test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 5,
                 impute_on: str = "all", only: str | None = None) -> TrainResult:
     """Fit and score two models (or the one named ``only``); best by RMSE or accuracy."""
-    data, names, task, ctype, codes, steps, widths, levels = prepare(df, target, key, features, model_type, test_size, impute_on)
+    data, names, task, ctype, codes, steps, widths, levels = prepare(df, target, key, features, model_type, test_size, impute_on, num_trees)
     data = hold(data)
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
