@@ -8,6 +8,8 @@ them once the caller has consumed its results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -33,3 +35,9 @@ def release_cached() -> int:
         d.unpersist()
     _HELD.clear()
     return n
+
+
+def spread(df: DataFrame, n_rows: int, rows: int = 100_000) -> DataFrame:
+    """``df`` dealt out to partitions of at most about ``rows`` rows: a file of one large row group, or a small file of
+    many narrow rows, is read by a single task, and so is all that is made of its rows."""
+    return df.repartition(math.ceil(n_rows / rows)) if n_rows > rows else df

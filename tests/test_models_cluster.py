@@ -180,3 +180,23 @@ def test_stratified_split_repeated_keys_and_missing_labels(spark):
     for label, n in ((None, 40), ("x", 160)):
         test = sum(r["is_test"] for r in s if r["l.b"] == label)
         assert math.ceil(0.2 * n) <= test < math.ceil(0.2 * n) + 4
+
+
+def test_large_training_tables_are_dealt_out(spark, monkeypatch):
+    """However few partitions the table has, none of the training table holds more points than the bound."""
+    df = spark.range(4000, numPartitions=1).selectExpr("id as k", "id % 7 as a", "cast(id % 3 as string) as t", "cast(id % 2 as string) as y")
+    plain = {r["k"]: tuple(r)[1:] for r in ML.prepare(df, "y", "k")[0].collect()}
+    monkeypatch.setattr(ML, "PARTITION_BYTES", 100_000)
+    data = ML.prepare(df, "y", "k")[0]
+    sizes = [r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == ML._partitions_needed(4000, 3, 100) > 10 and max(sizes) < 4000 / 10
+    assert {r["k"]: tuple(r)[1:] for r in data.collect()} == plain
+
+
+def test_kmeans_deals_large_tables_out(spark, monkeypatch):
+    df = spark.range(3000, numPartitions=1).selectExpr("id as k", "(id % 3) * 100 + id % 5 as a", "(id % 3) * 50 + id % 11 as b")
+    plain = CU.kmeans(df, "k", 3, n_init=2)
+    monkeypatch.setattr(CU, "PARTITION_ROWS", 500)
+    dealt = CU.kmeans(df, "k", 3, n_init=2)
+    assert dealt.assignments.rdd.getNumPartitions() == 6 and abs(dealt.inertia - plain.inertia) < 1e-6
+    assert sorted(r["size"] for r in dealt.sizes().collect()) == [1000] * 3
