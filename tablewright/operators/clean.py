@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classes as C
-from ..functions.columns import (DATE_FORMATS, clip, fill, is_whole, looks_like_date, missing, nan_to_null,
+from ..functions.columns import (DATE_FORMAT_SHAPES, DATE_FORMATS, clip, date_signatures, fill, is_whole, looks_like_date, missing, nan_to_null,
                                  parse_date_with, parse_number)
 from . import stats
 from .cache import hold, release
@@ -200,16 +200,21 @@ def detect_types(df: DataFrame, cols: list[str] | None = None, formats=DATE_FORM
               "looks_like_date boolean, best_date_format string, n_dates long, target string")
     if not cols:
         return spark.createDataFrame([], schema)
-    # the columns below one another: one scan and one narrow aggregate, however many they are
+    # the columns below one another: one scan and one narrow aggregate, however many they are.  Each value is read as a
+    # number once; only where it is none it can look like a date (no number has a digit before - or /), and then only
+    # the formats are tried that have its separators
     text = F.col("v")
-    num = parse_number(text)
-    # every format only accepts text matching the date pattern, so the (costly) parse runs only on such values
-    dated = F.when(looks_like_date(text), text)
+    values = stats.numbered_values(df, cols, value_type="string", keep_missing=True).select("__tw_n", text, parse_number(text).alias("num"))
+    like = F.col("num").isNull() & (F.contains(text, F.lit("-")) | F.contains(text, F.lit("/"))) & looks_like_date(text)
+    values = values.select("__tw_n", text, "num", F.when(like, F.trim(text)).alias("dated"))
+    num, dated = F.col("num"), F.col("dated")
+    values = values.select("__tw_n", text, num, dated, F.translate(dated, "0123456789", "").alias("signature"))
+    signed = lambda fmt: F.when(F.col("signature").isin(date_signatures(fmt)), dated) if fmt in DATE_FORMAT_SHAPES else dated
     aggs = [F.count(F.lit(1)).alias("n"), F.count(text).alias("nn"), F.count(num).alias("p"),
             F.coalesce(F.bool_and(is_whole(num) & (F.abs(num) < 9.2e18)), F.lit(True)).alias("w"),
-            F.coalesce(F.bool_or(looks_like_date(text)), F.lit(False)).alias("d"),
-            *(F.count(parse_date_with(dated, fmt)).alias(f"t{j}") for j, fmt in enumerate(formats))]
-    found = {r["__tw_n"]: r for r in stats.numbered_values(df, cols, value_type="string", keep_missing=True).groupBy("__tw_n").agg(*aggs).collect()}
+            (F.count(dated) > 0).alias("d"),
+            *(F.count(parse_date_with(signed(fmt), fmt)).alias(f"t{j}") for j, fmt in enumerate(formats))]
+    found = {r["__tw_n"]: r for r in values.groupBy("__tw_n").agg(*aggs).collect()}
     none = {"n": 0, "nn": 0, "p": 0, "w": True, "d": False} | {f"t{j}": 0 for j in range(len(formats))}
     out = []
     for i, c in enumerate(cols):

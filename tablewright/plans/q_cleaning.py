@@ -8,7 +8,7 @@ from ..functions import columns as X
 from ..functions.columns import NUMBER_PATTERN, parse_date_with
 from ..operators import clean as CL
 from ..operators import stats
-from ..operators.cache import hold
+from ..operators.cache import hold, spread
 from .fixtures import dirty_orders, table, with_dirty
 from .registry import query
 
@@ -338,7 +338,8 @@ def c20z(spark, sf):
     f"cast(l_shipdate as timestamp) + interval '{i} minutes' as d{i}" for i in range(5)) + " from lineitem", ("C15",))
 def c15w(spark, sf):
     # 25 text columns: whole numbers with gaps, and dates with minutes
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
+    li = spread(li, li.count())
     key = F.col("l_orderkey")
     numbers = [F.when(key % (i + 2) != 0, (key * (i + 1)).cast("string")).alias(f"c{i}") for i in range(20)]
     dates = [F.date_format(F.col("l_shipdate") + F.expr(f"interval {i} minutes"), "yyyy-MM-dd HH:mm").alias(f"d{i}") for i in range(5)]

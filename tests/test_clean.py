@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.functions import columns as X
 from tablewright.operators import clean as CL
+from tablewright.operators.cache import spread
 
 
 def test_options_partial_dict_switches_steps_off():
@@ -134,3 +136,26 @@ def test_approx_quantile_option_close_to_exact(spark):
     assert abs(exact[0] - approx[0]) < 5 and abs(exact[1] - approx[1]) < 5
     out, log = CL.clean(df, {"handle_outliers": "clip", "quantile_method": "approx"})
     assert out.agg(F.max("x")).collect()[0][0] <= approx[1] + 1e-9
+
+
+def test_formats_are_tried_by_their_separators(spark):
+    """Every format has one signature or, with a zone, three; counts agree with trying every format on every value."""
+    texts = ["1998-2-6 00:03:01", "1998-02-06T1:2:3", "1998-2-6", "1998/2/6", "12/31/1998", "12-31-1998", "1/2/98", "31/12/1998", "31-12-1998",
+             " 31/12/98 ", "1998-2-6 0:3", "1998-2-6T0:3", "1998-2-6 0:3:1.5", "1998-2-6T0:3:1.25", "1998-2-6T0:3:1Z", "1998-2-6T0:3:1+01:00",
+             "1998-2-6T0:3:1-01:00", "on 1998-2-6", "1998-13-45", "x", "-5", "1e-5", "1234-5", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    (r,) = CL.detect_types(df).collect()
+    want = df.agg(F.count_if(X.looks_like_date("v")).alias("d"), F.count(X.parse_number("v")).alias("p"),
+                  *(F.count(X.parse_date_with("v", f)).alias(f) for f in X.DATE_FORMATS)).first()
+    best = max(X.DATE_FORMATS, key=lambda f: (want[f], -X.DATE_FORMATS.index(f)))
+    assert (r["looks_like_date"], r["n_numeric"], r["best_date_format"], r["n_dates"]) == (want["d"] > 0, want["p"], best, want[best])
+    for f in X.DATE_FORMATS:
+        (alone,) = CL.detect_types(df, formats=(f,)).collect()
+        assert alone["n_dates"] == want[f] > 0
+        assert len(X.date_signatures(f)) == (3 if f.endswith("XXX") else 1)
+
+
+def test_many_rows_of_one_partition_are_dealt_out(spark):
+    df = spark.range(1000, numPartitions=1)
+    assert spread(df, 1000, 300).rdd.getNumPartitions() == 4 and spread(df, 1000, 1000) is df
+    assert {r["id"] for r in spread(df, 1000, 300).collect()} == set(range(1000))
