@@ -119,8 +119,9 @@ def hashed(rows: DataFrame) -> DataFrame:
     return written(rows.select("id", "row_key", "text").mapInArrow(forgetting(run), "id bigint, row_key bigint, words binary"))
 
 
-def _unpacked(words: bytes) -> np.ndarray:
-    return np.frombuffer(words, np.uint64)
+def _words_in(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The hashes of each text, as views of the batch."""
+    return [np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column(batch.schema.get_field_index("words"))]
 
 
 def _block_rows(values: np.ndarray) -> pa.RecordBatch:
@@ -153,7 +154,7 @@ def term_weights(texts: DataFrame) -> tuple[np.ndarray, int, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sums = np.zeros(TERMS, np.int64), np.zeros(3, np.int64)
         for batch in batches:
-            for words in map(_unpacked, _binary(batch, "words")):
+            for words in _words_in(batch):
                 counts[np.unique(_terms(words))] += 1
                 sums += 1, _n_passages(len(words)), len(words)
         if sums[0]:  # the sums have three places in each block
@@ -260,11 +261,11 @@ def _times(texts: DataFrame, idf, matrix: np.ndarray, items_weight: float, n_tas
         for batch in batches:
             is_item = batch.column(batch.schema.get_field_index("is_item")).to_numpy(zero_copy_only=False)
             at = 0
-            for part in slices(_binary(batch, "words"), 2_000_000):
+            for part in slices(_words_in(batch), 250_000):
                 own = is_item[at:at + len(part)]
                 at += len(part)
                 for chosen, weight in ((own, items_weight), (~own, 1.0)):
-                    for ids, w in _sparse_rows([_unpacked(part[i]) for i in np.flatnonzero(chosen)], idf.value):
+                    for ids, w in _sparse_rows([part[i] for i in np.flatnonzero(chosen)], idf.value):
                         out[ids] += w[:, None] * (weight * (w @ m[ids]))
                         seen = True
         if seen:
@@ -534,9 +535,9 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, cosine: float, copied: float,
             for batch in batches:
                 ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 at = 0
-                for part in slices(_binary(batch, "words"), 2_500_000):
+                for part in slices(_words_in(batch), 300_000):
                     out = [(ids[at + t], keys[at + t], *rest) for t, *rest in
-                           _search([_unpacked(t) for t in part], basis.value, query.value, cosine, copied, paraphrased, unanswered)]
+                           _search(part, basis.value, query.value, cosine, copied, paraphrased, unanswered)]
                     at += len(part)
                     if out:
                         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
