@@ -17,6 +17,8 @@ are found first, by Misra-Gries summaries, and only these are counted:
 3. Their hashes set two bits each in a bitmap of fixed size (2^``BITS`` bits),
    put together by blocks, which tasks use as a sieve.
 4. A second pass counts the n-grams that pass the sieve exactly, by their text.
+   A task sends its counts as one block for each hash partition, which adds
+   them up.
 
 A phrase cannot be more frequent than its parts.  So the steps 1 to 3 are
 taken for single words, then for pairs of words that passed, then for longer
@@ -228,17 +230,35 @@ def sieve(rows: DataFrame, threshold: int, lengths: tuple[int, int], before: Sie
 COUNTS = "lang string, n_words int, phrase string, f bigint"
 
 
-def counted(rows: DataFrame, known: Sieve, longest: int = LONGEST) -> DataFrame:
-    """Exact counts (lang, n_words, phrase, f) of the n-grams that pass the sieve, and per language one row of 0 words: all words."""
+def _block(counts: pa.Table) -> bytes:
+    """Counts as bytes; sorted ones are the shorter, as neighbours have most of their words in common."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, counts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(counts)
+    return out.getvalue().to_pybytes()
+
+
+def blocks(rows: DataFrame, known: Sieve, longest: int = LONGEST) -> DataFrame:
+    """Exact counts of what passes the sieve in each task's texts, one block (part, data) for each hash partition of the phrases."""
     sieve_b = rows.sparkSession.sparkContext.broadcast(known)
+    dealt = partitions(rows.sparkSession)
 
     def batch(found: dict[tuple[str, int], dict[str, int]]) -> pa.RecordBatch:
         sizes = [len(own) for own in found.values()]
+        phrases = [phrase for own in found.values() for phrase in own]
+        counts = pa.table([pa.array((xxhash.xxh3_64_intdigest(phrase) % dealt for phrase in phrases), pa.int32()),
+                           pa.array([lang for (lang, _), size in zip(found, sizes) for _ in range(size)], pa.string()),
+                           pa.array(np.repeat([n for _, n in found], sizes), pa.int32()),
+                           pa.array(phrases, pa.string()),
+                           pa.array([f for own in found.values() for f in own.values()], pa.int64())],
+                          ["part", "lang", "n_words", "phrase", "f"])
+        counts = counts.sort_by([(c, "ascending") for c in ("part", "lang", "phrase")])
+        some, size = np.unique(counts.column("part").to_numpy(), return_counts=True)
+        counts = counts.drop_columns("part")
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang for (lang, _), size in zip(found, sizes) for _ in range(size)], pa.string()),
-             pa.array(np.repeat([n for _, n in found], sizes), pa.int32()),
-             pa.array([phrase for own in found.values() for phrase in own], pa.string()),
-             pa.array([f for own in found.values() for f in own.values()], pa.int64())], ["lang", "n_words", "phrase", "f"])
+            [pa.array(some, pa.int32()),
+             pa.array([_block(counts.slice(at, n)) for at, n in zip((np.cumsum(size) - size).tolist(), size.tolist())], pa.binary())],
+            ["part", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], dict[str, int]] = {}
@@ -270,7 +290,32 @@ def counted(rows: DataFrame, known: Sieve, longest: int = LONGEST) -> DataFrame:
         if found:
             yield batch(found)
 
-    return rows.mapInArrow(forgetting(count), COUNTS).groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+    return rows.mapInArrow(forgetting(count), "part int, data binary")
+
+
+def summed(found: list[pa.Table]) -> pa.Table:
+    """One row for each language and phrase of some counts."""
+    total = pa.concat_tables(found).group_by(["lang", "n_words", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    return total.rename_columns({"f_sum": "f"}).select(["lang", "n_words", "phrase", "f"])
+
+
+def added(data: Iterator[bytes], gather: int = 1_000_000) -> pa.Table:
+    """The sums of some blocks, of which about ``gather`` counts are held beside them."""
+    held, size = [], 0
+    for block in data:
+        held.append(pa.ipc.open_stream(block).read_all())
+        size += len(held[-1])
+        if size >= gather:
+            held, size = [summed(held)], 0
+    return summed(held)
+
+
+def counted(rows: DataFrame, known: Sieve, longest: int = LONGEST) -> DataFrame:
+    """Exact counts (lang, n_words, phrase, f) of the n-grams that pass the sieve, and per language one row of 0 words: all words."""
+    def add(found: pa.Table) -> pa.Table:
+        return added(block.as_py() for block in found.column("data"))
+
+    return blocks(rows, known, longest).groupBy("part").applyInArrow(add, COUNTS)
 
 
 def frequent(docs: DataFrame, threshold: int = 100, longest: int = LONGEST) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -136,6 +137,28 @@ def test_every_frequent_ngram_passes_a_tight_summary(spark, docs, rows, monkeypa
     assert found == {(r["lang"], r["phrase"]): r["f"] for r in want}
 
 
+def test_a_task_sends_one_block_of_counts_to_each_partition(spark, docs, rows):
+    text = collocations._rows(spark.createDataFrame([(r[1], r[2]) for r in rows], "text string, lang string").repartition(3))
+    sent = collocations.blocks(text, _open_sieve()).collect()
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = [pa.ipc.open_stream(r["data"]).read_all() for r in sent]
+    assert len(sent) <= 3 * dealt < sum(map(len, tables)) and {r["part"] for r in sent} <= set(range(dealt))
+    want = Counter()
+    for t in tables:
+        want.update({(r["lang"], r["n_words"], r["phrase"]): r["f"] for r in t.to_pylist()})
+    got = collocations.counted(text, _open_sieve()).collect()
+    assert len(got) == len(want) and {(r["lang"], r["n_words"], r["phrase"]): r["f"] for r in got} == want
+
+
+def test_blocks_are_added_bit_by_bit():
+    some = [pa.table([["en", "en", "fr"], pa.array([1, 2, 1], pa.int32()), ["a", "a b", "a"], [n, 1, 2]], ["lang", "n_words", "phrase", "f"])
+            for n in range(1, 6)]
+    for gather in (1, 4, 100):
+        total = collocations.added(map(collocations._block, some), gather)
+        assert {tuple(r.values()) for r in total.to_pylist()} == {("en", 1, "a", 15), ("en", 2, "a b", 5), ("fr", 1, "a", 10)}
+        assert total.column_names == ["lang", "n_words", "phrase", "f"]
+
+
 def _open_sieve():
     return collocations.Sieve(np.full(2**collocations.BITS // 8, 255, np.uint8))
 
